@@ -15,7 +15,8 @@ def accuracy(is_correct: Column) -> Column:
 
 def elapsed_seconds(started_at: Column, finished_at: Column) -> Column:
     """Seconds from the first start to the last finish."""
-    return (F.unix_micros(F.max(finished_at)) - F.unix_micros(F.min(started_at))) / F.lit(1e6)
+    first, last = F.min(started_at.cast("timestamp")), F.max(finished_at.cast("timestamp"))
+    return (F.unix_micros(last) - F.unix_micros(first)) / F.lit(1e6)
 
 
 def run_metrics(graded: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:

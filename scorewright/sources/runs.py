@@ -8,7 +8,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 _CORRUPT = "_corrupt_record"
 # Last part before "_metrics.json" is the split, all before it the dataset.
-_FILE_NAME = r"/([^/]+)/(?:([^/]+)_)?([^/_]*)_metrics\.json$"
+# A folder of that name may hold the file, and folder names may carry their partition column.
+_FILE_NAME = r"/(?:model=)?([^/]+)/(?:run=)?(?:([^/]+)_)?([^/_]*)_metrics\.json(?:/[^/]+)?$"
 
 
 def decoded_path(path: Column) -> Column:
@@ -29,16 +30,24 @@ def read_metrics(spark: SparkSession, root: str, schema: StructType | None = Non
     """Metrics of all runs under ``root/{model}/{dataset}_{split}_metrics.json``.
 
     Files may differ in their keys: the table has them all, null where a file has
-    none. Files that do not parse are left out. Folders below a model's are not
-    read. A ``schema`` of the metrics saves the pass that infers it.
+    none. Files that hold no JSON object are left out. Folders below a model's are
+    not read. Tables written by ``partitionBy("model", "run")`` have the same shape
+    and are read alike. A ``schema`` of the metrics saves the pass that infers it.
     """
-    reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
-    if schema is not None:
-        reader = reader.schema(StructType([*schema.fields, StructField(_CORRUPT, StringType())]))
-    table = reader.json(f"{root.rstrip('/')}/*/*_metrics.json").withColumn("path", decoded_path(F.col("_metadata.file_path")))
-    if _CORRUPT in table.columns:
-        table = table.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
-    return table.withColumns(run_of_path(F.col("path"))).drop("path")
+    files = f"{root.rstrip('/')}/*/*_metrics.json"
+    if schema is None:
+        schema = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", _CORRUPT).json(files).schema
+    fields = [field for field in schema.fields if field.name not in (_CORRUPT, "model", "run")]
+    whole = StructType([*fields, StructField(_CORRUPT, StringType())])
+    parsed = F.from_json("value", whole, {"columnNameOfCorruptRecord": _CORRUPT})
+    contents = spark.read.text(files, wholetext=True)
+    rows = contents.select(decoded_path(F.col("_metadata.file_path")).alias("path"), parsed.alias("metrics"))
+    valid = rows.where(F.col("metrics").isNotNull() & F.col(f"metrics.{_CORRUPT}").isNull())
+    run = run_of_path(F.col("path"))
+    return valid.select(
+        *[F.col(f"metrics.`{field.name}`") for field in fields if field.name not in run],
+        *[column.alias(name) for name, column in run.items()],
+    )
 
 
 def read_run_metrics(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
