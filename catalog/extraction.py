@@ -28,7 +28,7 @@ def _counted(grader):
 
     def make(template):
         def run(spark, folder):
-            rows = view(spark, folder, template).withColumn("answer", grader.extract(F.col("response")))
+            rows = view(spark, folder, template).withColumn("answer", grader.answer(F.col("response")))
             rows = rows.withColumn("is_correct", grader.grade(F.col("answer"), F.col("ground_truth")))
             return rows.groupBy("answer", "is_correct").agg(F.count(F.lit(1)).alias("n"))
 

@@ -10,11 +10,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from scorewright import fixed
+from scorewright.sources.storage import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels",
           "conversations", "benchmark", "pages", "embeddings")
 
 
+# Those that become responses, and so get work on each row.
+LARGE_TABLES = {"lineitem", "documents"}
+
+
 @dataclass(frozen=True)
 class Query:
     """A registered query.
@@ -35,8 +40,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, folder: str, template: str) -> DataFrame:
-    """A view in Spark: its tables are the folder's Parquet files."""
-    return spark.sql(template.format(**{name: f"parquet.`{folder}/{name}.parquet`" for name in TABLES}))
+    """A view in Spark, over the folder's tables that it names."""
+    tables = {name: table(spark, folder, name) for name in TABLES if f"{{{name}}}" in template}
+    for name in LARGE_TABLES & tables.keys():
+        tables[name] = spread(tables[name])
+    return spark.sql(template, **tables)
 
 
 def sql_view(template: str) -> str:

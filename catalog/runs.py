@@ -8,6 +8,7 @@ from catalog.scoring import mixed_tables
 from scorewright.functions.text import dataset_label
 from scorewright.operators import metrics
 from scorewright.operators.score import grade
+from scorewright.sources.storage import shared_folder
 
 # Two splits by the part's type, so that a model has several runs of one dataset.
 SPLIT = "case when subset < 'M' then 'test' else 'validation' end"
@@ -50,7 +51,10 @@ def wide_metrics(spark, folder):
 
 
 def accuracy_matrix(spark, folder):
-    return metrics.accuracy_matrix(scored_runs(spark, folder))
+    # Finding the columns reads the runs once more, so they are saved first.
+    path = shared_folder(spark, "runs")
+    scored_runs(spark, folder).write.parquet(path)
+    return metrics.accuracy_matrix(spark.read.parquet(path))
 
 
 def accuracy_matrix_by_split(spark, folder):

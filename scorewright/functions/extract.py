@@ -1,8 +1,10 @@
 """Answer extraction: response text to answer string.
 
-All of it is built-in string functions. Where a rule tries several patterns in
-turn, one anchored regular expression holds them as alternatives, so that each
-response is decoded and scanned by one expression only.
+All of it is built-in string functions, so that it stays inside generated code.
+Where a rule tries several patterns in turn, one anchored regular expression
+holds them as alternatives, so that no expression runs twice. Rules of two steps are split in a step that passes over the
+text and one that looks at its short outcome; scoring puts them in columns of
+their own, so that the first is worked out once.
 """
 
 from collections.abc import Sequence
@@ -22,64 +24,114 @@ def after_marker(response: Column) -> Column:
     return strip_chars(answer, fixed.ANSWER_STRIP)
 
 
-def letter_or_marker(response: Column, letters: Sequence[str]) -> Column:
-    """As :func:`after_marker`, but an answer over five characters gives way to a letter.
+def or_letter(response: Column, answer: Column, letters: Sequence[str]) -> Column:
+    """The answer, or, when that is over five characters, a letter in its place.
 
     The letter is the first one, in list order, found anywhere in the response.
     """
-    answer = after_marker(response)
     chosen = F.when(F.length(answer) <= 5, answer)
     for letter in letters:
         chosen = chosen.when(F.contains(response, F.lit(letter)), F.lit(letter))
     return chosen.otherwise(answer)
 
 
-def _number_pattern() -> str:
-    space, number = fixed.SPACE, f"({fixed.FLOAT_NUMBER})"
-    stated = rf"{space}+(?:is|=){space}*{number}"
-    return "|".join(
-        [
-            # The stated answer, then the stated result: the first mention counts. A "final answer"
-            # or "so, the answer" holds a plain "answer is N", so only "result" needs those words.
-            rf"(?iu:.*?answer{stated})",
-            rf"(?iu:.*?final{space}+result{stated})",
-            rf"(?iu:.*?(?:therefore|thus|so|hence),{space}+(?:the{space}+)?result{stated})",
-            # The last number after an equals sign.
-            rf".*={space}*{number}",
-            # The last number that stands alone between white space or the ends of the text.
-            rf"(?:.*{space})?({fixed.GROUPED_NUMBER})(?={space}|\z)",
-            # The first dollar amount.
-            rf".*?\${space}*({fixed.DOLLAR_NUMBER})",
-        ]
-    )
+def letter_or_marker(response: Column, letters: Sequence[str]) -> Column:
+    """Text after the last answer marker, or a choice letter when that is long."""
+    return or_letter(response, after_marker(response), letters)
 
 
-_NUMBER = rf"(?s)\A(?:{_number_pattern()}|).*\z"
+def _any_case(word: str) -> str:
+    """Pattern of a word in any case; letter classes search far faster than Java's own flag."""
+    return "".join(f"[{letter.upper()}{letter}{fixed.CASE_PARTNERS.get(letter, '')}]" for letter in word)
 
 
-def number_answer(response: Column) -> Column:
-    """The number a worked solution ends in, as text; empty when there is none."""
+_STATED = rf"{fixed.SPACE}+(?:{_any_case('is')}|=){fixed.SPACE}*({fixed.FLOAT_NUMBER})"
+
+
+def stated_answer(response: Column) -> Column:
+    """The number of the first "answer is N"; empty when there is none."""
+    return F.regexp_extract(response, _any_case("answer") + _STATED, 1)
+
+
+def _first_match(text: Column, *patterns: str) -> Column:
+    """The group of the first pattern, in the order given, that the text holds; empty when it holds none."""
     # Groups of the alternatives that were not taken are empty in the replacement.
-    number = F.regexp_replace(response, _NUMBER, "$1$2$3$4$5$6")
+    groups = "".join(f"${i + 1}" for i in range(len(patterns)))
+    return F.regexp_replace(text, rf"(?s)\A(?:{'|'.join(patterns)}|).*\z", groups)
+
+
+# A "final answer" or "so, the answer" holds a plain "answer is N", so only "result" needs a lead.
+_RESULTS = (
+    rf".*?{_any_case('final')}{fixed.SPACE}+{_any_case('result')}{_STATED}",
+    rf".*?(?:{'|'.join(map(_any_case, ('therefore', 'thus', 'so', 'hence')))}),{fixed.SPACE}+"
+    rf"(?:{_any_case('the')}{fixed.SPACE}+)?{_any_case('result')}{_STATED}",
+)
+# The last number after an equals sign.
+_EQUAL = rf".*={fixed.SPACE}*({fixed.FLOAT_NUMBER})"
+# The last number that stands alone between white space or the ends of the text. A digit or sign
+# is rarer than white space, so that is looked for first.
+_ALONE = (
+    rf"(?:.*(?=[-+0-9[\x{{100}}-\x{{10ffff}}&&\p{{Nd}}]])(?<={fixed.SPACE}))?"
+    rf"({fixed.GROUPED_NUMBER})(?={fixed.SPACE}|\z)"
+)
+# The first dollar amount.
+_DOLLAR = rf".*?\${fixed.SPACE}*({fixed.DOLLAR_NUMBER})"
+
+
+def or_last_number(response: Column, stated: Column) -> Column:
+    """The stated answer, else the number that a solution ends in; empty when there is none.
+
+    Each branch holds only the patterns that can match in its texts, as every one is a pass.
+    """
+    number = (
+        F.when(stated != "", stated)
+        .when(response.rlike(_any_case("result")), _first_match(response, *_RESULTS, _EQUAL, _ALONE, _DOLLAR))
+        .when(response.rlike("[=$]"), _first_match(response, _EQUAL, _ALONE, _DOLLAR))
+        .otherwise(F.regexp_extract(response, rf"(?s)\A{_ALONE}", 1))
+    )
     return F.replace(number, F.lit(","), F.lit(""))
 
 
-def math_answer_or_null(text: Column) -> Column:
-    """The last boxed expression, else a last line that looks like an answer, else null."""
-    text = strip_space(text)
+def number_answer(response: Column) -> Column:
+    """The number a worked solution ends in, as text; empty when there is none."""
+    return or_last_number(response, stated_answer(response))
+
+
+# In front of a last line that has still to be judged; no boxed answer starts with it.
+_UNJUDGED = "\n"
+
+
+def boxed_or_line(text: Column) -> Column:
+    """The last boxed expression, else a line feed and the last line that is not blank."""
     # (?d): only a line feed ends a line. The box closes at the first brace after one character.
     boxed = F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?d)\\boxed\{(.+?)\}"), F.lit(1)), F.lit(-1))
-    body = F.rtrim(text, F.lit(fixed.MATH_LINE_STRIP + "\n"))
+    body = F.rtrim(strip_space(text), F.lit(fixed.MATH_LINE_STRIP + "\n"))
     line = strip_chars(F.substring_index(body, "\n", -1), fixed.MATH_LINE_STRIP)
+    return F.coalesce(strip_chars(boxed, fixed.MATH_ANSWER_STRIP), F.concat(F.lit(_UNJUDGED), line))
+
+
+def judged_line(found: Column) -> Column:
+    """What :func:`boxed_or_line` found; null for a line that does not look like an answer."""
+    # The lengths count the line feed.
     is_answer = (
-        (F.length(line) > 0)
-        & (F.length(line) < 80)
-        & ~line.rlike(rf"\A(?:[a-zA-Z]|{fixed.SPACE})+\z")
-        & (line.rlike(r"[\p{Nd}=$()^]") | (F.length(line) < 10))
+        F.length(found).between(2, 80)
+        & ~found.rlike(rf"\A(?:[a-zA-Z]|{fixed.SPACE})+\z")
+        & ((F.length(found) <= 10) | found.rlike(r"[\p{Nd}=$()^]"))
     )
-    return F.coalesce(strip_chars(boxed, fixed.MATH_ANSWER_STRIP), F.when(is_answer, line))
+    line = F.when(is_answer, F.substr(found, F.lit(2)))
+    return F.when(F.startswith(found, F.lit(_UNJUDGED)), line).otherwise(found)
+
+
+def math_answer_or_null(text: Column) -> Column:
+    """The last boxed expression, else a last line that looks like an answer, else null."""
+    return judged_line(boxed_or_line(text))
+
+
+def or_empty(response: Column, answer: Column) -> Column:
+    """Empty text for a response without an answer; null only without a response."""
+    return F.when(response.isNotNull(), F.coalesce(answer, F.lit("")))
 
 
 def math_answer(response: Column) -> Column:
     """As :func:`math_answer_or_null`, with empty text for a response that has no answer."""
-    return F.when(response.isNotNull(), F.coalesce(math_answer_or_null(response), F.lit("")))
+    return or_empty(response, math_answer_or_null(response))

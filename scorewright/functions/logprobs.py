@@ -35,17 +35,16 @@ def top_candidates(candidates: Column, k: int = fixed.TOP_LOGPROBS) -> Column:
 
 
 def choice_logprobs(candidates: Column, choices: Column) -> Column:
-    """Token to log-probability for candidates among the choices.
+    """Token to log-probability for the choices that are among the candidates.
 
     The last of several candidates with the same token counts; no candidates
-    give an empty map.
+    give an empty map. Every choice looks through the candidates, so these should
+    be a column of their own, not a longer expression.
     """
 
-    def is_last_choice(candidate: Column, i: Column) -> Column:
-        later = F.slice(candidates, i + 2, F.size(candidates))
-        repeated = F.exists(later, lambda other: other["token"] == candidate["token"])
-        return candidate["token"].isNotNull() & F.array_contains(choices, candidate["token"]) & ~repeated
+    def with_logprob(choice: Column) -> Column:
+        same = F.filter(candidates, lambda candidate: candidate["token"] == choice)
+        return F.struct(choice.alias("token"), F.try_element_at(same, F.lit(-1))["logprob"].alias("logprob"))
 
-    entries = F.filter(candidates, is_last_choice)
-    empty = F.create_map().cast("map<string,double>")
-    return F.coalesce(F.map_from_entries(entries), empty)
+    found = F.filter(F.transform(choices, with_logprob), lambda entry: entry["logprob"].isNotNull())
+    return F.map_from_entries(found)

@@ -32,13 +32,16 @@ def _decimal_digits() -> tuple[str, str]:
     return "".join(digits), "".join(str(unicodedata.decimal(d)) for d in digits)
 
 
+def plain_digits(text: Column) -> Column:
+    """Decimal digits of any script as ASCII digits."""
+    return F.translate(text, *_decimal_digits())
+
+
 def to_double(text: Column) -> Column:
-    """The number a decimal string stands for, in any script's digits; null if it is none."""
-    digits, ascii_digits = _decimal_digits()
-    plain = F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, digits, ascii_digits)).otherwise(text)
+    """The number a decimal string stands for; null if it is none."""
     # Java also parses type suffixes ("1d") and hexadecimal floats; those are not numbers here.
-    is_number = plain.rlike(r"\A\s*[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\s*\z")
-    return F.when(is_number, plain.try_cast("double"))
+    is_number = ~text.rlike("[dDfFxX]")
+    return F.when(is_number, text.try_cast("double"))
 
 
 def last_path_part(name: Column) -> Column:

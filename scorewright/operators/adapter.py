@@ -64,22 +64,28 @@ def keyed_adapter(name: str, input_keys: Sequence[str], output_key: str, **optio
 
 
 def pick_by_dataset(
-    adapters: Sequence[Adapter], value: Callable[[Adapter], object], column: Callable[[object], Column]
+    adapters: Sequence[Adapter],
+    value: Callable[[Adapter], object],
+    column: Callable[[object], Column],
+    otherwise: Column | None = None,
 ) -> Column:
     """A column that follows each row's ``dataset``.
 
     Datasets that share a value share one branch, so many benchmarks are handled
-    in one pass over the table. A dataset without an adapter is an error.
+    in one pass over the table. A dataset without an adapter is an error, unless
+    ``otherwise`` gives it a value.
     """
     branches: dict = {}
     for adapter in adapters:
         branches.setdefault(value(adapter), []).append(adapter.name)
     dataset = F.col("dataset")
-    unknown = F.raise_error(F.concat(F.lit("Dataset "), F.coalesce(dataset, F.lit("null")), F.lit(" not supported")))
+    if otherwise is None:
+        name = F.coalesce(dataset, F.lit("null"))
+        otherwise = F.raise_error(F.concat(F.lit("Dataset "), name, F.lit(" not supported")))
     chosen = None
     for shared, names in branches.items():
         of_branch = dataset.isin(*names)
         if any(name.endswith(fixed.SYNTHETIC_SUFFIX) for name in names):
             of_branch = of_branch | F.endswith(dataset, F.lit(fixed.SYNTHETIC_SUFFIX))
         chosen = F.when(of_branch, column(shared)) if chosen is None else chosen.when(of_branch, column(shared))
-    return chosen.otherwise(unknown)
+    return otherwise if chosen is None else chosen.otherwise(otherwise)

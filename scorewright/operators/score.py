@@ -1,6 +1,6 @@
 """Scoring: items joined to responses, graded row by row."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,16 +11,39 @@ from scorewright.operators.benchmarks import REGISTRY
 from scorewright.schemas import ITEM_KEYS, RESPONSE_COLUMNS
 
 
+def _second_step(
+    table: DataFrame,
+    adapters: Sequence[Adapter],
+    name: str,
+    step: Callable[[Adapter], object],
+    column: Callable[[object], Column],
+) -> DataFrame:
+    """The column replaced by its second step, for the datasets that have one."""
+    with_step = [adapter for adapter in adapters if step(adapter) is not None]
+    if not with_step:
+        return table
+    return table.withColumn(name, pick_by_dataset(with_step, step, column, otherwise=F.col(name)))
+
+
 def with_truth_key(items: DataFrame, adapters: Sequence[Adapter]) -> DataFrame:
     """Items with the short form of their truth that grading compares with."""
-    key = pick_by_dataset(adapters, lambda a: a.grader.key, lambda key: key(F.col("ground_truth")))
-    return items.withColumns({"truth_key": key, "has_truth": F.col("ground_truth").isNotNull()})
+    found = pick_by_dataset(adapters, lambda a: a.grader.key, lambda key: key(F.col("ground_truth")))
+    items = items.withColumns({"truth_key": found, "has_truth": F.col("ground_truth").isNotNull()})
+    return _second_step(
+        items, adapters, "truth_key", lambda a: a.grader.settle_key, lambda settle: settle(F.col("truth_key"))
+    )
 
 
 def with_extracted_answer(responses: DataFrame, adapters: Sequence[Adapter]) -> DataFrame:
     """Responses with the answer found in their text."""
-    answer = pick_by_dataset(adapters, lambda a: a.grader.extract, lambda extract: extract(F.col("response")))
-    return responses.withColumn("extracted_answer", answer)
+    found = pick_by_dataset(adapters, lambda a: a.grader.extract, lambda extract: extract(F.col("response")))
+    return _second_step(
+        responses.withColumn("extracted_answer", found),
+        adapters,
+        "extracted_answer",
+        lambda a: a.grader.settle,
+        lambda settle: settle(F.col("response"), F.col("extracted_answer")),
+    )
 
 
 def join_responses(items: DataFrame, responses: DataFrame, keep_unanswered: bool = False, salt: int = 1) -> DataFrame:
@@ -91,7 +114,8 @@ def assemble(graded: DataFrame, adapters: Sequence[Adapter] | None = None) -> Da
             lambda a: a.choices,
             lambda fixed: choices_for(F.col("ground_truth")) if fixed is None else fixed_choices(fixed),
         )
-        logprobs = choice_logprobs(top_candidates(F.col("first_token_logprobs")), choices)
+        graded = graded.withColumn("first_token_logprobs", top_candidates(F.col("first_token_logprobs")))
+        logprobs = choice_logprobs(F.col("first_token_logprobs"), choices)
     else:
         logprobs = F.create_map().cast("map<string,double>")
     return graded.select(

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from scorewright.operators.adapter import Adapter
 from scorewright.operators.benchmarks import get_adapter
 from scorewright.schemas import RESPONSES
+from scorewright.sources.storage import spread
 
 
 def read_benchmark(
@@ -64,8 +65,10 @@ def read_synthetic(spark: SparkSession, path: str, schema: StructType | None = N
 
 def read_responses(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """Model responses written beforehand; of a list of outputs, the first one counts."""
-    table = spark.read.load(path, format=format) if format == "parquet" else spark.read.schema(RESPONSES).load(path, format=format)
-    return first_output(table)
+    reader = spark.read.format(format)
+    if format != "parquet":
+        reader = reader.schema(RESPONSES)
+    return first_output(spread(reader.load(path)))
 
 
 def first_output(responses: DataFrame) -> DataFrame:

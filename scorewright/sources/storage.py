@@ -1,9 +1,9 @@
-"""Where a job may put tables that all executors must see."""
+"""Where a job may put tables that all executors must see, and how it reads poorly split ones."""
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -18,3 +18,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="scorewright-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table whose files split into fewer parts than there are cores, dealt out to all of them.
+
+    Extraction is work per row, so a table in one compressed file would keep one
+    core busy. Tables in enough parts, as all large ones are, come back as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
