@@ -1,0 +1,222 @@
+"""Scoring, log-probabilities, generation and run metrics."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from scorewright import grade, run_metrics, score, with_content_id
+from scorewright.functions import logprobs
+from scorewright.operators.benchmarks import BBH
+from scorewright.operators.generate import generate
+from scorewright.operators.metrics import accuracy_matrix, merge_metrics, wide_metrics
+from scorewright.plans.evaluate import model_inputs, respond
+from scorewright.schemas import ITEMS, METRICS, RESPONSES
+
+ROWS = [
+    ("1", "lukaemon/bbh", "test", "s", "p1", "(B)"),
+    ("2", "lukaemon/bbh", "test", "s", "p2", None),
+    ("3", "lukaemon/bbh", "test", "s", "p3", "Yes"),
+    ("1", "openai/gsm8k", "test", "m", "p4", "#### 42"),
+    ("1", "path/x_bbh_syn_all.json", "test", "unknown", "p5", "True"),
+]
+
+
+@pytest.fixture()
+def items(spark):
+    return spark.createDataFrame(ROWS, ITEMS)
+
+
+def responses(spark, rows):
+    full = [(i, dataset, "test", model, text, None, None, None) for i, dataset, model, text in rows]
+    return spark.createDataFrame(full, RESPONSES)
+
+
+def test_score(spark, items):
+    given = responses(
+        spark,
+        [
+            ("1", "lukaemon/bbh", "m", "The answer is: (B)."),
+            ("1", "lukaemon/bbh", "n", "The answer is: (C)."),
+            ("2", "lukaemon/bbh", "m", "anything"),
+            ("1", "openai/gsm8k", "m", "so 6 * 7 = 42"),
+            ("1", "path/x_bbh_syn_all.json", "m", "answer: TRUE"),
+            ("9", "lukaemon/bbh", "m", "no such item"),
+        ],
+    )
+    results = score(items, given)
+    found = {(r.metadata.dataset, r.example_id, r.metadata.model): r for r in results.collect()}
+    assert {key: row.is_correct for key, row in found.items()} == {
+        ("lukaemon/bbh", "1", "m"): True,
+        ("lukaemon/bbh", "1", "n"): False,
+        ("lukaemon/bbh", "2", "m"): None,
+        ("openai/gsm8k", "1", "m"): True,
+        ("path/x_bbh_syn_all.json", "1", "m"): True,
+    }
+    row = found["lukaemon/bbh", "1", "n"]
+    assert (row.prompt, row.model_response, row.extracted_answer) == ("p1", "The answer is: (C).", "(c)")
+    assert (row.ground_truth_answer, row.ground_truth_reasoning, row.logprobs, row.split) == ("(B)", None, {}, "test")
+    metrics = {(r.model, r.dataset): r for r in run_metrics(results).collect()}
+    # The null result of item 2 stays in the denominator.
+    assert (metrics["m", "lukaemon/bbh"].total_samples, metrics["m", "lukaemon/bbh"].accuracy) == (2, 0.5)
+    assert metrics["n", "lukaemon/bbh"].accuracy == 0.0
+
+
+def test_unknown_dataset(spark, items):
+    with pytest.raises(Exception, match="Dataset who/knows not supported"):
+        score(items, responses(spark, [("1", "who/knows", "m", "x")])).collect()
+
+
+def test_unanswered(spark, items):
+    given = responses(spark, [("1", "lukaemon/bbh", "m", "(B)"), ("1", "lukaemon/bbh", "m", "(B)")])
+    rows = grade(items, given, keep_unanswered=True).collect()
+    assert len(rows) == 6
+    assert sorted(r.prompt for r in rows if r.model is None) == ["p2", "p3", "p4", "p5"]
+    assert all(r.is_correct is None and r.extracted_answer is None for r in rows if r.model is None)
+
+
+def test_content_id(spark):
+    table = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None)], "input STRING, target STRING")
+    ids = [row.example_id for row in with_content_id(table).collect()]
+    assert len(ids) == len(set(ids)) == 2
+
+
+def hot_tables(spark):
+    """A third of all responses answer one item."""
+    items = spark.range(3000).select(
+        F.col("id").cast("string").alias("example_id"), F.lit(BBH.name).alias("dataset"), F.lit("test").alias("split"),
+        F.lit("s").alias("subset"), F.lit("p").alias("prompt"), F.lit("a").alias("ground_truth"))
+    answers = spark.range(0, 90000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 3000).cast("string").alias("example_id"),
+        F.lit(BBH.name).alias("dataset"), F.lit("test").alias("split"), F.lit("m").alias("model"),
+        F.when(F.col("id") % 2 == 0, "answer: a").otherwise("b").alias("response"))
+    return items, answers
+
+
+@pytest.mark.parametrize("salt", [1, 4])
+def test_hot_item(spark, salt):
+    items, answers = hot_tables(spark)
+    total = run_metrics(grade(items, answers, [BBH], salt=salt)).first()
+    assert (total.total_samples, total.accuracy) == (90000, 0.5)
+
+
+def test_adaptive_skew_join_splits_a_hot_item(spark):
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    before = {name: spark.conf.get(name, None) for name in changed}
+    for name, value in changed.items():
+        spark.conf.set(name, value)
+    try:
+        total = run_metrics(grade(*hot_tables(spark), [BBH]))
+        row = total.collect()[0]
+        assert (row.total_samples, row.accuracy) == (90000, 0.5)
+        plan = total._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_counting_plan_moves_no_texts(spark, items, tmp_path):
+    """What the exchanges of the accuracy plan carry: keys, answers and counts."""
+    responses(spark, [("1", "lukaemon/bbh", "m", "(B)")]).write.parquet(str(tmp_path / "r"))
+    items.write.parquet(str(tmp_path / "i"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        metrics = run_metrics(grade(spark.read.parquet(str(tmp_path / "i")), spark.read.parquet(str(tmp_path / "r"))))
+        explained = spark._jvm.PythonSQLUtils.explainString(metrics._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*)\]", explained)
+    assert len(moved) == 3
+    columns = {name.split("#")[0] for line in moved for name in line.split(", ")}
+    assert {"extracted_answer", "truth_key", "has_truth"} <= columns
+    assert not columns & {"response", "prompt", "ground_truth", "subset", "first_token_logprobs"}
+
+
+def test_logprobs(spark):
+    rows = [([("A", -1.0), ("A", -2.0), ("the", -0.1)], "A"), (None, "A"), ([], "Yes"), ([("17", -3.0)], "17"), ([("A", -1.0)], None)]
+    table = spark.createDataFrame(rows, "c ARRAY<STRUCT<token: STRING, logprob: DOUBLE>>, t STRING")
+    found = table.select(logprobs.choice_logprobs(F.col("c"), logprobs.choices_for(F.col("t")))).collect()
+    assert [row[0] for row in found] == [{"A": -2.0}, {}, {}, {"17": -3.0}, {}]
+    families = {"(C)": 17, "E": 6, "True": 2, "Yes": 2, "no": 2, "17": 1, "(R)": 1, "G": 1}
+    texts = spark.createDataFrame([(t,) for t in families], "t STRING")
+    assert [len(r[0]) for r in texts.select(logprobs.choices_for(F.col("t"))).collect()] == list(families.values())
+    many = spark.sql("select transform(sequence(1, 30), k -> named_struct('token', 't' || k, 'logprob', -double(k))) as c")
+    best = many.select(logprobs.top_candidates(F.col("c"))).first()[0]
+    assert [c.token for c in best] == [f"t{k}" for k in range(1, 21)]
+
+
+def test_fixed_choices_are_text(spark):
+    items = spark.createDataFrame([("1", "emozilla/quality", "validation", "s", "p", "2")], ITEMS)
+    given = spark.createDataFrame(
+        [("1", "emozilla/quality", "validation", "m", "2", [("2", -0.5), ("x", -1.0), ("0", -2.0)], None, None)], RESPONSES
+    )
+    assert score(items, given).first().logprobs == {"2": -0.5, "0": -2.0}
+
+
+def test_generate(spark, items):
+    def load_model():
+        return lambda batch: [(f"{len(batch)} The answer is: {p}", [("A", -0.5)]) for p in batch]
+
+    answered = generate(items.coalesce(1), load_model, batch_size=2).collect()
+    assert [row.response[0] for row in answered] == ["2", "2", "2", "2", "1"]
+    assert answered[0].first_token_logprobs[0].token == "A"
+    assert all(row.started_at <= row.finished_at for row in answered)
+    with pytest.raises(Exception, match="1 responses to 2 prompts"):
+        generate(items.coalesce(1), lambda: lambda batch: batch[:1], batch_size=2).collect()
+
+
+def test_respond_and_score(spark, items, tmp_path):
+    path = str(tmp_path / "responses")
+    respond(items, "org/echo-chat", lambda: lambda batch: ["The answer is: (B)"] * len(batch)).write.parquet(path)
+    results = grade(items, spark.read.parquet(path))
+    assert results.where("is_correct").count() == 1
+    timed = run_metrics(results).where("dataset = 'lukaemon/bbh'").first()
+    assert timed.total_samples == 3 and timed.total_time >= 0
+    models = spark.createDataFrame([("lukaemon/bbh", "a-chat"), ("lukaemon/bbh", "b")], "dataset STRING, model STRING")
+    asked = model_inputs(items, models).where("example_id = '1'").collect()
+    assert {r.model: r.messages is not None for r in asked} == {"a-chat": True, "b": False}
+
+
+def test_throughput(spark):
+    rows = spark.sql(
+        """select 'm' as model, 'd' as dataset, 's' as split, true as is_correct,
+        timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as started_at,
+        timestamp'2024-01-01 00:00:00.5' + make_interval(0, 0, 0, 0, 0, 0, id) as finished_at from range(4)"""
+    )
+    row = run_metrics(rows).first()
+    assert (row.total_time, row.samples_per_second) == (3.5, 4 / 3.5)
+
+
+def test_partitioning_changes_nothing(spark, items):
+    given = responses(spark, [(str(i % 3 + 1), "lukaemon/bbh", f"m{i % 4}", f"answer: ({'AB'[i % 2]})") for i in range(60)])
+    one, many = (sorted(map(str, score(items, given.repartition(n)).collect())) for n in (1, 7))
+    assert one == many
+
+
+def test_reports(spark):
+    runs = spark.createDataFrame(
+        [
+            ("m2", "bbh", "test", 10, 0.5, None, None),
+            ("m1", "bbh", "test", 10, 0.25, None, None),
+            ("m1", "bbh", "validation", 10, 0.75, None, None),
+            ("m1", "arc", "test", 10, None, None, None),
+        ],
+        METRICS,
+    )
+    matrix = accuracy_matrix(runs)
+    assert matrix.columns == ["model", "arc", "bbh"]
+    assert [tuple(row) for row in matrix.collect()] == [("m1", 0.0, 0.75), ("m2", None, 0.5)]
+    by_split = accuracy_matrix(runs, by_split=True)
+    assert by_split.columns == ["model", "arc_test", "bbh_test", "bbh_validation"]
+    wide = wide_metrics(merge_metrics([runs, runs.withColumn("extra", F.lit(1)).drop("accuracy")]))
+    assert wide.columns == ["model", "accuracy", "extra", "samples_per_second", "total_samples", "total_time", "dataset", "split"]
+    assert wide.where("accuracy is null").count() == 5
