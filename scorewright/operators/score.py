@@ -105,8 +105,10 @@ def grade(
     return joined.withColumn("is_correct", is_correct).drop("truth_key", "has_truth")
 
 
-def assemble(graded: DataFrame, adapters: Sequence[Adapter] | None = None) -> DataFrame:
-    """Graded rows in the result layout."""
+def assemble(
+    graded: DataFrame, adapters: Sequence[Adapter] | None = None, extra: Sequence[str] = ()
+) -> DataFrame:
+    """Graded rows in the result layout, with any extra columns after it."""
     adapters = list(adapters or REGISTRY.values())
     if "first_token_logprobs" in graded.columns:
         choices = pick_by_dataset(
@@ -129,6 +131,7 @@ def assemble(graded: DataFrame, adapters: Sequence[Adapter] | None = None) -> Da
         F.struct("dataset", "model", "subset").alias("metadata"),
         logprobs.alias("logprobs"),
         "split",
+        *extra,
     )
 
 

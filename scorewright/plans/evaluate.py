@@ -1,5 +1,6 @@
 """Evaluation jobs: from items and responses, or a model, to saved results and metrics."""
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -10,23 +11,35 @@ from scorewright.operators.adapter import Adapter
 from scorewright.operators.generate import Model, generate
 from scorewright.operators.metrics import run_metrics
 from scorewright.operators.score import assemble, grade
-from scorewright.sources.sinks import append_rows, write_metrics
+from scorewright.sources.sinks import write_metrics
 
 
 def evaluate(
-    items: DataFrame, responses: DataFrame, output_dir: str, adapters: Sequence[Adapter] | None = None, **options
+    items: DataFrame,
+    responses: DataFrame,
+    output_dir: str,
+    adapters: Sequence[Adapter] | None = None,
+    format: str = "parquet",
+    **options,
 ) -> DataFrame:
-    """Score responses, append the result rows and save the runs' metrics.
+    """Score responses, add their result rows to ``output_dir/rows`` and save the metrics of the runs.
 
-    Rows are written once and the metrics computed from a second, narrow plan
-    that moves only answers and counts.
+    Each call adds one folder of rows, so that a repeated call cannot change what
+    another has written. Responses are read and graded once: the metrics come from
+    the saved rows, of which Parquet reads only the few columns they need.
 
+    :param format: file format of the rows, ``parquet`` or ``json``
+    :param options: of :func:`scorewright.operators.score.grade`
     :return: the metrics, one row per run
     """
     root = output_dir.rstrip("/")
+    rows = f"{root}/rows/evaluation={uuid.uuid4().hex}"
     graded = grade(items, responses, adapters, **options)
-    append_rows(assemble(graded, adapters), f"{root}/rows")
-    metrics = run_metrics(graded)
+    timing = [name for name in ("started_at", "finished_at") if name in graded.columns]
+    results = assemble(graded, adapters, extra=timing)
+    results.write.format(format).option("ignoreNullFields", False).save(rows)
+    saved = results.sparkSession.read.schema(results.schema).format(format).load(rows)
+    metrics = run_metrics(saved)
     write_metrics(metrics, f"{root}/metrics")
     return metrics
 

@@ -48,9 +48,13 @@ def write_arrays(results: DataFrame, path: str) -> None:
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Metrics as JSON in one folder per run, by the runs' short names."""
+    """Metrics as JSON in one folder per run, by the runs' short names.
+
+    A run that is there already is replaced; other runs in the folder stay.
+    """
     named = metrics.withColumns({"model": model_label(F.col("model")), "dataset": dataset_label(F.col("dataset"))})
-    named.write.mode("overwrite").option("ignoreNullFields", False).partitionBy(*RUN_KEYS).json(path)
+    writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("ignoreNullFields", False).partitionBy(*RUN_KEYS).json(path)
 
 
 def _write_csv(table: DataFrame, path: str) -> None:

@@ -35,13 +35,15 @@ def score_stream(
     checkpoint: str,
     adapters: Sequence[Adapter] | None = None,
     format: str = "json",
+    salt: int = 1,
 ) -> StreamingQuery:
     """Append result rows for all responses there are now, then stop.
 
     The same columns as batch scoring, over a join of the stream with the items
-    table. Rows go to a file sink, one commit per micro-batch.
+    table; ``salt`` spreads hot items, as there. Rows go to a file sink, one commit
+    per micro-batch.
     """
-    results = score(items, responses, adapters)
+    results = score(items, responses, adapters, salt=salt)
     writer = results.writeStream.format(format).outputMode("append").option("checkpointLocation", checkpoint)
     if format == "json":
         writer = writer.option("ignoreNullFields", False)

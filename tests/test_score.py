@@ -1,11 +1,13 @@
 """Scoring, log-probabilities, generation and run metrics."""
 
 import re
+from dataclasses import replace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scorewright import grade, run_metrics, score, with_content_id
+from scorewright import Grader, grade, run_metrics, score, with_content_id
 from scorewright.functions import logprobs
 from scorewright.operators.benchmarks import BBH
 from scorewright.operators.generate import generate
@@ -220,3 +222,14 @@ def test_reports(spark):
     wide = wide_metrics(merge_metrics([runs, runs.withColumn("extra", F.lit(1)).drop("accuracy")]))
     assert wide.columns == ["model", "accuracy", "extra", "samples_per_second", "total_samples", "total_time", "dataset", "split"]
     assert wide.where("accuracy is null").count() == 5
+
+
+def test_pandas_hook(spark, items):
+    @F.pandas_udf("string")
+    def last_word(texts: pd.Series) -> pd.Series:
+        return texts.str.split().str[-1]
+
+    adapter = replace(BBH, grader=Grader(extract=last_word))
+    given = responses(spark, [("1", BBH.name, "m", "I say (b)"), ("3", BBH.name, "m", "no")])
+    of_dataset = items.where(F.col("dataset") == BBH.name)
+    assert sorted((r.example_id, r.is_correct) for r in grade(of_dataset, given, [adapter]).collect()) == [("1", True), ("3", False)]

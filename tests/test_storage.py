@@ -110,8 +110,14 @@ def test_row_sinks(spark, tables, tmp_path):
     assert sum(map(len, whole)) == 24
 
 
-def test_evaluate(spark, tables, tmp_path):
-    metrics = evaluate(*tables, str(tmp_path), [BBH])
+@pytest.mark.parametrize("format", ["parquet", "json"])
+def test_evaluate(spark, tables, tmp_path, format):
+    items, responses = tables
+    evaluate(items, responses.where("model = 'org/m.0'"), str(tmp_path), [BBH], format)
+    metrics = evaluate(items, responses, str(tmp_path), [BBH], format)
+    assert spark.read.format(format).load(str(tmp_path / "rows")).count() == 36
+    evaluate(items, responses.where("model = 'org/m.1'"), str(tmp_path), [BBH], format)
+    # A later evaluation replaces the metrics of its own runs only.
     saved = read_run_metrics(spark, str(tmp_path / "metrics"))
     assert {(r.model, r.dataset, r.split, r.total_samples) for r in saved.collect()} == {
         ("m.0", "bbh", "test", 12), ("m.1", "bbh", "test", 12)}
