@@ -20,7 +20,7 @@ def candidates(spark, folder):
         "p_size",
         f"{TRUTH} as ground_truth",
         f"""transform(sequence(1, 30), k -> named_struct('token', if(k <= 10, element_at({tokens}, k), concat('t', k)),
-            'logprob', -cast((p_partkey * k) % 31 as double) / 4)) as candidates""",
+            'logprob', -cast(1 + (p_partkey * k) % 31 as double) / 4)) as candidates""",
     )
 
 
@@ -62,7 +62,7 @@ def result_logprobs(spark, folder):
 
 _TOKEN_LIST = "[" + ", ".join(f"'{token}'" for token in TOKENS) + "]"
 _LONG = f"""(select p_partkey, p_size, ground_truth, k, case when k <= 10 then {_TOKEN_LIST}[k] else 't' || k end as token,
-    -cast((p_partkey * k) % 31 as double) / 4 as logprob
+    -cast(1 + (p_partkey * k) % 31 as double) / 4 as logprob
   from (select p_partkey, p_size, {TRUTH} as ground_truth, unnest(generate_series(1, 30)) as k from part))"""
 _FAMILY = """case when regexp_full_match(ground_truth, '[(][A-Q][)]') then list_transform(string_split('ABCDEFGHIJKLMNOPQ', ''), lambda x: '(' || x || ')')
     when regexp_full_match(ground_truth, '[A-F]') then ['A', 'B', 'C', 'D', 'E', 'F']

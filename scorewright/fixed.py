@@ -61,10 +61,11 @@ MATH_COMPARE_STRIP = " .,$"
 # SPACE is Python's Unicode white space as an explicit class, so that Python, Java and RE2
 # agree on it; \p{Nd} likewise stands for any decimal digit. Java looks single Latin
 # characters up in a bit set, so those are not written as ranges.
-SPACE = (
-    r"[\x{9}\x{a}\x{b}\x{c}\x{d}\x{1c}\x{1d}\x{1e}\x{1f}\x{20}\x{85}\x{a0}"
-    r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE_CHARACTERS = (
+    r"\x{9}\x{a}\x{b}\x{c}\x{d}\x{1c}\x{1d}\x{1e}\x{1f}\x{20}\x{85}\x{a0}"
+    r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+SPACE = f"[{SPACE_CHARACTERS}]"
 # Letters beyond ASCII that stand for an ASCII letter when case is ignored.
 CASE_PARTNERS = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
 FLOAT_NUMBER = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"

@@ -103,8 +103,10 @@ _UNJUDGED = "\n"
 
 def boxed_or_line(text: Column) -> Column:
     """The last boxed expression, else a line feed and the last line that is not blank."""
-    # (?d): only a line feed ends a line. The box closes at the first brace after one character.
-    boxed = F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?d)\\boxed\{(.+?)\}"), F.lit(1)), F.lit(-1))
+    # (?d): only a line feed ends a line. The box closes at the first brace after one character. An
+    # open box takes the rest of its line, where no other could close, and leaves an empty group.
+    boxes = F.regexp_extract_all(text, F.lit(r"(?d)\\boxed\{(?:(.+?)\}|.*+)"), F.lit(1))
+    boxed = F.try_element_at(F.array_remove(boxes, F.lit("")), F.lit(-1))
     body = F.rtrim(strip_space(text), F.lit(fixed.MATH_LINE_STRIP + "\n"))
     line = strip_chars(F.substring_index(body, "\n", -1), fixed.MATH_LINE_STRIP)
     return F.coalesce(strip_chars(boxed, fixed.MATH_ANSWER_STRIP), F.concat(F.lit(_UNJUDGED), line))
@@ -115,7 +117,7 @@ def judged_line(found: Column) -> Column:
     # The lengths count the line feed.
     is_answer = (
         F.length(found).between(2, 80)
-        & ~found.rlike(rf"\A(?:[a-zA-Z]|{fixed.SPACE})+\z")
+        & ~found.rlike(rf"\A[a-zA-Z{fixed.SPACE_CHARACTERS}]+\z")
         & ((F.length(found) <= 10) | found.rlike(r"[\p{Nd}=$()^]"))
     )
     line = F.when(is_answer, F.substr(found, F.lit(2)))

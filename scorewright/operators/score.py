@@ -94,6 +94,7 @@ def grade(
     """
     adapters = list(adapters or REGISTRY.values())
     responses = responses.select(*[name for name in RESPONSE_COLUMNS if name in responses.columns])
+    items, responses = (table.withColumn("example_id", F.col("example_id").cast("string")) for table in (items, responses))
     joined = join_responses(
         with_truth_key(items, adapters), with_extracted_answer(responses, adapters), keep_unanswered, salt
     )

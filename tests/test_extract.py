@@ -124,7 +124,8 @@ def test_number_answer_random(spark):
 
 def test_number_answer_on_long_text(spark):
     texts = ["word " * 200_000 + "1,234 items", "= x " * 100_000, " " * 300_000 + "$ 5.", "answer is\n" * 100_000]
-    assert column(spark, texts, extract.number_answer) == ["1234", "", "5", ""]
+    texts += ["so, the result " * 50_000 + "is 3", "so, the result is 4" + " result 12x" * 50_000, "1" * 500_000 + "x"]
+    assert column(spark, texts, extract.number_answer) == ["1234", "", "5", "", "3", "4", ""]
 
 
 @pytest.mark.parametrize(
@@ -186,6 +187,11 @@ def test_math_keyword_step_has_no_effect():
     assert [t for t in texts if python_math(t) != python_math_with_keywords(t)] == []
 
 
+def test_math_answer_on_long_text(spark):
+    texts = ["\\boxed{" * 100_000, "word " * 200_000 + "\n7", "\\boxed{3}" + "\n\\boxed{" * 100_000, "(" * 500_000]
+    assert column(spark, texts, extract.math_answer) == ["", "7", "3", ""]
+
+
 def grade(spark, grader, rows):
     table = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "i INT, e STRING, t STRING").orderBy("i")
     return [row[0] for row in table.select(grader.grade(F.col("e"), F.col("t"))).collect()]
