@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scorewright import fixed
+from scorewright.schemas import CANDIDATES
 
 
 def _array(values: Sequence) -> Column:
@@ -29,22 +30,22 @@ def fixed_choices(choices: Sequence) -> Column:
 
 def top_candidates(candidates: Column, k: int = fixed.TOP_LOGPROBS) -> Column:
     """The ``k`` likeliest candidates, equal ones by token."""
-    ranked = F.transform(candidates, lambda c: F.struct(c["logprob"].alias("logprob"), c["token"].alias("token")))
-    best = F.slice(F.sort_array(ranked, asc=False), 1, k)
-    return F.transform(best, lambda c: F.struct(c["token"].alias("token"), c["logprob"].alias("logprob")))
+    by_logprob = F.arrays_zip(candidates["logprob"], candidates["token"])
+    best = F.slice(F.sort_array(by_logprob, asc=False), 1, k).cast("array<struct<logprob: double, token: string>>")
+    return F.arrays_zip(best["token"], best["logprob"]).cast(CANDIDATES)
 
 
 def choice_logprobs(candidates: Column, choices: Column) -> Column:
-    """Token to log-probability for the choices that are among the candidates.
+    """Token to log-probability for candidates among the choices.
 
     The last of several candidates with the same token counts; no candidates
-    give an empty map. Every choice looks through the candidates, so these should
-    be a column of their own, not a longer expression.
+    give an empty map.
     """
+    empty = F.create_map().cast("map<string,double>")
+    kept = F.filter(candidates, lambda candidate: F.array_contains(choices, candidate["token"]))
 
-    def with_logprob(choice: Column) -> Column:
-        same = F.filter(candidates, lambda candidate: candidate["token"] == choice)
-        return F.struct(choice.alias("token"), F.try_element_at(same, F.lit(-1))["logprob"].alias("logprob"))
+    def put(found: Column, candidate: Column) -> Column:
+        others = F.map_filter(found, lambda token, _: token != candidate["token"])
+        return F.map_concat(others, F.create_map(candidate["token"], candidate["logprob"]))
 
-    found = F.filter(F.transform(choices, with_logprob), lambda entry: entry["logprob"].isNotNull())
-    return F.map_from_entries(found)
+    return F.coalesce(F.aggregate(kept, empty, put), empty)

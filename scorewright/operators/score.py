@@ -117,8 +117,9 @@ def assemble(
             lambda a: a.choices,
             lambda fixed: choices_for(F.col("ground_truth")) if fixed is None else fixed_choices(fixed),
         )
-        graded = graded.withColumn("first_token_logprobs", top_candidates(F.col("first_token_logprobs")))
-        logprobs = choice_logprobs(F.col("first_token_logprobs"), choices)
+        # Columns of their own, as every candidate looks at the choices.
+        graded = graded.withColumns({"candidates": top_candidates(F.col("first_token_logprobs")), "choices": choices})
+        logprobs = choice_logprobs(F.col("candidates"), F.col("choices"))
     else:
         logprobs = F.create_map().cast("map<string,double>")
     return graded.select(
