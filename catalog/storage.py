@@ -15,7 +15,7 @@ from scorewright.operators.items import build_items
 from scorewright.operators.metrics import run_metrics
 from scorewright.operators.score import score
 from scorewright.plans.evaluate import evaluate
-from scorewright.schemas import METRICS, RESULTS
+from scorewright.schemas import RESULTS
 from scorewright.sources import benchmark, sinks
 from scorewright.sources.runs import read_metrics, read_run_metrics
 from scorewright.sources.storage import shared_folder
@@ -102,7 +102,7 @@ def result_arrays(spark, folder):
 def saved_metrics(spark, folder):
     path = shared_folder(spark, "evaluation")
     evaluate(*mixed_tables(spark, folder), path)
-    saved = read_run_metrics(spark, f"{path}/metrics", StructType.fromDDL(METRICS))
+    saved = read_run_metrics(spark, f"{path}/metrics")
     return saved.select("model", "dataset", "split", "total_samples", "accuracy")
 
 

@@ -11,7 +11,7 @@ from scorewright.operators.adapter import Adapter
 from scorewright.operators.generate import Model, generate
 from scorewright.operators.metrics import run_metrics
 from scorewright.operators.score import assemble, grade
-from scorewright.sources.sinks import write_metrics
+from scorewright.sources.sinks import write_by_run, write_metrics
 
 
 def evaluate(
@@ -20,6 +20,7 @@ def evaluate(
     output_dir: str,
     adapters: Sequence[Adapter] | None = None,
     format: str = "parquet",
+    by_run: bool = False,
     **options,
 ) -> DataFrame:
     """Score responses, add their result rows to ``output_dir/rows`` and save the metrics of the runs.
@@ -29,6 +30,7 @@ def evaluate(
     the saved rows, of which Parquet reads only the few columns they need.
 
     :param format: file format of the rows, ``parquet`` or ``json``
+    :param by_run: lay the rows out in a folder per run, see :func:`write_by_run`
     :param options: of :func:`scorewright.operators.score.grade`
     :return: the metrics, one row per run
     """
@@ -37,7 +39,10 @@ def evaluate(
     graded = grade(items, responses, adapters, **options)
     timing = [name for name in ("started_at", "finished_at") if name in graded.columns]
     results = assemble(graded, adapters, extra=timing)
-    results.write.format(format).option("ignoreNullFields", False).save(rows)
+    if by_run:
+        write_by_run(results, rows, format)
+    else:
+        results.write.format(format).option("ignoreNullFields", False).save(rows)
     saved = results.sparkSession.read.schema(results.schema).format(format).load(rows)
     metrics = run_metrics(saved)
     write_metrics(metrics, f"{root}/metrics")

@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from scorewright.operators.adapter import Adapter
 from scorewright.operators.benchmarks import get_adapter
@@ -30,9 +30,13 @@ def read_benchmark(
     if adapter is not None:
         split, subset = split or adapter.split, subset or adapter.subset
     table = spark.read.parquet(path)
+    # Folder names stay text, also those that look like numbers.
+    as_text = StructType([StructField(f.name, StringType()) if f.name in ("split", "subset") else f for f in table.schema])
+    if as_text != table.schema:
+        table = spark.read.schema(as_text).parquet(path)
     for name, wanted in (("split", split), ("subset", subset)):
         if wanted is not None:
-            table = table.where(F.col(name).cast("string") == wanted)
+            table = table.where(F.col(name) == wanted)
     return table
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from scorewright.schemas import METRICS
+
 _CORRUPT = "_corrupt_record"
 # Last part before "_metrics.json" is the split, all before it the dataset.
 # A folder of that name may hold the file, and folder names may carry their partition column.
@@ -50,7 +52,7 @@ def read_metrics(spark: SparkSession, root: str, schema: StructType | None = Non
     )
 
 
-def read_run_metrics(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Metrics written by :func:`scorewright.sources.sinks.write_metrics`, all runs of a folder."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.json(path)
+    # The schema keeps folder names text, also those that look like numbers.
+    return spark.read.schema(METRICS).json(path)

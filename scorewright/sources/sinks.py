@@ -24,6 +24,20 @@ def append_rows(results: DataFrame, path: str) -> None:
     results.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
+def write_by_run(results: DataFrame, path: str, format: str = "parquet") -> None:
+    """Add result rows under one folder per run, by the runs' short names.
+
+    Rows are brought together by run first, so that a run makes few files; adaptive
+    execution splits a run that is too large for one task. This costs a shuffle of
+    the whole rows, for readers that want single runs.
+    """
+    named = results.withColumns(
+        {"model": model_label(F.col("metadata.model")), "dataset": dataset_label(F.col("metadata.dataset"))}
+    )
+    writer = named.hint("rebalance", *RUN_KEYS).write.mode("append").format(format)
+    writer.option("ignoreNullFields", False).partitionBy(*RUN_KEYS).save(path)
+
+
 def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One JSON array per partition, an element a line; the last line is held back for its comma."""
     held = None

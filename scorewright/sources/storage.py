@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """A table whose files split into fewer parts than there are cores, dealt out to all of them.
+    """A table just read whose files split into fewer parts than there are cores, dealt out to all of them.
 
     Extraction is work per row, so a table in one compressed file would keep one
     core busy. Tables in enough parts, as all large ones are, come back as they are.

@@ -126,6 +126,14 @@ def test_evaluate(spark, tables, tmp_path, format):
         "rows": "out/m.1/b_test.jsonl", "all": "out/m.1/b_test_all.json", "metrics": "out/m.1/b_test_metrics.json"}
 
 
+def test_rows_by_run(spark, tables, tmp_path):
+    metrics = evaluate(*tables, str(tmp_path / "by_run"), [BBH], by_run=True)
+    plain_metrics = evaluate(*tables, str(tmp_path / "plain"), [BBH])
+    assert plain(metrics) == plain(plain_metrics)
+    folders = sorted(str(p.relative_to(tmp_path)).split("/")[3:] for p in (tmp_path / "by_run/rows").glob("*/*/*/*"))
+    assert folders == [["model=m.0", "dataset=bbh", "split=test"], ["model=m.1", "dataset=bbh", "split=test"]]
+
+
 def test_matrix_csv(spark, tmp_path):
     runs = spark.createDataFrame([("a", "x", "t", 0.5), ("b", "y", "t", None)], "model STRING, dataset STRING, split STRING, accuracy DOUBLE")
     sinks.write_accuracy_matrix(runs, str(tmp_path / "m"))
@@ -136,14 +144,14 @@ def test_matrix_csv(spark, tmp_path):
 
 def test_benchmark_scan_prunes_folders(spark, tmp_path):
     path = str(tmp_path / "b")
-    spark.sql("select id, 'q' as input, if(id % 2 = 0, 'test', 'train') as split, 's' || id % 3 as subset from range(30)").write.partitionBy(
+    spark.sql("select id, 'q' as input, if(id % 2 = 0, 'test', 'train') as split, '0' || id % 3 as subset from range(30)").write.partitionBy(
         "split", "subset"
     ).parquet(path)
-    table = benchmark.read_benchmark(spark, path, BBH, subset="s1")
+    table = benchmark.read_benchmark(spark, path, BBH, subset="01")
     assert table.count() == 5
     plan = table._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[.*test.*s1", plan)
-    assert {r.subset for r in benchmark.list_subsets(benchmark.read_benchmark(spark, path)).collect()} == {"s0", "s1", "s2"}
+    assert re.search(r"PartitionFilters: \[.*test.*01", plan)
+    assert {r.subset for r in benchmark.list_subsets(benchmark.read_benchmark(spark, path)).collect()} == {"00", "01", "02"}
 
 
 def test_synthetic(spark, tmp_path):
