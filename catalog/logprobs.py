@@ -64,7 +64,8 @@ _TOKEN_LIST = "[" + ", ".join(f"'{token}'" for token in TOKENS) + "]"
 _LONG = f"""(select p_partkey, p_size, ground_truth, k, case when k <= 10 then {_TOKEN_LIST}[k] else 't' || k end as token,
     -cast(1 + (p_partkey * k) % 31 as double) / 4 as logprob
   from (select p_partkey, p_size, {TRUTH} as ground_truth, unnest(generate_series(1, 30)) as k from part))"""
-_FAMILY = """case when regexp_full_match(ground_truth, '[(][A-Q][)]') then list_transform(string_split('ABCDEFGHIJKLMNOPQ', ''), lambda x: '(' || x || ')')
+_FAMILY = """case when regexp_full_match(ground_truth, '[(][A-Q][)]')
+      then list_transform(string_split('ABCDEFGHIJKLMNOPQ', ''), lambda x: '(' || x || ')')
     when regexp_full_match(ground_truth, '[A-F]') then ['A', 'B', 'C', 'D', 'E', 'F']
     when ground_truth in ('True', 'False') then ['True', 'False']
     when ground_truth in ('Yes', 'No') then ['Yes', 'No']

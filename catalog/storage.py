@@ -12,7 +12,6 @@ from catalog.runs import DATASETS, SQL_SCORED_RUNS, scored_runs
 from catalog.scoring import choice_tables, mixed_tables
 from scorewright.operators.benchmarks import BBH
 from scorewright.operators.items import build_items
-from scorewright.operators.metrics import run_metrics
 from scorewright.operators.score import score
 from scorewright.plans.evaluate import evaluate
 from scorewright.schemas import RESULTS

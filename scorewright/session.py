@@ -7,6 +7,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Lets responses be hashed against items instead of sorted, where each shuffled part of the items
+    # turns out to be no larger than this. Items are unique by key, so none of their parts is hot.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # The JVM does not compile methods over 8000 bytes. Grading many benchmarks at once can exceed
     # that in one generated method; Spark then generates smaller ones per operator instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",

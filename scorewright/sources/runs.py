@@ -1,7 +1,5 @@
 """Reading the metrics files of many runs."""
 
-from urllib.parse import quote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType

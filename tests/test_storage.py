@@ -7,7 +7,6 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
-from pyspark.sql import functions as F
 
 from catalog import all_queries
 from scorewright import aggregate_runs, score
