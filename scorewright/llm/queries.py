@@ -2,20 +2,52 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scorewright.llm.decontaminate import contaminated
 from scorewright.llm.jaccard_join import jaccard_join
+from scorewright.llm.mixing import label_domains, mix
+from scorewright.llm.quality_crf import fit, quality
+from scorewright.llm.suffix_dedup import suffix_dedup
+
+# Shares of all tokens that each domain of the labels is to have.
+TARGETS = {"clean": 0.9, "junk": 0.08, "toxic": 0.02}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the benchmark items that they hold."""
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each document without strings of 200 bytes that stand in more than one place."""
+    return suffix_dedup(table(spark, folder, "documents"), length=200)
+
+
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """A rate for each document that brings the domains of the labels to their target shares."""
+    return mix(table(spark, folder, "documents"), label_domains(table(spark, folder, "labels")), TARGETS)
+
+
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the component of those whose shingle sets are alike."""
     return jaccard_join(table(spark, folder, "documents"), n=4, share=85, of=100)
 
 
+def op9_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of each document, learnt from the labels of keys that are not held out."""
+    docs = table(spark, folder, "documents")
+    return quality(docs, fit(docs, table(spark, folder, "labels")))
+
+
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op7_mixing": op7_mixing,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_quality_crf": op9_quality_crf,
 }
 
 SQL: dict[str, str] = {}

@@ -13,19 +13,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame from a checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share.
 
-    Only a local session without that setting gets a temporary folder; a cluster has to name a shared one.
+    Only a local session without that setting gets a temporary folder; a cluster has to name one.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+    return folder.rstrip("/")
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame from a checkpoint in the shared folder."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint(eager=True)
 
 
