@@ -3,10 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from scorewright.llm.decontaminate import contaminated
+from scorewright.llm.html_text import html_text
 from scorewright.llm.jaccard_join import jaccard_join
+from scorewright.llm.language_id import fit as fit_languages
+from scorewright.llm.language_id import language_id
+from scorewright.llm.license_scan import license_scan
 from scorewright.llm.mixing import label_domains, mix
 from scorewright.llm.quality_crf import fit, quality
 from scorewright.llm.suffix_dedup import suffix_dedup
+from scorewright.llm.topk import top_k
 
 # Shares of all tokens that each domain of the labels is to have.
 TARGETS = {"clean": 0.9, "junk": 0.08, "toxic": 0.02}
@@ -16,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and wordings in each document."""
+    return license_scan(table(spark, folder, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and the benchmark items that they hold."""
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -26,6 +36,16 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup(table(spark, folder, "documents"), length=200)
 
 
+def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best partners of every fiftieth vector by integer inner product."""
+    return top_k(table(spark, folder, "embeddings"), k=5, every=50)
+
+
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of each page."""
+    return html_text(table(spark, folder, "pages"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """A rate for each document that brings the domains of the labels to their target shares."""
     return mix(table(spark, folder, "documents"), label_domains(table(spark, folder, "labels")), TARGETS)
@@ -42,12 +62,22 @@ def op9_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
     return quality(docs, fit(docs, table(spark, folder, "labels")))
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of each document, learnt from those that are not held out."""
+    docs = table(spark, folder, "documents")
+    return language_id(docs, fit_languages(docs))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_topk": op5_topk,
+    "op6_html_text": op6_html_text,
     "op7_mixing": op7_mixing,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_crf": op9_quality_crf,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {}
