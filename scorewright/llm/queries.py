@@ -9,6 +9,7 @@ from scorewright.llm.language_id import fit as fit_languages
 from scorewright.llm.language_id import language_id
 from scorewright.llm.license_scan import license_scan
 from scorewright.llm.mixing import label_domains, mix
+from scorewright.llm.passage_dedup import passage_dedup
 from scorewright.llm.quality_crf import fit, quality
 from scorewright.llm.suffix_dedup import suffix_dedup
 from scorewright.llm.topk import top_k
@@ -31,6 +32,11 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op3_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words and more with a near duplicate elsewhere."""
+    return passage_dedup(table(spark, folder, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of each document without strings of 200 bytes that stand in more than one place."""
     return suffix_dedup(table(spark, folder, "documents"), length=200)
@@ -71,6 +77,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
+    "op3_passage_dedup": op3_passage_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_topk": op5_topk,
     "op6_html_text": op6_html_text,
