@@ -88,7 +88,8 @@ def _rate(errors: list[list[float]], mass: list[float]) -> Column:
     rate = F.lit(1.0)
     for error in errors:
         slope = _total([F.col(f"p{i}") * (e / m) for i, (e, m) in enumerate(zip(error, mass))])
-        rate = F.greatest(F.lit(0.0), rate - (slope + PULL * (rate - 1)) / (1 + PULL))
+        # The rate stands here once, or the expression would double with every step.
+        rate = F.greatest(F.lit(0.0), (rate - slope + PULL) / (1 + PULL))
     return rate
 
 
@@ -122,7 +123,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: st
         now = start
         for _ in range(steps):
             error = [n - w if m > 1e-12 else 0.0 for n, w, m in zip(now, wanted, mass)]
-            if max(abs(e) for e in error) < TOLERANCE:
+            if max(abs(e) for e in error) < TOLERANCE or errors and max(abs(e - f) for e, f in zip(error, errors[-1])) < TOLERANCE / 100:
                 break
             errors.append(error)
             now = shares(_rate(errors, mass))
