@@ -16,11 +16,12 @@ from scorewright.llm.session import checkpointed
 
 # Labelled documents to count words of, at most; buckets that words are hashed to; buckets kept for the classifier.
 SAMPLE, BUCKETS, KEPT = 20000, 1 << 18, 4096
-# Counts that a bucket is taken to have in every domain beforehand, as often as expected.
-PRIOR_COUNT = 2.0
+# Counts that a bucket is taken to have in every domain beforehand, as often as expected; and how unlikely, as half a
+# log-likelihood statistic, a bucket's counts have to be if it did not depend on the domain.
+PRIOR_COUNT, TELLING = 2.0, 10.0
 # Decimals of posteriors.
 DECIMALS = 3
-STEPS, TOLERANCE, PULL = 60, 1e-4, 1e-3
+STEPS, TOLERANCE, PULL = 40, 1e-4, 1e-3
 
 
 def _words(text: str) -> Column:
@@ -48,7 +49,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], key: st
     # At most ``sample`` rows of a key and a name, so the broadcast is bounded.
     chosen = checkpointed(known.orderBy(F.xxhash64("_key"), "_key").limit(sample).select("_key", "_domain"))
     rows = docs.join(F.broadcast(chosen), F.col(f"`{key}`").cast("long") == chosen["_key"])
-    rows = rows.select("_domain", F.explode(_words(text)).alias("word")).where("word <> ''")
+    rows = rows.select("_domain", F.explode(F.array_distinct(_words(text))).alias("word")).where("word <> ''")
     count = [F.sum((F.col("_domain") == d).cast("long")).cast("double").alias(f"c{i}") for i, d in enumerate(domains)]
     counts = checkpointed(rows.groupBy(_bucket(F.col("word")).alias("bucket")).agg(*count))
     totals = [t or 0.0 for t in counts.agg(*(F.sum(f"c{i}") for i in range(len(domains)))).first()]
@@ -56,7 +57,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], key: st
     weights = [F.log((F.col(f"c{i}") + PRIOR_COUNT) / (e + PRIOR_COUNT)) for i, e in enumerate(expected)]
     tells = _total([F.abs((F.col(f"c{i}") - e) * w) for i, (e, w) in enumerate(zip(expected, weights))])
     kept = counts.select("bucket", *(w.alias(f"w{i}") for i, w in enumerate(weights)), tells.alias("tells"))
-    kept = checkpointed(kept.orderBy(F.desc("tells"), "bucket").limit(KEPT).drop("tells"))
+    kept = checkpointed(kept.where(F.col("tells") >= TELLING).orderBy(F.desc("tells"), "bucket").limit(KEPT).drop("tells"))
     sizes = {r["_domain"]: r["count"] for r in chosen.groupBy("_domain").count().collect()}
     many = sum(sizes.values()) + len(domains)
     return kept, [math.log((sizes.get(d, 0) + 1) / many) for d in domains]
@@ -65,15 +66,16 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], key: st
 def memberships(docs: DataFrame, model: DataFrame, priors: list[float], key: str, text: str) -> DataFrame:
     """(doc_id, n_tokens, p0, p1, ...) of every row: words of its text, and its posterior to DECIMALS decimals.
 
-    Evidence counts with the root of the number of words that give any, since words of a text are not independent.
+    Evidence counts with the root of the number of distinct words that give any, since words of a text are not
+    independent.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), _words(text).alias("words"))
-    rows = rows.select("doc_id", "row", F.explode_outer("words").alias("word"))
-    counted = F.coalesce(F.col("word") != "", F.lit(False))
+    many = F.coalesce(F.size(F.array_remove("words", "")), F.lit(0)).cast("long")
+    rows = rows.select("doc_id", "row", many.alias("n_tokens"), F.explode_outer(F.array_distinct("words")).alias("word"))
     # The model has at most KEPT rows, so the broadcast is bounded.
-    joined = rows.join(F.broadcast(model), F.when(counted, _bucket(F.col("word"))) == model["bucket"], "left")
+    joined = rows.join(F.broadcast(model), F.when(F.col("word") != "", _bucket(F.col("word"))) == model["bucket"], "left")
     sums = [F.sum(F.coalesce(f"w{i}", F.lit(0.0))).alias(f"s{i}") for i in range(len(priors))]
-    rows = joined.groupBy("row", "doc_id").agg(F.sum(counted.cast("long")).alias("n_tokens"), F.count("bucket").alias("hits"), *sums)
+    rows = joined.groupBy("row", "doc_id", "n_tokens").agg(F.count("bucket").alias("hits"), *sums)
     temper = F.sqrt(F.greatest(F.col("hits"), F.lit(1)))
     score = [F.lit(p) + F.col(f"s{i}") / temper * 4 for i, p in enumerate(priors)]
     rows = rows.select("doc_id", "n_tokens", *(s.alias(f"l{i}") for i, s in enumerate(score)))
@@ -84,13 +86,18 @@ def memberships(docs: DataFrame, model: DataFrame, priors: list[float], key: str
 
 
 def _rate(errors: list[list[float]], mass: list[float]) -> Column:
-    """The rate after the steps whose errors are given, from 1 on: a step against the gradient, then back to at least 0."""
-    rate = F.lit(1.0)
-    for error in errors:
-        slope = _total([F.col(f"p{i}") * (e / m) for i, (e, m) in enumerate(zip(error, mass))])
-        # The rate stands here once, or the expression would double with every step.
-        rate = F.greatest(F.lit(0.0), (rate - slope + PULL) / (1 + PULL))
-    return rate
+    """The rate after the steps whose errors are given, from 1 on: a step against the gradient, then back to at least 0.
+
+    The steps are data, an array that is gone through, so the expression's code is the same after any number of them.
+    """
+    if not errors:
+        return F.lit(1.0)
+    slopes = F.array(*(F.array(*(F.lit(e / m) for e, m in zip(error, mass))) for error in errors))
+
+    def step(rate: Column, slope: Column) -> Column:
+        return F.greatest(F.lit(0.0), (rate - _total([F.col(f"p{i}") * slope[i] for i in range(len(mass))]) + PULL) / (1 + PULL))
+
+    return F.aggregate(slopes, F.lit(1.0), step)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", sample: int = SAMPLE, steps: int = STEPS) -> DataFrame:
