@@ -61,15 +61,17 @@ def minimizer_segments(data: np.ndarray, offsets: np.ndarray, length: int, gram:
     return window[begin], count, place[begin], prefix
 
 
-# ``seen``: 0 a segment seen once so far, 1 the first of several equal ones, 2 a further one, which is settled.
+# ``seen``: 0 a segment whose equals are to be found, 1 one of which a task has seen two, 2 a further one, which is
+# settled; settled segments that follow on each other are one row.
 _SEGMENTS = "m long, u long, start long, windows int, seen int"
 
 
 def _segments(length: int, gram: int):
-    """Segments of all texts; a task looks at equal texts once."""
+    """Segments of all texts; a task looks at equal texts once, and tells of equal segments twice."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
+        once, twice = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for rows in batches:
             ids, content = np.asarray(rows.column("u")), np.asarray(rows.column("k"))
             fresh = []
@@ -86,11 +88,22 @@ def _segments(length: int, gram: int):
                     continue
                 m = span_hashes(prefix, place, place + gram)
                 whole = span_hashes(prefix, start, start + count - 1 + length)
-                _, first, number, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+                each, first, number, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+                again, settled = np.isin(each, once, assume_unique=True), np.isin(each, twice, assume_unique=True)
                 seen = np.where(times[number] == 1, 0, 2)
                 seen[first[times > 1]] = 1
+                seen[first[again]] = 1
+                seen[settled[number]] = 2
+                more = (again | (times > 1)) & ~settled
+                once = np.union1d(once[~np.isin(once, each[again])], each[~again & ~settled & (times == 1)])
+                twice = np.union1d(twice, each[more])
                 row = np.searchsorted(chunk.offsets, start, "right") - 1
                 # An empty text begins where the next one does; the last of them has the bytes.
+                fresh = np.ones(len(seen), bool)
+                fresh[1:] = (seen[1:] != 2) | (seen[:-1] != 2) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + count[:-1])
+                begin = np.flatnonzero(fresh)
+                count = np.add.reduceat(count, begin)
+                m, row, start, seen = m[begin], row[begin], start[begin], seen[begin]
                 yield batch(_SEGMENTS, signed(m), ids[chunk.first + row], start - chunk.offsets[row], count.astype(np.int32), seen.astype(np.int32))
 
     return run
@@ -234,7 +247,7 @@ _PACKED = "u long, doc_id long, z binary"
 
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, since they are to be shuffled."""
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     for rows in batches:
         column = rows.column(2)
         packed = pa.array((pack.compress((t.as_py() or "").encode()) for t in column), pa.binary())
@@ -254,7 +267,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     copied = long_enough.select("u", "k", "n").join(same, ["k", "n"]).select("u").distinct()
 
     segments = long_enough.select("u", "k", "text").mapInArrow(_segments(length, gram), _SEGMENTS)
-    again = segments.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.sum((F.col("seen") < 2).cast("int")).alias("together")).where("c > 1")
+    again = segments.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.max("seen").alias("seen"), F.sum((F.col("seen") < 2).cast("int")).alias("together")).where("c > 1 or seen > 0")
     open_ = segments.join(again.select("m", "together"), "m")
     by_text = open_.groupBy("u").agg(F.collect_list(F.struct("m", "start", "windows", "seen", "together")).alias("segments"))
     dealt = packed(docs, key, text).select("u", "z").join(by_text, "u").mapInArrow(_deal(length), _DEALT)
