@@ -87,4 +87,28 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+_SETS = r"""
+words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i+3], ' '))) end as s from words)"""
+
+SQL: dict[str, str] = {
+    "op5_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+ranked as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5""",
+    "op8_jaccard_join": f"""
+with recursive {_SETS},
+rare as (select doc_id, unnest(s) as g from sets),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as n from rare a join rare b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select x, y from shared join sets p on p.doc_id = x join sets q on q.doc_id = y where 100 * n >= 85 * (len(p.s) + len(q.s) - n)),
+reach as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles,
+    least(s.doc_id, coalesce((select min(y) from reach r where r.x = s.doc_id), s.doc_id)) as component_id,
+    (select count(*) from links l where l.x = s.doc_id) as n_links
+from sets s""",
+}
