@@ -31,9 +31,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     groups = jaccard_join(docs, n=5, share=80, of=100).where("doc_id is not null and doc_id <> component_id")
     gone = groups.select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    row = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.uuid()))
-    return left.withColumn("_row", row).dropDuplicates(["_row"]).drop("_row")
+    # Dropping repeated rows by the key that was joined on moves no row again.
+    left = docs.where("doc_id is not null").join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return left.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
