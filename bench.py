@@ -60,6 +60,8 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # The test tables are few small files; so they are read in as many parts as there are cores.
+        .config("spark.sql.files.maxPartitionBytes", "1m")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

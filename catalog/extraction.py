@@ -52,7 +52,7 @@ def labelled_documents(spark, folder):
     responses = view(spark, folder, DOCUMENTS).withColumn("answer", extract.after_marker(F.col("response")))
     truths = table(spark, folder, "labels").select("doc_id", F.when(F.col("quality") == 1, "A").otherwise("B").alias("truth"))
     languages = table(spark, folder, "documents").select("doc_id", "lang")
-    graded = responses.select("doc_id", "answer").join(truths, "doc_id").join(languages, "doc_id")
+    graded = responses.select("doc_id", "answer").join(truths, "doc_id", "left").join(languages, "doc_id")
     graded = graded.withColumn("is_correct", EXACT.grade(F.col("answer"), F.col("truth")))
     return graded.groupBy("lang").agg(
         F.count(F.lit(1)).alias("total_samples"),
@@ -94,7 +94,7 @@ QUERIES = [
           f"""select lang, count(*) as total_samples, count(*) filter (where {inputs.sql_exact('answer', 'truth')}) as n_correct,
             cast(sum(length(answer)) as bigint) as answer_chars
           from (select doc_id, {inputs.sql_marker('response')} as answer from {sql_view(DOCUMENTS)})
-            join (select doc_id, case when quality = 1 then 'A' else 'B' end as truth from labels) using (doc_id)
+            left join (select doc_id, case when quality = 1 then 'A' else 'B' end as truth from labels) using (doc_id)
             join (select doc_id, lang from documents) using (doc_id)
           group by lang"""),
 ]

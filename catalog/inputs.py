@@ -4,22 +4,19 @@ The test tables hold no model responses, so views make them from their rows: an
 item for every part, a response for every line item.
 """
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from scorewright import fixed
-from scorewright.sources.storage import spread
+from scorewright.sources import storage
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels",
           "conversations", "benchmark", "pages", "embeddings")
 
 
-# Those that become responses, and so get work on each row.
-LARGE_TABLES = {"lineitem", "documents"}
-
-
 @dataclass(frozen=True)
 class Query:
     """A registered query.
@@ -39,11 +36,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_OWN_FOLDER: list[tempfile.TemporaryDirectory] = []
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder under ``spark.checkpoint.dir``; under one folder of this process, which goes with it, where a local
+    session has no such setting."""
+    if spark.conf.get("spark.checkpoint.dir", None) or not spark.conf.get("spark.master", "").startswith("local["):
+        return storage.shared_folder(spark, purpose)
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append(tempfile.TemporaryDirectory(prefix="catalog-"))
+    return storage.shared_folder(spark, purpose, _OWN_FOLDER[0].name)
+
+
 def view(spark: SparkSession, folder: str, template: str) -> DataFrame:
     """A view in Spark, over the folder's tables that it names."""
     tables = {name: table(spark, folder, name) for name in TABLES if f"{{{name}}}" in template}
-    for name in LARGE_TABLES & tables.keys():
-        tables[name] = spread(tables[name])
     return spark.sql(template, **tables)
 
 
@@ -199,7 +207,7 @@ from (select *, cast(case when quantity > 25 then l_partkey % 50 else quantity e
 # Number and math responses with their truths, row by row.
 NUMBER_ROWS = f"""
 select l_partkey, l_orderkey, concat('First ', cast(l_partkey % 50 as string), ' then more. #### 72') as ground_truth,
-  {_NUMBER_TEXT} as response
+  case l_orderkey % 11 when 0 then '' when 1 then null else {_NUMBER_TEXT} end as response
 from (select *, cast(case when quantity > 25 then l_partkey % 50 else quantity end as string) as n from ({_LINES}))"""
 
 MATH_ROWS = f"""

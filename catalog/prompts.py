@@ -28,7 +28,8 @@ def items_query(name, ids, adapter, source, columns, prompt, truth, split, subse
         prompt = joined(text(adapter.instruction + "\n "), prompt)
 
     def run(spark, folder):
-        return build_items(table(spark, folder, source).selectExpr(*inputs), adapter)
+        # The rows of MuSR have labels outside its map, which are to give a null truth here.
+        return build_items(table(spark, folder, source).selectExpr(*inputs), adapter, strict=adapter is not benchmarks.MUSR)
 
     sql = f"""select cast({key} as varchar) as example_id, {text(adapter.name)} as dataset, {text(split)} as split,
       {subset} as subset, {prompt} as prompt, {truth} as ground_truth from {source}"""
@@ -74,14 +75,14 @@ def keyed_items(spark, folder):
 
 
 def unkeyed_items(spark, folder):
-    """Documents without their id: equal rows become one item."""
+    """Documents without their id: of equal rows each is an item."""
     texts = table(spark, folder, "documents").select(F.col("text").alias("input"), F.col("lang").alias("target"))
     return build_items(with_content_id(texts), benchmarks.BBH).select("dataset", "prompt", "ground_truth")
 
 
 def chat_prompts(spark, folder):
-    """System and user message for every user turn, when the asked model takes messages."""
-    turns = table(spark, folder, "conversations").where("role = 'user'")
+    """System and user message for every turn, when the asked model takes messages."""
+    turns = table(spark, folder, "conversations")
     model = F.concat(F.lit("org/Model-"), F.element_at(F.array(*map(F.lit, ("base", "Chat", "INSTRUCT"))), (F.col("turn") % 3 + 1).cast("int")))
     asked = turns.withColumn("model", model).where(is_chat_model(F.col("model")))
     return asked.select("conv_id", "turn", "model", F.posexplode(chat_messages(F.col("text")))).select(
@@ -172,13 +173,12 @@ QUERIES = [
  '''), 'p_name', NL, text(fixed.KEYED_OPTIONS_LINE), 'p_brand', NL, 'p_type')} as prompt,
             cast(p_size % 10 as varchar) as ground_truth from part"""),
     Query("items_without_key", ("PRJ2", "UDF1"), unkeyed_items,
-          f"""select distinct 'lukaemon/bbh' as dataset, {joined(text(fixed.INSTRUCTION + '''
+          f"""select 'lukaemon/bbh' as dataset, {joined(text(fixed.INSTRUCTION + '''
  '''), 'text')} as prompt, lang as ground_truth from documents"""),
     Query("chat_prompts", ("PRJ23", "FLT1"), chat_prompts,
           f"""select conv_id, turn, 'org/Model-' || case turn % 3 when 1 then 'Chat' else 'INSTRUCT' end as model,
             position, role, content
           from (select conv_id, turn, 0 as position, 'system' as role, {text(fixed.SYSTEM_PROMPT)} as content
-                from conversations where role = 'user'
-                union all select conv_id, turn, 1, 'user', text from conversations where role = 'user')
+                from conversations union all select conv_id, turn, 1, 'user', text from conversations)
           where turn % 3 > 0"""),
 ]

@@ -3,12 +3,11 @@
 from pyspark.sql import functions as F
 
 from catalog import inputs
-from catalog.inputs import Query, table
+from catalog.inputs import Query, shared_folder, table
 from catalog.scoring import mixed_tables
 from scorewright.functions.text import dataset_label
 from scorewright.operators import metrics
 from scorewright.operators.score import grade
-from scorewright.sources.storage import shared_folder
 
 # Two splits by the part's type, so that a model has several runs of one dataset.
 SPLIT = "case when subset < 'M' then 'test' else 'validation' end"
@@ -44,7 +43,9 @@ def run_throughput(spark, folder):
 
 def wide_metrics(spark, folder):
     """Runs that report different metrics, as one table."""
-    runs = scored_runs(spark, folder)
+    path = shared_folder(spark, "runs")
+    scored_runs(spark, folder).write.parquet(path)
+    runs = spark.read.parquet(path)
     timed = runs.where("split = 'test'").withColumn("total_time", F.col("total_samples") / 4)
     untimed = runs.where("split <> 'test'").drop("accuracy").withColumn("checked", F.col("total_samples") > 100)
     return metrics.wide_metrics(metrics.merge_metrics([timed, untimed]))
@@ -58,16 +59,22 @@ def accuracy_matrix(spark, folder):
 
 
 def accuracy_matrix_by_split(spark, folder):
-    columns = [f"{name}_{split}" for name in ("bbh", "mmlu") for split in ("test", "validation")]
-    runs = scored_runs(spark, folder).where(F.col("dataset").isin("bbh", "mmlu"))
-    return metrics.accuracy_matrix(runs, columns, by_split=True)
+    columns = [f"{name}_{split}" for name in DATASETS for split in ("test", "validation")]
+    return metrics.accuracy_matrix(scored_runs(spark, folder), columns, by_split=True)
 
 
 def models_and_datasets(spark, folder):
-    runs = scored_runs(spark, folder)
-    models = metrics.distinct_sorted(runs, "model").select(F.lit("model").alias("kind"), F.col("model").alias("name"))
-    datasets = metrics.distinct_sorted(runs, "dataset").select(F.lit("dataset").alias("kind"), F.col("dataset").alias("name"))
-    return models.unionByName(datasets)
+    """Sorted names with their positions; scoring runs once, both lists come from its saved runs."""
+    path = shared_folder(spark, "runs")
+    scored_runs(spark, folder).write.parquet(path)
+    runs = spark.read.parquet(path)
+
+    def numbered(kind):
+        # One part keeps the order of the sorted frame, so the ids count its rows.
+        names = metrics.distinct_sorted(runs, kind).coalesce(1)
+        return names.select(F.lit(kind).alias("kind"), F.col(kind).alias("name"), F.monotonically_increasing_id().alias("position"))
+
+    return numbered("model").unionByName(numbered("dataset"))
 
 
 def _cell(condition: str) -> str:
@@ -92,9 +99,11 @@ QUERIES = [
     Query("accuracy_matrix_by_split", ("AGG6", "AGG7"), accuracy_matrix_by_split,
           "select model, " + ", ".join(
               f"""{_cell(f"dataset = '{name}' and split = '{split}'")} as "{name}_{split}" """
-              for name in ("bbh", "mmlu") for split in ("test", "validation"))
-          + f" from {SQL_SCORED_RUNS} where dataset in ('bbh', 'mmlu') group by model"),
+              for name in DATASETS for split in ("test", "validation"))
+          + f" from {SQL_SCORED_RUNS} group by model"),
     Query("models_and_datasets", ("SET1", "SRT1"), models_and_datasets,
-          f"""select distinct 'model' as kind, model as name from {SQL_SCORED_RUNS}
-          union all select distinct 'dataset', dataset from {SQL_SCORED_RUNS}"""),
+          f"""select 'model' as kind, name, row_number() over (order by name) - 1 as position
+            from (select distinct model as name from {SQL_SCORED_RUNS})
+          union all select 'dataset', name, row_number() over (order by name) - 1
+            from (select distinct dataset as name from {SQL_SCORED_RUNS})"""),
 ]

@@ -72,10 +72,19 @@ from {orders}"""
 
 
 def unanswered_items(spark, folder):
-    graded = grade(view(spark, folder, CUSTOMER_ITEMS), view(spark, folder, ORDER_RESPONSES), [BBH], keep_unanswered=True)
+    """Every customer for every priority, and orders of no customer."""
+    items, responses = view(spark, folder, CUSTOMER_ITEMS), view(spark, folder, ORDER_RESPONSES)
+    graded = grade(items, responses, [BBH], keep_unanswered=True, unmatched="keep")
     return graded.select("example_id", "subset", "model", "extracted_answer", "is_correct")
 
 
+def missing_pairs_accuracy(spark, folder):
+    """Accuracy of every priority over all customers: those without an order of it count as wrong."""
+    items, responses = view(spark, folder, CUSTOMER_ITEMS), view(spark, folder, ORDER_RESPONSES)
+    metrics = run_metrics(grade(items, responses, [BBH], keep_unanswered=True))
+    return metrics.select("model", "dataset", "split", "total_samples", "accuracy")
+
+
 def generated_accuracy(spark, folder):
     def load_model():
         return lambda prompts: [f"It has {len(prompt)} signs. The answer is: ({'ABCD'[len(prompt) % 4]})." for prompt in prompts]
@@ -106,6 +115,7 @@ def user_adapter(spark, folder):
 
 _CHOICE_ROWS = f"""(select r.*, i.subset, i.prompt, i.ground_truth from {sql_view(inputs.CHOICE_RESPONSES)} r
     join {sql_view(inputs.CHOICE_ITEMS)} i using (dataset, split, example_id))"""
+_ASKED = f"""select i.*, m.model from {sql_view(CUSTOMER_ITEMS)} i cross join (select distinct model from {sql_view(ORDER_RESPONSES)}) m"""
 _LAST_WORD = "string_split(trim(response, ' .'), ' ')[-1]"
 _GENERATED = "'It has ' || length(prompt) || ' signs. The answer is: (' || substr('ABCD', 1 + length(prompt) % 4, 1) || ').'"
 
@@ -143,8 +153,16 @@ QUERIES = [
         unanswered_items,
         f"""select example_id, subset, model, {sql_marker('response')} as extracted_answer,
           {inputs.sql_exact(sql_marker('response'), 'ground_truth')} as is_correct
-        from {sql_view(CUSTOMER_ITEMS)} left join (select example_id, model, response from {sql_view(ORDER_RESPONSES)})
-          using (example_id)""",
+        from ({_ASKED}) full join (select example_id, model, response from {sql_view(ORDER_RESPONSES)}) using (example_id, model)""",
+    ),
+    Query(
+        "missing_pairs_accuracy",
+        ("JOIN1", "AGG1", "AGG2"),
+        missing_pairs_accuracy,
+        f"""select model, 'lukaemon/bbh' as dataset, 'test' as split, count(*) as total_samples,
+          cast(count(*) filter (where {inputs.sql_exact(sql_marker('response'), 'ground_truth')}) as double) / count(*) as accuracy
+        from ({_ASKED}) left join (select example_id, model, response from {sql_view(ORDER_RESPONSES)}) using (example_id, model)
+        group by model""",
     ),
     Query(
         "generated_accuracy",

@@ -1,26 +1,30 @@
 """Sources, sinks and streams: each query writes a table derived from the test tables and reads it back.
 
-What is written goes to a fresh folder under the session's ``spark.checkpoint.dir``.
+What is written goes to a fresh folder under the session's ``spark.checkpoint.dir``, or one of the catalog's own.
 """
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from catalog import inputs
-from catalog.inputs import Query, table, view
+from catalog.inputs import Query, shared_folder, table, view
 from catalog.runs import DATASETS, SQL_SCORED_RUNS, scored_runs
 from catalog.scoring import choice_tables, mixed_tables
 from scorewright.operators.benchmarks import BBH
 from scorewright.operators.items import build_items
 from scorewright.operators.score import score
+from scorewright.plans.aggregate import aggregate_runs
 from scorewright.plans.evaluate import evaluate
 from scorewright.schemas import RESULTS
 from scorewright.sources import benchmark, sinks
 from scorewright.sources.runs import read_metrics, read_run_metrics
-from scorewright.sources.storage import shared_folder
 from scorewright.streaming.incremental import running_accuracy, score_stream, stream_responses
 
 
+# So many responses arrive in a file at most.
+ROWS_PER_FILE = 50_000
+
+
 def _benchmark_folder(spark, folder):
     """Parts as a benchmark table of two splits, one folder per split and subset."""
     path = shared_folder(spark, "benchmark")
@@ -101,21 +105,37 @@ def result_arrays(spark, folder):
 def saved_metrics(spark, folder):
     path = shared_folder(spark, "evaluation")
     evaluate(*mixed_tables(spark, folder), path)
-    saved = read_run_metrics(spark, f"{path}/metrics")
+    saved = read_run_metrics(spark, path)
     return saved.select("model", "dataset", "split", "total_samples", "accuracy")
 
 
+def evaluated_reports(spark, folder):
+    """From items and responses to the two reports: evaluated twice, read back, as rows of (report, model, dataset, value)."""
+    path = shared_folder(spark, "evaluation")
+    items, responses = mixed_tables(spark, folder)
+    evaluate(items, responses, path)
+    # The models once more under another organisation, to meet the first ones' short names.
+    evaluate(items, responses.withColumn("model", F.replace("model", F.lit("org/"), F.lit("other/"))), path)
+    wide, matrix = aggregate_runs(spark, path, f"{path}-reports")
+    long = matrix.unpivot("model", [c for c in matrix.columns if c != "model"], "dataset", "value")
+    total = F.col("total_samples").cast("double").alias("value")
+    rows = wide.select(F.lit("wide").alias("report"), "model", "dataset", total)
+    return rows.unionByName(long.select(F.lit("matrix").alias("report"), "model", "dataset", "value"))
+
+
 def metrics_files(spark, folder):
-    """One metrics file per run, some of them broken, some without a sample count."""
+    """One metrics file per run, some broken, some without a sample count, and files of other names beside them."""
     path = shared_folder(spark, "runs")
     record = F.to_json(
         F.struct("accuracy", F.when(F.col("split") == "test", F.col("total_samples")).alias("total_samples"))
     )
     scored_runs(spark, folder).select(
         F.substring_index("model", "/", -1).alias("model"),
-        F.concat_ws("_", "dataset", "split", F.lit("metrics.json")).alias("run"),
+        F.explode(F.array(F.lit("metrics.json"), F.lit("all.json"))).alias("kind"),
+        "dataset",
+        "split",
         F.when(F.col("dataset") == "mmlu", F.lit("{broken")).otherwise(record).alias("value"),
-    ).write.partitionBy("model", "run").text(path)
+    ).select("model", F.concat_ws("_", "dataset", "split", "kind").alias("run"), "value").write.partitionBy("model", "run").text(path)
     return read_metrics(spark, path).select("model", "dataset", "split", "total_samples", "accuracy")
 
 
@@ -136,8 +156,8 @@ def _arriving(spark, folder):
     """Items, and a folder of response files."""
     items, responses = choice_tables(spark, folder)
     path = shared_folder(spark, "arriving")
-    responses.repartition(6).write.json(path)
-    return items, stream_responses(spark, path, files_per_batch=2)
+    responses.write.option("maxRecordsPerFile", ROWS_PER_FILE).json(path)
+    return items, stream_responses(spark, path, files_per_batch=4)
 
 
 def incremental_rows(spark, folder):
@@ -149,21 +169,17 @@ def incremental_rows(spark, folder):
 
 
 def incremental_accuracy(spark, folder):
-    """Running totals after the last micro-batch, kept by batch in a table."""
+    """Running totals; every micro-batch puts its own in the place of the last ones."""
     items, arriving = _arriving(spark, folder)
     path, checkpoint = shared_folder(spark, "totals"), shared_folder(spark, "checkpoint")
     totals = running_accuracy(items, arriving, [BBH])
 
     def save(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(path)
 
     stream = totals.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
     stream.foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
-    saved = spark.read.parquet(path)
-    latest = saved.groupBy("model", "dataset", "split").agg(
-        F.max_by("total_samples", "batch").alias("total_samples"), F.max_by("accuracy", "batch").alias("accuracy")
-    )
-    return latest
+    return spark.read.parquet(path)
 
 
 _CHOICE_ROWS = f"""(select r.*, i.ground_truth from {inputs.sql_view(inputs.CHOICE_RESPONSES)} r
@@ -192,8 +208,14 @@ QUERIES = [
     Query("appended_rows", ("SNK1",), appended_rows, _SQL_RESULTS),
     Query("result_arrays", ("SNK2",), result_arrays, _SQL_RESULTS),
     Query("saved_metrics", ("SNK3", "SNK6"), saved_metrics,
-          f"""select string_split(model, '/')[-1] as model, string_split(string_split(dataset, '/')[-1], '.')[1] as dataset,
-            split, total_samples, accuracy from {inputs.SQL_RUNS}"""),
+          f"select model, dataset, split, total_samples, accuracy from {inputs.SQL_RUNS}"),
+    Query("evaluated_reports", ("SRC6", "SRC7", "SNK3", "SNK6", "AGG4", "AGG7"), evaluated_reports,
+          f"""with runs as (select o.org || string_split(model, '/')[-1] as model, string_split(dataset, '/')[-1] as dataset,
+              total_samples, accuracy from {inputs.SQL_RUNS}, (select unnest(['org/', 'other/']) as org) o)
+          select 'wide' as report, model, dataset, cast(total_samples as double) as value from runs
+          union all select 'matrix', m.model, d.dataset, r.accuracy
+            from (select distinct model from runs) m cross join (select distinct dataset from runs) d
+            left join runs r on r.model = m.model and r.dataset = d.dataset"""),
     Query("metrics_files", ("SRC6", "SRC7", "SRC8", "SRC9", "FLT3"), metrics_files,
           f"""select string_split(model, '/')[-1] as model, dataset, split,
             case when split = 'test' then total_samples end as total_samples, accuracy

@@ -28,11 +28,29 @@ def fixed_choices(choices: Sequence) -> Column:
     return _array(choices)
 
 
-def top_candidates(candidates: Column, k: int = fixed.TOP_LOGPROBS) -> Column:
-    """The ``k`` likeliest candidates, equal ones by token."""
-    by_logprob = F.arrays_zip(candidates["logprob"], candidates["token"])
-    best = F.slice(F.sort_array(by_logprob, asc=False), 1, k).cast("array<struct<logprob: double, token: string>>")
-    return F.arrays_zip(best["token"], best["logprob"]).cast(CANDIDATES)
+def top_candidates(candidates: Column, k: int | None = fixed.TOP_LOGPROBS) -> Column:
+    """The ``k`` likeliest candidates, equal ones by token; all of them in that order when ``k`` is None."""
+    by_logprob = F.transform(candidates, lambda c: F.struct(c["logprob"].alias("logprob"), c["token"].alias("token")))
+    best = F.sort_array(by_logprob, asc=False)
+    if k is not None:
+        best = F.slice(best, 1, k)
+    return F.transform(best, lambda c: F.struct(c["token"].alias("token"), c["logprob"].alias("logprob"))).cast(CANDIDATES)
+
+
+def among(candidates: Column, choices: Column) -> Column:
+    """Candidates whose token is a choice."""
+    return F.filter(candidates, lambda candidate: F.array_contains(choices, candidate["token"]))
+
+
+def last_of_token(candidates: Column) -> Column:
+    """Of candidates with the same token the last one."""
+    backwards = F.reverse(candidates["token"])
+    return F.filter(candidates, lambda c, i: F.array_position(backwards, c["token"]) == F.size(candidates) - i)
+
+
+def as_map(candidates: Column) -> Column:
+    """Token to log-probability of candidates without repeated tokens; empty for none."""
+    return F.coalesce(F.map_from_entries(candidates), F.create_map().cast("map<string,double>"))
 
 
 def choice_logprobs(candidates: Column, choices: Column) -> Column:
@@ -41,11 +59,4 @@ def choice_logprobs(candidates: Column, choices: Column) -> Column:
     The last of several candidates with the same token counts; no candidates
     give an empty map.
     """
-    empty = F.create_map().cast("map<string,double>")
-    kept = F.filter(candidates, lambda candidate: F.array_contains(choices, candidate["token"]))
-
-    def put(found: Column, candidate: Column) -> Column:
-        others = F.map_filter(found, lambda token, _: token != candidate["token"])
-        return F.map_concat(others, F.create_map(candidate["token"], candidate["logprob"]))
-
-    return F.coalesce(F.aggregate(kept, empty, put), empty)
+    return as_map(last_of_token(among(candidates, choices)))

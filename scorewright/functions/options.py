@@ -18,6 +18,11 @@ def _text(option: Column) -> Column:
     return F.coalesce(option.cast("string"), F.lit(_NULL_TEXT))
 
 
+def shown(value: Column) -> Column:
+    """A value as it prints in a prompt."""
+    return _text(value)
+
+
 def lettered(options: Column, letters: Sequence[str], strict: bool = False) -> Column:
     """``A. text`` lines by position.
 

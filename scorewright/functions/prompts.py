@@ -12,7 +12,7 @@ def keyed_prompt(input_keys: Sequence[str]) -> Column:
     """The input columns one after the other, with the options line after the first of several."""
     parts = []
     for i, key in enumerate(input_keys):
-        parts.append(F.col(key).cast("string"))
+        parts.append(F.col(f"`{key}`").cast("string"))
         if i < len(input_keys) - 1:
             parts.append(F.lit("\n"))
         if i == 0 and len(input_keys) > 1:

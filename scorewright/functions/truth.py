@@ -31,10 +31,13 @@ def letter_by_map(label: Column, keys: Sequence, letters: Sequence[str], strict:
 
 def checked_letter(label: Column, letters: Sequence[str]) -> Column:
     """Letter for a label written as text, with an error label where there is none."""
-    index = label.cast("string").try_cast("int")
+    # Wider than any label of text is likely to be, so that a large one is out of bounds and not invalid.
+    whole = label.cast("string").try_cast("decimal(38,0)")
+    index = F.when(label.cast("string").rlike(r"^\s*[-+]?[0-9]+\s*$"), whole)
+    place = F.when(index.between(0, len(letters) - 1), index.cast("int"))
     return (
         F.when(index.isNull(), F.lit(fixed.LABEL_INVALID))
-        .when(index.between(0, len(letters) - 1), F.get(F.array(*map(F.lit, letters)), index))
+        .when(place.isNotNull(), F.get(F.array(*map(F.lit, letters)), place))
         .otherwise(F.lit(fixed.LABEL_OUT_OF_BOUNDS))
     )
 

@@ -33,6 +33,7 @@ class Adapter:
     :param instruction: text put before the prompt; None when the prompt is final
     :param prepare: reshapes the input first
     :param optional: columns that a table of this benchmark may lack
+    :param mapped_truth: whether the truth is looked up, so that none found is an error of the table
     """
 
     name: str
@@ -46,6 +47,7 @@ class Adapter:
     instruction: str | None = fixed.INSTRUCTION
     prepare: Callable[[DataFrame], DataFrame] = field(default=lambda table: table)
     optional: tuple[str, ...] = ()
+    mapped_truth: bool = False
 
     @property
     def schema(self) -> StructType:
@@ -60,7 +62,7 @@ class Adapter:
 def keyed_adapter(name: str, input_keys: Sequence[str], output_key: str, **options) -> Adapter:
     """Adapter for any table whose prompt is its input columns and whose truth is a column."""
     columns = ", ".join(f"`{key}` STRING" for key in dict.fromkeys([*input_keys, output_key]))
-    return Adapter(name, columns, lambda: keyed_prompt(input_keys), lambda: F.col(output_key), **options)
+    return Adapter(name, columns, lambda: keyed_prompt(input_keys), lambda: F.col(f"`{output_key}`"), **options)
 
 
 def pick_by_dataset(
@@ -72,8 +74,9 @@ def pick_by_dataset(
     """A column that follows each row's ``dataset``.
 
     Datasets that share a value share one branch, so many benchmarks are handled
-    in one pass over the table. A dataset without an adapter is an error, unless
-    ``otherwise`` gives it a value.
+    in one pass over the table. A dataset that an adapter names comes first; the
+    registered synthetic adapter stands for the other synthetic datasets. A dataset
+    without an adapter is an error, unless ``otherwise`` gives it a value.
     """
     branches: dict = {}
     for adapter in adapters:
@@ -82,10 +85,13 @@ def pick_by_dataset(
     if otherwise is None:
         name = F.coalesce(dataset, F.lit("null"))
         otherwise = F.raise_error(F.concat(F.lit("Dataset "), name, F.lit(" not supported")))
+    named = {name for names in branches.values() for name in names}
     chosen = None
     for shared, names in branches.items():
         of_branch = dataset.isin(*names)
-        if any(name.endswith(fixed.SYNTHETIC_SUFFIX) for name in names):
-            of_branch = of_branch | F.endswith(dataset, F.lit(fixed.SYNTHETIC_SUFFIX))
+        if fixed.SYNTHETIC_SUFFIX in names:
+            others = sorted(name for name in named - set(names) if name.endswith(fixed.SYNTHETIC_SUFFIX))
+            unnamed = F.endswith(dataset, F.lit(fixed.SYNTHETIC_SUFFIX))
+            of_branch = of_branch | (unnamed & ~dataset.isin(*others) if others else unnamed)
         chosen = F.when(of_branch, column(shared)) if chosen is None else chosen.when(of_branch, column(shared))
     return otherwise if chosen is None else chosen.otherwise(otherwise)

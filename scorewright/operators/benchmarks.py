@@ -21,6 +21,11 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
 
 
+def _shown(name: str) -> Column:
+    """A text of the prompt; a null prints as null option texts do."""
+    return options.shown(F.col(name))
+
+
 def _column(name: str):
     return lambda: F.col(name)
 
@@ -53,7 +58,7 @@ def _with_shuffled_options(correct: str, distractors: tuple[str, ...], question:
 def _shuffled_prompt() -> Column:
     return _text(
         "Question: ",
-        F.col("asked"),
+        _shown("asked"),
         "\n",
         fixed.CONTEXT_SUFFIX + "\n",
         options.numbered(F.col("shuffled"), parentheses=True),
@@ -62,12 +67,12 @@ def _shuffled_prompt() -> Column:
 
 def _labelled(question: str) -> Column:
     lines = options.labelled_lookup(F.col("choices.label"), F.col("choices.text"))
-    return _text(F.col(question), "\n", SUFFIX_LINE, lines)
+    return _text(_shown(question), "\n", SUFFIX_LINE, lines)
 
 
 def _passage_options(passage: str, question: str, option_list: Column) -> Column:
     # No line break before the suffix.
-    return _text(F.col(passage), "\n", F.col(question), SUFFIX_LINE, options.lettered(option_list, ABCD))
+    return _text(_shown(passage), "\n", _shown(question), SUFFIX_LINE, options.lettered(option_list, ABCD))
 
 
 LABELLED_CHOICES = "choices STRUCT<label: ARRAY<STRING>, text: ARRAY<STRING>>"
@@ -87,18 +92,19 @@ MMLU = Adapter(
     "cais/mmlu",
     "question STRING, choices ARRAY<STRING>, answer INT",
     lambda: _text(
-        F.col("question"), "\n\n", options.lettered(F.col("choices"), ABCD), "\n", fixed.LETTER_SUFFIX
+        _shown("question"), "\n\n", options.lettered(F.col("choices"), ABCD), "\n", fixed.LETTER_SUFFIX
     ),
     lambda: truth.letter_by_list(F.col("answer"), ABCD),
     grader=letter_grader(ABCD),
     choices=ABCD,
+    mapped_truth=True,
 )
 
 ARC = Adapter(
     "allenai/ai2_arc",
     f"question STRING, {LABELLED_CHOICES}, answerKey STRING",
     lambda: _text(
-        F.col("question"),
+        _shown("question"),
         "\n\n",
         options.labelled_zip(F.col("choices.label"), F.col("choices.text")),
         "\n",
@@ -114,7 +120,7 @@ HELLASWAG = Adapter(
     "Rowan/hellaswag",
     "ctx STRING, endings ARRAY<STRING>, label STRING, ind INT",
     lambda: _text(
-        F.col("ctx"),
+        _shown("ctx"),
         "\n\n",
         fixed.ENDING_LINE,
         options.lettered(F.col("endings"), ABCD),
@@ -133,12 +139,13 @@ WINOGRANDE = Adapter(
     "allenai/winogrande",
     "sentence STRING, option1 STRING, option2 STRING, answer STRING",
     lambda: _text(
-        F.col("sentence"), "\n", options.lettered(F.array("option1", "option2"), AB), SUFFIX_LINE
+        _shown("sentence"), "\n", options.lettered(F.array("option1", "option2"), AB), SUFFIX_LINE
     ),
     lambda: truth.letter_by_map(F.col("answer"), ("1", "2"), AB),
     split="validation",
     subset="winogrande_xl",
     choices=AB,
+    mapped_truth=True,
 )
 
 COMMONSENSE_QA = Adapter(
@@ -165,6 +172,7 @@ LOGIQA = Adapter(
     lambda: _passage_options("context", "query", F.col("options")),
     _index_letter("correct_option", ABCD),
     choices=ABCD,
+    mapped_truth=True,
 )
 
 MUSR = Adapter(
@@ -175,13 +183,14 @@ MUSR = Adapter(
     split="murder_mysteries",
     choices=ABCD,
     optional=("answer_choice",),
+    mapped_truth=True,
 )
 
 MATH_QA = Adapter(
     "allenai/math_qa",
     "Problem STRING, options STRING, correct STRING, Rationale STRING, annotated_formula STRING, "
     "category STRING, linear_formula STRING",
-    lambda: _text(F.col("Problem"), "\n", SUFFIX_LINE, options.relabel_packed(F.col("options")), "\n"),
+    lambda: _text(_shown("Problem"), "\n", SUFFIX_LINE, options.relabel_packed(F.col("options")), "\n"),
     lambda: truth.capitalized(F.col("correct")),
     choices=AB,
     optional=("Rationale", "annotated_formula", "category", "linear_formula"),
@@ -191,21 +200,23 @@ PIQA = Adapter(
     "ybisk/piqa",
     "goal STRING, sol1 STRING, sol2 STRING, label INT",
     lambda: _text(
-        F.col("goal"), "\n", SUFFIX_LINE, "A: ", F.col("sol1"), "\n", "B: ", F.col("sol2"), "\n"
+        _shown("goal"), "\n", SUFFIX_LINE, "A: ", _shown("sol1"), "\n", "B: ", _shown("sol2"), "\n"
     ),
     _index_letter("label", AB),
     split="train",
     choices=AB,
+    mapped_truth=True,
 )
 
 NEQA = Adapter(
     "inverse-scaling/NeQA",
     "prompt STRING, answer_index INT, classes ARRAY<STRING>",
-    lambda: _text(F.col("prompt"), "\n", SUFFIX_LINE),
+    lambda: _text(_shown("prompt"), "\n", SUFFIX_LINE),
     _index_letter("answer_index", AB),
     split="train",
     choices=AB,
     optional=("classes",),
+    mapped_truth=True,
 )
 
 QUALITY = Adapter(
@@ -213,10 +224,10 @@ QUALITY = Adapter(
     "article STRING, question STRING, options ARRAY<STRING>, answer INT",
     lambda: _text(
         "Context",
-        F.col("article"),
+        _shown("article"),
         "\n",
         "Question: ",
-        F.col("question"),
+        _shown("question"),
         "\n",
         fixed.CONTEXT_SUFFIX + "\n",
         options.numbered(F.col("options")),
@@ -252,9 +263,10 @@ SCIQ = Adapter(
 DROP = Adapter(
     "ucinlp/drop",
     "passage STRING, question STRING, answers_spans STRUCT<spans: ARRAY<STRING>>",
-    lambda: _text("Context", F.col("passage"), "\n", "Question: ", F.col("question")),
+    lambda: _text("Context", _shown("passage"), "\n", "Question: ", _shown("question")),
     lambda: truth.first_span(F.col("answers_spans.spans")),
     split="validation",
+    mapped_truth=True,
 )
 
 GSM8K = Adapter(

@@ -1,5 +1,6 @@
 """Batch inference hook: prompts to responses with a model the user supplies."""
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timezone
 
@@ -13,6 +14,9 @@ from scorewright.schemas import ANSWER, ANSWER_COLUMNS
 # texts or (text, [(token, logprob), ...]) pairs.
 Model = Callable[[list[str]], Sequence]
 
+# Models of this Python worker, by the call of ``generate`` that they belong to.
+_MODELS: dict[str, Model] = {}
+
 _CANDIDATES_TYPE = pa.list_(pa.struct([("token", pa.string()), ("logprob", pa.float64())]))
 _TIME_TYPE = pa.timestamp("us", tz="UTC")
 
@@ -36,10 +40,17 @@ def _answered(batch: pa.RecordBatch, prompt: str, model: Model) -> pa.RecordBatc
     return pa.RecordBatch.from_pydict(columns)
 
 
+def _model(call: str, load_model: Callable[[], Model]) -> Model:
+    if call not in _MODELS:
+        _MODELS.clear()  # Those of earlier calls only take memory.
+        _MODELS[call] = load_model()
+    return _MODELS[call]
+
+
 def generate(prompts: DataFrame, load_model: Callable[[], Model], batch_size: int = 8, prompt: str = "prompt") -> DataFrame:
     """Answer every prompt with a user's model.
 
-    ``load_model`` runs once in each task; the model then gets ``batch_size``
+    ``load_model`` runs once in each Python worker, which Spark uses for many tasks; the model then gets ``batch_size``
     prompts at a time, the last batch of an Arrow batch being shorter. Nothing is
     collected: rows stream through the Python workers in their partitions.
 
@@ -47,12 +58,12 @@ def generate(prompts: DataFrame, load_model: Callable[[], Model], batch_size: in
         times at which the row's batch started and finished
     """
 
+    call = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
         for rows in batches:
             for start in range(0, rows.num_rows, batch_size):
-                model = model or load_model()
-                yield _answered(rows.slice(start, batch_size), prompt, model)
+                yield _answered(rows.slice(start, batch_size), prompt, _model(call, load_model))
 
     kept = prompts.drop(*ANSWER_COLUMNS)
     return kept.mapInArrow(run, StructType(kept.schema.fields + StructType.fromDDL(ANSWER).fields))

@@ -25,17 +25,38 @@ def resolved_subset(table: DataFrame) -> Column:
 def with_content_id(table: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Key every row by its content, for tables that bring no key.
 
-    Rows of equal content are one item. They are reduced to one row, first within
-    each input partition, so the join with responses keeps one result for each
-    response.
+    Every row stays: rows of equal content get the content's hash and, from the
+    second on, their number among them. Equal rows are counted, first within each
+    input partition, and the count is then laid out again, so keys do not depend on
+    any order of rows.
+
+    :param columns: what makes the content; all columns by default. Rows that agree
+        on them but differ elsewhere are told apart by the other columns too.
     """
     names = list(columns or table.columns)
     content = F.to_json(F.struct(*[F.col(f"`{name}`") for name in names]), {"ignoreNullFields": "false"})
-    return table.withColumn("example_id", F.md5(content)).dropDuplicates(["example_id"])
+    counted = table.groupBy(*[F.col(f"`{name}`") for name in table.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    if set(names) != set(table.columns):
+        whole = F.to_json(F.struct(*[F.col(f"`{name}`") for name in table.columns]), {"ignoreNullFields": "false"})
+        key = F.concat_ws("-", F.md5(content), F.md5(whole))
+    else:
+        key = F.md5(content)
+    laid_out = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    numbered = F.when(F.col("_copy") == 1, key).otherwise(F.concat_ws("-", key, F.col("_copy").cast("string")))
+    return laid_out.withColumn("example_id", numbered).drop("_copies", "_copy")
+
+
+def _or_error(value: Column, message: str) -> Column:
+    key = F.coalesce(F.col("example_id").cast("string"), F.lit("null"))
+    return F.coalesce(value, F.raise_error(F.concat(F.lit(message), key)).cast("string"))
 
 
 def build_items(
-    table: DataFrame, adapter: Adapter | str, example_id: Column | str | None = None, split: str | None = None
+    table: DataFrame,
+    adapter: Adapter | str,
+    example_id: Column | str | None = None,
+    split: str | None = None,
+    strict: bool = True,
 ) -> DataFrame:
     """Project a benchmark table to items.
 
@@ -43,6 +64,9 @@ def build_items(
     :param adapter: an adapter or a registered dataset name
     :param example_id: the key instead, as a column
     :param split: literal split; else the table's ``split`` column, else the adapter's default
+    :param strict: rows that the benchmark's rules cannot express (more options than letters, fewer
+        texts than labels, a label outside the benchmark's map, no answer span) are an error; else their
+        prompt or truth is null and they count as rows without a truth
     """
     adapter = get_adapter(adapter) if isinstance(adapter, str) else adapter
     if example_id is not None:
@@ -58,11 +82,15 @@ def build_items(
     else:
         split_column = F.col("split").cast("string") if "split" in table.columns else F.lit(adapter.split)
     prepared = adapter.prepare(table)
+    prompt, truth = adapter.full_prompt(), adapter.truth().cast("string")
+    if strict:
+        prompt = _or_error(prompt, f"{adapter.name}: no prompt for item ")
+        truth = _or_error(truth, f"{adapter.name}: no answer for item ") if adapter.mapped_truth else truth
     return prepared.select(
         F.col("example_id").cast("string").alias("example_id"),
         F.lit(adapter.name).alias("dataset"),
         split_column.alias("split"),
         resolved_subset(table).alias("subset"),
-        adapter.full_prompt().alias("prompt"),
-        adapter.truth().cast("string").alias("ground_truth"),
+        prompt.alias("prompt"),
+        truth.alias("ground_truth"),
     ).to(StructType.fromDDL(ITEMS))

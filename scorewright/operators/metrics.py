@@ -63,6 +63,21 @@ def wide_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.select(*[F.col(f"`{name}`") for name in wide_columns(metrics.columns)])
 
 
+def distinct_names(metrics: DataFrame) -> DataFrame:
+    """Metrics whose short names tell runs apart: where two full names share a short one, the full ones.
+
+    Full names are in ``model_id`` and ``dataset_id``; without them nothing changes.
+    """
+    for name in ("model", "dataset"):
+        full = f"{name}_id"
+        if full not in metrics.columns:
+            continue
+        shared = metrics.groupBy(name).agg(F.count_distinct(full).alias("_full")).where("_full > 1").drop("_full")
+        metrics = metrics.join(shared.withColumn("_shared", F.lit(True)), name, "left")
+        metrics = metrics.withColumn(name, F.when(F.col("_shared"), F.coalesce(full, name)).otherwise(F.col(name))).drop("_shared")
+    return metrics
+
+
 def distinct_sorted(metrics: DataFrame, column: str) -> DataFrame:
     """The sorted models, or datasets, that have a run."""
     return metrics.select(column).distinct().orderBy(column)
@@ -79,6 +94,8 @@ def accuracy_matrix(
 
     :param datasets: the dataset columns, if known; else a job finds them
     """
+    if "accuracy" not in metrics.columns:
+        metrics = metrics.withColumn("accuracy", F.lit(None).cast("double"))
     name = F.concat_ws("_", "dataset", "split") if by_split else F.col("dataset")
     cells = metrics.select(
         "model", name.alias("column"), "split", F.coalesce(F.col("accuracy"), F.lit(0.0)).alias("accuracy")

@@ -5,7 +5,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.functions.logprobs import choice_logprobs, choices_for, fixed_choices, top_candidates
+from scorewright import fixed
+from scorewright.functions.logprobs import among, as_map, choices_for, fixed_choices, last_of_token, top_candidates
 from scorewright.operators.adapter import Adapter, pick_by_dataset
 from scorewright.operators.benchmarks import REGISTRY
 from scorewright.schemas import ITEM_KEYS, RESPONSE_COLUMNS
@@ -46,7 +47,27 @@ def with_extracted_answer(responses: DataFrame, adapters: Sequence[Adapter]) ->
     )
 
 
-def join_responses(items: DataFrame, responses: DataFrame, keep_unanswered: bool = False, salt: int = 1) -> DataFrame:
+def unique_items(items: DataFrame) -> DataFrame:
+    """The items, or an error as soon as they are read if two have one key.
+
+    Keys are counted by partial aggregation in a job of its own that is part of the plan.
+    """
+    keys = list(ITEM_KEYS)
+    most = items.groupBy(*keys).count().agg(F.max("count").alias("most"))
+    repeated = F.raise_error(F.lit("several items have the same dataset, split and example_id")).cast("boolean")
+    checked = most.select(F.when(F.col("most") > 1, repeated).otherwise(F.lit(True)))
+    return items.where(checked.scalar())
+
+
+def unmatched_responses(items: DataFrame, responses: DataFrame) -> DataFrame:
+    """Responses whose item is not there."""
+    keys = list(ITEM_KEYS)
+    return responses.join(items.select(*keys).distinct(), keys, "left_anti")
+
+
+def join_responses(
+    items: DataFrame, responses: DataFrame, keep_unanswered: bool = False, salt: int = 1, unmatched: str = "drop"
+) -> DataFrame:
     """Match responses with their items by key.
 
     Items are unique by key; any number of responses may share one. Spark
@@ -55,22 +76,36 @@ def join_responses(items: DataFrame, responses: DataFrame, keep_unanswered: bool
     ``salt`` spreads every key over that many shuffle partitions without relying
     on adaptive execution, at the price of as many copies of the (narrow) items.
 
-    With ``keep_unanswered``, items without any response are appended as rows with
-    nulls. They come from an anti join on the distinct keys of the responses,
-    which are reduced before they move, so a hot key costs nothing there.
+    With ``keep_unanswered``, every item that a model of its dataset and split did not
+    answer is appended as a row of that model with a null response; items that no model
+    was asked are appended once, without a model. They come from an anti join on the
+    distinct models and keys of the responses, which are reduced before they move, so a
+    hot key costs nothing there.
+
+    Responses without an item are left out (``unmatched="drop"``), stay with a null item
+    (``"keep"``), or are an error (``"error"``).
     """
     keys = list(ITEM_KEYS)
+    if unmatched not in ("drop", "keep", "error"):
+        raise ValueError(f"unmatched is drop, keep or error, not {unmatched}")
+    how = "inner" if unmatched == "drop" else "left"
+    items = items.withColumn("_item", F.lit(True))
     if salt > 1:
         # The input partition's number stays the same when a lost task runs again.
         spread = responses.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salt)))
         copies = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        joined = spread.join(copies, [*keys, "salt"]).drop("salt")
+        joined = spread.join(copies, [*keys, "salt"], how).drop("salt")
     else:
-        joined = responses.join(items, keys)
-    if not keep_unanswered:
-        return joined
-    unanswered = items.join(responses.select(*keys).distinct(), keys, "left_anti")
-    return joined.unionByName(unanswered, allowMissingColumns=True)
+        joined = responses.join(items, keys, how)
+    if unmatched == "error":
+        missing = F.raise_error(F.concat(F.lit("no item for response to "), *[F.concat_ws("/", *keys)])).cast("boolean")
+        joined = joined.where(F.coalesce("_item", missing))
+    if keep_unanswered:
+        runs = responses.groupBy("dataset", "split").agg(F.collect_set("model").alias("models"))
+        asked = items.join(runs, ["dataset", "split"], "left").withColumn("model", F.explode_outer("models")).drop("models")
+        unanswered = asked.join(responses.select("model", *keys).distinct(), ["model", *keys], "left_anti")
+        joined = joined.unionByName(unanswered, allowMissingColumns=True)
+    return joined.drop("_item")
 
 
 def grade(
@@ -79,6 +114,9 @@ def grade(
     adapters: Sequence[Adapter] | None = None,
     keep_unanswered: bool = False,
     salt: int = 1,
+    unmatched: str = "drop",
+    check_items: bool = True,
+    top: int | None = fixed.TOP_LOGPROBS,
 ) -> DataFrame:
     """Grade responses of any number of benchmarks and models in one job.
 
@@ -90,41 +128,59 @@ def grade(
     :param responses: ``example_id, dataset, split, model, response`` and, if there,
         ``first_token_logprobs``, ``started_at``, ``finished_at``
     :param adapters: adapters of the datasets present; the registered ones by default
+    :param keep_unanswered: see :func:`join_responses`, also for ``salt`` and ``unmatched``
+    :param check_items: fail if two items have one key; not done for streams
+    :param top: the likeliest first-token candidates that are looked at; all of them when None
     :return: both tables' columns with ``extracted_answer`` and ``is_correct``
     """
     adapters = list(adapters or REGISTRY.values())
     responses = responses.select(*[name for name in RESPONSE_COLUMNS if name in responses.columns])
     items, responses = (table.withColumn("example_id", F.col("example_id").cast("string")) for table in (items, responses))
-    joined = join_responses(
-        with_truth_key(items, adapters), with_extracted_answer(responses, adapters), keep_unanswered, salt
-    )
+    if check_items and not responses.isStreaming:
+        items = unique_items(items)
+    items = with_truth_key(items, adapters)
+    if "first_token_logprobs" in responses.columns:
+        # Both are worked out once a row, before the join, and not once a candidate behind it.
+        responses = responses.withColumn("candidates", top_candidates(F.col("first_token_logprobs"), top))
+        items = items.withColumn("choices", choices_of(adapters))
+    joined = join_responses(items, with_extracted_answer(responses, adapters), keep_unanswered, salt, unmatched)
     match = pick_by_dataset(
         adapters, lambda a: a.grader.match, lambda match: match(F.col("extracted_answer"), F.col("truth_key"))
     )
     # Null, not false, without a truth or a response.
-    is_correct = F.when(F.col("has_truth") & F.col("extracted_answer").isNotNull(), match)
+    is_correct = F.when(F.coalesce("has_truth", F.lit(False)) & F.col("extracted_answer").isNotNull(), match)
     return joined.withColumn("is_correct", is_correct).drop("truth_key", "has_truth")
 
 
+def choices_of(adapters: Sequence[Adapter]) -> Column:
+    """Answer choices of each item."""
+    return pick_by_dataset(
+        adapters,
+        lambda a: a.choices,
+        lambda given: choices_for(F.col("ground_truth")) if given is None else fixed_choices(given),
+    )
+
+
 def assemble(
-    graded: DataFrame, adapters: Sequence[Adapter] | None = None, extra: Sequence[str] = ()
+    graded: DataFrame, adapters: Sequence[Adapter] | None = None, extra: Sequence[str] = (), prompts: bool = True
 ) -> DataFrame:
-    """Graded rows in the result layout, with any extra columns after it."""
+    """Graded rows in the result layout, with any extra columns after it.
+
+    :param prompts: False leaves the prompt null, for results that are read beside the items
+    """
     adapters = list(adapters or REGISTRY.values())
     if "first_token_logprobs" in graded.columns:
-        choices = pick_by_dataset(
-            adapters,
-            lambda a: a.choices,
-            lambda fixed: choices_for(F.col("ground_truth")) if fixed is None else fixed_choices(fixed),
-        )
-        # Columns of their own, as every candidate looks at the choices.
-        graded = graded.withColumns({"candidates": top_candidates(F.col("first_token_logprobs")), "choices": choices})
-        logprobs = choice_logprobs(F.col("candidates"), F.col("choices"))
+        if "candidates" not in graded.columns:
+            candidates = top_candidates(F.col("first_token_logprobs"))
+            graded = graded.withColumns({"candidates": candidates, "choices": choices_of(adapters)})
+        # A column for each step, as the next one looks at it several times.
+        graded = graded.withColumn("candidates", among(F.col("candidates"), F.col("choices")))
+        logprobs = as_map(last_of_token(F.col("candidates")))
     else:
         logprobs = F.create_map().cast("map<string,double>")
     return graded.select(
         "example_id",
-        "prompt",
+        F.col("prompt") if prompts else F.lit(None).cast("string").alias("prompt"),
         F.col("response").alias("model_response"),
         "extracted_answer",
         F.col("ground_truth").alias("ground_truth_answer"),

@@ -25,6 +25,10 @@ def evaluate(
 ) -> DataFrame:
     """Score responses, add their result rows to ``output_dir/rows`` and save the metrics of the runs.
 
+    Metrics go to ``output_dir/model={model}/run={dataset}_{split}_metrics.json``, where
+    ``aggregate_runs(spark, output_dir)`` finds them. They cover the rows of this call: a run
+    that is evaluated in parts reports its last part, so give all its responses at once.
+
     Each call adds one folder of rows, so that a repeated call cannot change what
     another has written. Responses are read and graded once: the metrics come from
     the saved rows, of which Parquet reads only the few columns they need.
@@ -45,7 +49,7 @@ def evaluate(
         results.write.format(format).option("ignoreNullFields", False).save(rows)
     saved = results.sparkSession.read.schema(results.schema).format(format).load(rows)
     metrics = run_metrics(saved)
-    write_metrics(metrics, f"{root}/metrics")
+    write_metrics(metrics, root)
     return metrics
 
 
@@ -62,8 +66,10 @@ def respond(items: DataFrame, model: str, load_model: Callable[[], Model], batch
 def model_inputs(items: DataFrame, models: DataFrame) -> DataFrame:
     """What each model is to be asked: the prompt, and chat messages for chat models.
 
-    ``models`` holds one row per (``dataset``, ``model``) to run.
+    ``models`` holds one row per (``dataset``, ``model``) to run. Models are gathered by
+    dataset first, so the join moves one short row for each dataset.
     """
-    asked = items.join(models, "dataset")
+    by_dataset = models.groupBy("dataset").agg(F.collect_list("model").alias("_models"))
+    asked = items.join(by_dataset, "dataset").withColumn("model", F.explode("_models")).drop("_models")
     messages = F.when(is_chat_model(F.col("model")), chat_messages(F.col("prompt")))
     return asked.withColumn("messages", messages)

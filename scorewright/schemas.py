@@ -23,6 +23,9 @@ METRICS = (
     "total_time DOUBLE, samples_per_second DOUBLE"
 )
 
+# Stands between a short name and the mark that tells it from equal ones.
+NAME_MARK = "@"
+
 # What identifies one benchmark item, and so the key of the items-responses join.
 ITEM_KEYS = ("dataset", "split", "example_id")
 # What identifies one evaluation run.

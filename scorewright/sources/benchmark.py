@@ -10,7 +10,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 from scorewright.operators.adapter import Adapter
 from scorewright.operators.benchmarks import get_adapter
 from scorewright.schemas import RESPONSES
-from scorewright.sources.storage import spread
 
 
 def read_benchmark(
@@ -67,12 +66,17 @@ def read_synthetic(spark: SparkSession, path: str, schema: StructType | None = N
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def read_responses(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """Model responses written beforehand; of a list of outputs, the first one counts."""
+def read_responses(spark: SparkSession, path: str, format: str = "parquet", partitions: int | None = None) -> DataFrame:
+    """Model responses written beforehand; of a list of outputs, the first one counts.
+
+    :param partitions: deal the rows out to so many parts, for few files that cannot be split;
+        this shuffles whole texts
+    """
     reader = spark.read.format(format)
     if format != "parquet":
         reader = reader.schema(RESPONSES)
-    return first_output(spread(reader.load(path)))
+    responses = first_output(reader.load(path))
+    return responses if partitions is None else responses.repartition(partitions)
 
 
 def first_output(responses: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Reading the metrics files of many runs."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from scorewright.schemas import METRICS
+from scorewright.schemas import METRICS, NAME_MARK
 
 _CORRUPT = "_corrupt_record"
 # Last part before "_metrics.json" is the split, all before it the dataset.
@@ -23,25 +24,43 @@ def run_of_path(path: Column) -> dict[str, Column]:
     A name of one part only is dataset and split at once.
     """
     model, dataset, split = (F.regexp_extract(path, _FILE_NAME, group) for group in (1, 2, 3))
-    return {"model": model, "dataset": F.when(dataset == "", split).otherwise(dataset), "split": split}
 
+    def name(part: Column) -> Column:
+        return F.regexp_replace(part, NAME_MARK + "[0-9a-f]{8}$", "")
 
-def read_metrics(spark: SparkSession, root: str, schema: StructType | None = None) -> DataFrame:
-    """Metrics of all runs under ``root/{model}/{dataset}_{split}_metrics.json``.
+    return {"model": name(model), "dataset": F.when(dataset == "", split).otherwise(name(dataset)), "split": split}
 
-    Files may differ in their keys: the table has them all, null where a file has
-    none. Files that hold no JSON object are left out. Folders below a model's are
-    not read. Tables written by ``partitionBy("model", "run")`` have the same shape
-    and are read alike. A ``schema`` of the metrics saves the pass that infers it.
-    """
+
+def _parsed(spark: SparkSession, root: str, schema: StructType | None) -> tuple[DataFrame | None, list[StructField]]:
+    """Path, text and parsed metrics of every metrics file, and the fields; no table when there is no file."""
     files = f"{root.rstrip('/')}/*/*_metrics.json"
+    try:
+        contents = spark.read.text(files, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None, []
     if schema is None:
         schema = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", _CORRUPT).json(files).schema
     fields = [field for field in schema.fields if field.name not in (_CORRUPT, "model", "run")]
     whole = StructType([*fields, StructField(_CORRUPT, StringType())])
     parsed = F.from_json("value", whole, {"columnNameOfCorruptRecord": _CORRUPT})
-    contents = spark.read.text(files, wholetext=True)
-    rows = contents.select(decoded_path(F.col("_metadata.file_path")).alias("path"), parsed.alias("metrics"))
+    return contents.select(decoded_path(F.col("_metadata.file_path")).alias("path"), "value", parsed.alias("metrics")), fields
+
+
+def read_metrics(spark: SparkSession, root: str, schema: StructType | None = None) -> DataFrame:
+    """Metrics of all runs under ``root/{model}/{dataset}_{split}_metrics.json``.
+
+    Files may differ in their keys: the table has them all, null where a file has
+    none. Files that hold no JSON object are left out, and named by
+    :func:`unreadable_metrics`. Folders below a model's are not read. What
+    ``write_metrics`` and so ``evaluate`` write has the same shape and is read alike;
+    full names are then in ``model_id`` and ``dataset_id``. Without any file the table
+    is empty. A ``schema`` of the metrics saves the pass that infers it.
+    """
+    rows, fields = _parsed(spark, root, schema)
+    if rows is None:
+        return spark.createDataFrame([], schema or METRICS)
     valid = rows.where(F.col("metrics").isNotNull() & F.col(f"metrics.{_CORRUPT}").isNull())
     run = run_of_path(F.col("path"))
     return valid.select(
@@ -50,7 +69,21 @@ def read_metrics(spark: SparkSession, root: str, schema: StructType | None = Non
     )
 
 
+def unreadable_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """Path and content of the metrics files that hold no JSON object."""
+    rows, _ = _parsed(spark, root, None)
+    if rows is None:
+        return spark.createDataFrame([], "path STRING, content STRING")
+    broken = rows.where(F.col("metrics").isNull() | F.col(f"metrics.{_CORRUPT}").isNotNull())
+    return broken.select("path", F.col("value").alias("content"))
+
+
 def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metrics written by :func:`scorewright.sources.sinks.write_metrics`, all runs of a folder."""
-    # The schema keeps folder names text, also those that look like numbers.
-    return spark.read.schema(METRICS).json(path)
+    """Metrics written by :func:`scorewright.sources.sinks.write_metrics`, all runs of a folder, under full names."""
+    ids = StructType.fromDDL("model_id STRING, dataset_id STRING")
+    metrics = StructType.fromDDL(METRICS)
+    plain = [field for field in metrics.fields if field.name not in ("model", "dataset", "split")]
+    found = read_metrics(spark, path, StructType([*ids.fields, *plain]))
+    if "model_id" not in found.columns:
+        return found
+    return found.select(F.col("model_id").alias("model"), F.col("dataset_id").alias("dataset"), "split", *[field.name for field in plain])

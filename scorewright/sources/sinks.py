@@ -3,12 +3,13 @@
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions.text import dataset_label, model_label
 from scorewright.operators.metrics import accuracy_matrix, wide_metrics
-from scorewright.schemas import RUN_KEYS
+from scorewright.schemas import NAME_MARK, RUN_KEYS
 
 
 def run_paths(output_dir: str, model: str, dataset: str, split: str) -> dict[str, str]:
@@ -42,11 +43,13 @@ def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One JSON array per partition, an element a line; the last line is held back for its comma."""
     held = None
     for batch in batches:
-        lines = []
-        for row in batch.column(0).to_pylist():
-            lines.append("[" if held is None else held + ",")
-            held = row
-        yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        if not batch.num_rows:
+            continue
+        rows = batch.column(0)
+        before = pa.array(["[" if held is None else held + ","], rows.type)
+        lines = pa.concat_arrays([before, pc.binary_join_element_wise(rows.slice(0, len(rows) - 1), pa.scalar(",", rows.type), "")])
+        held = rows[-1].as_py()
+        yield pa.RecordBatch.from_arrays([lines], ["value"])
     if held is not None:
         yield pa.RecordBatch.from_pydict({"value": pa.array([held, "]"], pa.string())})
 
@@ -62,13 +65,23 @@ def write_arrays(results: DataFrame, path: str) -> None:
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Metrics as JSON in one folder per run, by the runs' short names.
+    """Metrics as JSON, one file per run at ``{path}/model={model}/run={dataset}_{split}_metrics.json``.
 
-    A run that is there already is replaced; other runs in the folder stay.
+    Folders have the short names of :func:`run_paths`; a name that is cut short carries a
+    mark of the full one, so that two models (or datasets) of one short name do not meet.
+    The full names are in the file as ``model_id`` and ``dataset_id``. A run that is there
+    already is replaced; other runs in the folder stay.
     """
-    named = metrics.withColumns({"model": model_label(F.col("model")), "dataset": dataset_label(F.col("dataset"))})
+
+    def folder(name: Column, short: Column) -> Column:
+        return F.when(name == short, short).otherwise(F.concat(short, F.lit(NAME_MARK), F.left(F.md5(name), F.lit(8))))
+
+    model, dataset = F.col("model"), F.col("dataset")
+    run = F.concat_ws("_", folder(dataset, dataset_label(dataset)), "split", F.lit("metrics.json"))
+    named = metrics.withColumns({"model_id": model, "dataset_id": dataset, "run": run, "model": folder(model, model_label(model))})
+    named = named.drop("dataset", "split").repartition("model", "run")
     writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.option("ignoreNullFields", False).partitionBy(*RUN_KEYS).json(path)
+    writer.option("ignoreNullFields", False).partitionBy("model", "run").json(path)
 
 
 def _write_csv(table: DataFrame, path: str) -> None:

@@ -1,30 +1,17 @@
-"""Where a job may put tables that all executors must see, and how it reads poorly split ones."""
+"""Where a job may put tables that all executors must see."""
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, purpose: str, root: str | None = None) -> str:
+    """A fresh folder under ``root``, which is ``spark.checkpoint.dir`` unless given.
 
-    A local session without that setting gets a temporary folder; a cluster has to
-    name one, since executors do not share the driver's disk.
+    There is no other place that the executors of any cluster share, so one of the two has
+    to be named.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="scorewright-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """A table just read whose files split into fewer parts than there are cores, dealt out to all of them.
-
-    Extraction is work per row, so a table in one compressed file would keep one
-    core busy. Tables in enough parts, as all large ones are, come back as they are.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

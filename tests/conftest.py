@@ -7,15 +7,21 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
+from scorewright.session import configured  # noqa: E402
+
+
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("shared")
     session = (
-        SparkSession.builder.master("local[8]")
+        configured(SparkSession.builder)
+        .master("local[8]")
         .appName("tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", str(folder))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -41,8 +41,8 @@ CASES = [
     ),
     (
         "allenai/math_qa",
-        ["P", "a ) 24 , b ) 120", "c", None, None, None, None],
-        LEAD + "P\n" + LETTERS + "\nA.  24 , B.  120\n",
+        ["P", "a ) six , b ) 9 km", "c", None, None, None, None],
+        LEAD + "P\n" + LETTERS + "\nA.  six , B.  9 km\n",
         "C",
         "test",
     ),
@@ -174,3 +174,41 @@ def test_chat(spark):
     assert [one(spark, prompts.is_chat_model(F.lit(name))) for name in names] == [True, True, False]
     messages = one(spark, prompts.chat_messages(F.lit("hi")))
     assert [(m.role, m.content) for m in messages] == [("system", fixed.SYSTEM_PROMPT), ("user", "hi")]
+
+
+@pytest.mark.parametrize(
+    "dataset, row",
+    [
+        ("cais/mmlu", ["Q", ["v", "w", "x", "y", "z"], 2]),
+        ("cais/mmlu", ["Q", ["v"], 9]),
+        ("tau/commonsense_qa", ["Q", (["A", "B"], ["x"]), "A"]),
+        ("lucasmccabe/logiqa", ["C", "Q", ["x"], 4]),
+        ("ybisk/piqa", ["G", "x", "y", 2]),
+        ("allenai/winogrande", ["S", "x", "y", "3"]),
+        ("ucinlp/drop", ["P", "Q", ([],)]),
+    ],
+)
+def test_strict_items(spark, dataset, row):
+    adapter = get_adapter(dataset)
+    table = spark.createDataFrame([tuple(row)], adapter.schema).withColumn("example_id", F.lit("7"))
+    with pytest.raises(Exception, match=f"{dataset}: no (prompt|answer) for item 7"):
+        build_items(table, adapter).collect()
+    item = build_items(table, adapter, strict=False).first()
+    assert item.prompt is None or item.ground_truth is None
+
+
+def test_null_texts_print(spark):
+    for dataset, row in (("ybisk/piqa", ["G", None, "y", 0]), ("allenai/ai2_arc", [None, (["A"], ["x"]), "A"]), ("Rowan/hellaswag", [None, ["x"], "0", 1])):
+        adapter = get_adapter(dataset)
+        table = spark.createDataFrame([tuple(row)], adapter.schema).withColumn("example_id", F.lit("7"))
+        assert "None" in build_items(table, adapter).first().prompt
+
+
+def test_keys_with_dots_and_labels_out_of_range(spark):
+    own = keyed_adapter("own/x", ["a.b", "c"], "d.e")
+    table = spark.createDataFrame([("p", "q", "t", "1")], "`a.b` string, c string, `d.e` string, example_id string")
+    assert build_items(table, own).first().ground_truth == "t"
+    labels = spark.createDataFrame([(x,) for x in ("2147483648", " 3 ", "3.0", "", "-1", "9" * 30, None)], "l string")
+    found = [r[0] for r in labels.select(truth.checked_letter(F.col("l"), "ABCD")).collect()]
+    out, bad = "ERROR_LABEL_OUT_OF_BOUNDS", "ERROR_INVALID_LABEL"
+    assert found == [out, "D", bad, bad, out, out, bad]

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from scorewright import Grader, grade, run_metrics, score, with_content_id
 from scorewright.functions import logprobs
-from scorewright.operators.benchmarks import BBH
+from scorewright.operators.benchmarks import BBH, BBH_SYNTHETIC, GSM8K
 from scorewright.operators.generate import generate
 from scorewright.operators.metrics import accuracy_matrix, merge_metrics, wide_metrics
+from scorewright.operators.score import unmatched_responses
 from scorewright.plans.evaluate import model_inputs, respond
 from scorewright.schemas import ITEMS, METRICS, RESPONSES
 
@@ -73,14 +74,69 @@ def test_unanswered(spark, items):
     given = responses(spark, [("1", "lukaemon/bbh", "m", "(B)"), ("1", "lukaemon/bbh", "m", "(B)")])
     rows = grade(items, given, keep_unanswered=True).collect()
     assert len(rows) == 6
-    assert sorted(r.prompt for r in rows if r.model is None) == ["p2", "p3", "p4", "p5"]
-    assert all(r.is_correct is None and r.extracted_answer is None for r in rows if r.model is None)
+    # Model m was asked the benchmark's other items; nobody was asked those of other benchmarks.
+    assert sorted((r.prompt, r.model) for r in rows if r.extracted_answer is None) == [
+        ("p2", "m"), ("p3", "m"), ("p4", None), ("p5", None)]
+    assert all(r.is_correct is None for r in rows if r.extracted_answer is None)
+
+
+def test_missing_pairs_count(spark, items):
+    given = responses(spark, [("1", "lukaemon/bbh", "m", "(B)"), ("3", "lukaemon/bbh", "m", "yes"), ("1", "lukaemon/bbh", "n", "(B)")])
+    metrics = run_metrics(grade(items, given, keep_unanswered=True)).collect()
+    found = {(r.model, r.dataset): (r.total_samples, r.accuracy) for r in metrics if r.model}
+    assert found == {("m", "lukaemon/bbh"): (3, 2 / 3), ("n", "lukaemon/bbh"): (3, 1 / 3)}
+
+
+def test_unmatched_responses(spark, items):
+    given = responses(spark, [("1", "lukaemon/bbh", "m", "(B)"), ("9", "lukaemon/bbh", "m", "(B)")])
+    assert grade(items, given).count() == 1
+    kept = {r.example_id: (r.prompt, r.is_correct, r.extracted_answer) for r in grade(items, given, unmatched="keep").collect()}
+    assert kept == {"1": ("p1", True, "(b)"), "9": (None, None, "(b)")}
+    assert [r.example_id for r in unmatched_responses(items, given).collect()] == ["9"]
+    with pytest.raises(Exception, match="no item for response to lukaemon/bbh/test/9"):
+        grade(items, given, unmatched="error").collect()
+    with pytest.raises(ValueError):
+        grade(items, given, unmatched="?")
+
+
+def test_repeated_items_are_an_error(spark, items):
+    given = responses(spark, [("1", "lukaemon/bbh", "m", "(B)")])
+    with pytest.raises(Exception, match="several items"):
+        grade(items.union(items.limit(1)), given).collect()
+    assert grade(items.union(items.where("prompt = 'p1'")), given, check_items=False).count() == 2
+
+
+def test_first_own_name_then_synthetic(spark):
+    numeric = replace(GSM8K, name="a/one_bbh_syn_all.json")
+    table = spark.createDataFrame([("1", numeric.name, "test", "s", "p", "#### 4"), ("1", "b/two_bbh_syn_all.json", "test", "s", "p", "Yes")], ITEMS)
+    given = responses(spark, [("1", numeric.name, "m", "it is = 4"), ("1", "b/two_bbh_syn_all.json", "m", "answer: yes")])
+    for adapters in ([numeric, BBH_SYNTHETIC], [BBH_SYNTHETIC, numeric], [replace(BBH_SYNTHETIC, name="b/two_bbh_syn_all.json"), numeric]):
+        assert [r.is_correct for r in grade(table, given, adapters).collect()] == [True, True]
+
+
+def test_logprob_plan(spark):
+    """Candidates are sorted once, below the join, and choices are not worked out for each of them."""
+    table = spark.createDataFrame([("1", "lukaemon/bbh", "test", "s", "p", "A")], ITEMS)
+    given = spark.createDataFrame([("1", "lukaemon/bbh", "test", "m", "A", [("A", -1.0), ("B", -2.0), ("A", -3.0), ("x", 0.0)], None, None)], RESPONSES)
+    results = score(table, given)
+    assert results.first().logprobs == {"A": -3.0, "B": -2.0}
+    assert score(table, given, top=2).first().logprobs == {"A": -1.0}
+    assert score(table, given, top=None).first().logprobs == {"A": -3.0, "B": -2.0}
+    plan = results.select("logprobs")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array") == 1
+    join = plan.index("Join ")
+    assert plan.index("sort_array") > join
+    lambdas = [part for part in plan[:join].split("lambdafunction(")[1:]]
+    assert lambdas and not any("CASE" in part for part in lambdas)
 
 
 def test_content_id(spark):
     table = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None)], "input STRING, target STRING")
     ids = [row.example_id for row in with_content_id(table).collect()]
-    assert len(ids) == len(set(ids)) == 2
+    assert len(ids) == len(set(ids)) == 3
+    assert sorted(ids) == sorted(row.example_id for row in with_content_id(table.repartition(3)).collect())
+    by_input = [row.example_id for row in with_content_id(table, ["input"]).collect()]
+    assert len(set(by_input)) == 3
 
 
 def hot_tables(spark):
@@ -137,7 +193,8 @@ def test_counting_plan_moves_no_texts(spark, items, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*)\]", explained)
-    assert len(moved) == 3
+    # Responses, items and metrics, and two that count the items' keys.
+    assert len(moved) == 5
     columns = {name.split("#")[0] for line in moved for name in line.split(", ")}
     assert {"extracted_answer", "truth_key", "has_truth"} <= columns
     assert not columns & {"response", "prompt", "ground_truth", "subset", "first_token_logprobs"}
@@ -156,6 +213,21 @@ def test_logprobs(spark):
     assert [c.token for c in best] == [f"t{k}" for k in range(1, 21)]
 
 
+def test_model_is_loaded_once_a_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load_model():
+        import uuid
+        from pathlib import Path
+
+        (Path(folder) / uuid.uuid4().hex).touch()
+        return lambda prompts: ["x"] * len(prompts)
+
+    prompts = spark.range(0, 400, 1, 64).selectExpr("cast(id as string) as prompt")
+    assert generate(prompts, load_model).count() == 400
+    assert len(list(tmp_path.iterdir())) <= 16
+
+
 def test_fixed_choices_are_text(spark):
     items = spark.createDataFrame([("1", "emozilla/quality", "validation", "s", "p", "2")], ITEMS)
     given = spark.createDataFrame(

@@ -7,6 +7,7 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalog import all_queries
 from scorewright import aggregate_runs, score
@@ -14,8 +15,8 @@ from scorewright.operators.benchmarks import BBH
 from scorewright.plans.evaluate import evaluate
 from scorewright.schemas import ITEMS, RESPONSES, RESULTS
 from scorewright.sources import benchmark, sinks
-from scorewright.sources.runs import read_metrics, read_run_metrics
-from scorewright.sources.storage import shared_folder, spread
+from scorewright.sources.runs import read_metrics, read_run_metrics, unreadable_metrics
+from scorewright.sources.storage import shared_folder
 from scorewright.streaming.incremental import score_stream, stream_responses
 
 GOLDEN = {
@@ -117,9 +118,12 @@ def test_evaluate(spark, tables, tmp_path, format):
     assert spark.read.format(format).load(str(tmp_path / "rows")).count() == 36
     evaluate(items, responses.where("model = 'org/m.1'"), str(tmp_path), [BBH], format)
     # A later evaluation replaces the metrics of its own runs only.
-    saved = read_run_metrics(spark, str(tmp_path / "metrics"))
+    saved = read_run_metrics(spark, str(tmp_path))
     assert {(r.model, r.dataset, r.split, r.total_samples) for r in saved.collect()} == {
-        ("m.0", "bbh", "test", 12), ("m.1", "bbh", "test", 12)}
+        ("org/m.0", BBH.name, "test", 12), ("org/m.1", BBH.name, "test", 12)}
+    wide, matrix = aggregate_runs(spark, str(tmp_path), str(tmp_path / "reports"))
+    assert {(r.model, r.dataset, r.total_samples) for r in wide.collect()} == {("m.0", "bbh", 12), ("m.1", "bbh", 12)}
+    assert sorted(matrix.columns) == ["bbh", "model"] and matrix.count() == 2
     assert {r.model for r in metrics.collect()} == {"org/m.0", "org/m.1"}
     assert sinks.run_paths("out", "org/m.1", "a/b.json", "test") == {
         "rows": "out/m.1/b_test.jsonl", "all": "out/m.1/b_test_all.json", "metrics": "out/m.1/b_test_metrics.json"}
@@ -173,21 +177,38 @@ def test_stream_equals_batch_and_adds_nothing_twice(spark, tables, tmp_path):
     assert plain(spark.read.schema(RESULTS).json(out)) == plain(score(*tables, [BBH]))
 
 
+def test_equal_short_names_stay_apart(spark, tables, tmp_path):
+    items, responses = tables
+    one = responses.where("model = 'org/m.0'")
+    evaluate(items, one, str(tmp_path), [BBH])
+    evaluate(items, one.withColumn("model", F.lit("two/m.0")), str(tmp_path), [BBH])
+    assert {r.model for r in read_run_metrics(spark, str(tmp_path)).collect()} == {"org/m.0", "two/m.0"}
+    wide, matrix = aggregate_runs(spark, str(tmp_path))
+    assert {r.model for r in wide.collect()} == {r.model for r in matrix.collect()} == {"org/m.0", "two/m.0"}
+
+
+def test_reports_of_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    aggregate_runs(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert lines(tmp_path / "out/aggregated_metrics") == ["model,accuracy,samples_per_second,total_samples,total_time,dataset,split"]
+    assert lines(tmp_path / "out/acc_results") == ["model"]
+    assert unreadable_metrics(spark, str(tmp_path / "in")).count() == 0
+    write(tmp_path / "in/M/bbh_test_metrics.json", '{"total_samples": 3}')
+    write(tmp_path / "in/M/arc_test_metrics.json", '{"total')
+    _, matrix = aggregate_runs(spark, str(tmp_path / "in"))
+    assert [tuple(r) for r in matrix.collect()] == [("M", 0.0)]
+    broken = unreadable_metrics(spark, str(tmp_path / "in")).collect()
+    assert [(r.path.split("/")[-1], r.content) for r in broken] == [("arc_test_metrics.json", '{"total')]
+
+
 def test_shared_folder():
     def session(**settings):
         return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: settings.get(name.split(".")[-1], default)))
 
-    assert shared_folder(session(dir="hdfs://shared/", master="yarn"), "x").startswith("hdfs://shared/x-")
-    assert shared_folder(session(master="local[2]"), "x") != shared_folder(session(master="local[2]"), "x")
+    assert shared_folder(session(dir="hdfs://shared/"), "x").startswith("hdfs://shared/x-")
+    assert shared_folder(session(), "x", "/given") != shared_folder(session(), "x", "/given")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(session(master="yarn"), "x")
-
-
-def test_spread(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
-    assert spread(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, 64)
-    assert spread(many) is many
+        shared_folder(session(), "x")
 
 
 def test_every_operator_has_a_query():
