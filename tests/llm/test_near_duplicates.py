@@ -10,7 +10,7 @@ from helpers import DOCS, ODD, jaccard_components, shingle_set, without_repeats
 from scorewright.llm import suffix_dedup as suffix
 from scorewright.llm.components import components
 from scorewright.llm.jaccard_join import jaccard_join, links_of
-from scorewright.llm.passage_dedup import compact_windows, passage_dedup, verified
+from scorewright.llm.passage_dedup import compact_windows, joined_ties, passage_dedup, verified
 from scorewright.llm.suffix_dedup import minimizer_segments, suffix_dedup
 
 
@@ -136,6 +136,13 @@ def test_compact_windows_by_brute_force():
     assert set(zip(center.tolist(), left.tolist(), right.tolist())) == expected
 
 
+def test_joined_ties():
+    tokens = np.array([5, 1, 5, 1, 7, 1, 0, 1, 1], np.uint64)
+    center, left, right = np.array([1, 3, 5, 7, 8]), np.array([0, 2, 4, 7, 8]), np.array([5, 5, 5, 8, 8])
+    joined = joined_ties(tokens, np.array([0, 9]), center, left, right, 3)
+    assert [x.tolist() for x in joined] == [[1, 5, 7], [3, 5, 8], [0, 4, 7], [5, 5, 8]]
+
+
 def test_passages(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(5000)]
