@@ -42,7 +42,7 @@ def _sql_counted(template, answer, match):
     from (select *, {answer} as answer from {sql_view(template)}) group by 1, 2"""
 
 
-FINAL = """case when ground_truth is not null then coalesce(abs(try_cast(answer as double)
+FINAL = """case when ground_truth is not null and answer is not null then coalesce(abs(try_cast(answer as double)
     - try_cast(replace(regexp_extract(string_split(ground_truth, '####')[-1], '[-+]?[0-9][0-9,]*(?:[.][0-9]+)?'), ',', '')
         as double)) < 1e-6, false) end"""
 

@@ -105,13 +105,14 @@ def sql_number(response: str) -> str:
     )
     dollar = rf"\${space}*({fixed.DOLLAR_NUMBER})"
     steps.append(f"nullif(regexp_extract({response}, {text(dollar)}, 1), '')")
-    return f"coalesce({', '.join(steps)}, '')"
+    # An empty response has the empty answer, no response has none.
+    return f"case when {response} is not null then coalesce({', '.join(steps)}, '') end"
 
 
 def sql_number_match(extracted: str, truth: str) -> str:
     key = f"replace(regexp_extract({truth}, {text(fixed.GROUPED_NUMBER)}), ',', '')"
     close = f"abs(try_cast({extracted} as double) - try_cast({key} as double)) < 1e-6"
-    return f"case when {truth} is not null then coalesce({close}, false) end"
+    return f"case when {truth} is not null and {extracted} is not null then coalesce({close}, false) end"
 
 
 def sql_math_or_null(response: str) -> str:
