@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.session import batch
+from scorewright.llm.session import batch, checkpointed
 
 # A text is template if it is the same on this share of the pages it was matched on, and those are so many at least.
 CONSTANT, PAGES = 0.9, 3
+# Bytes of what is joined to pages by host up to which it is sent to every executor; beyond, pages are shuffled to it.
+SENT = 32 << 20
 # Elements of a slot's path; those further in count as the last of them.
 DEPTH = 60
 
@@ -236,6 +238,13 @@ def _host(url: str):
     return F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url}`").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
+def _by_host(frame: DataFrame) -> DataFrame:
+    """A table of hosts to join pages with: broadcast if its measured size allows, else joined by a shuffle."""
+    frame = checkpointed(frame)
+    size = frame.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(frame) if size <= SENT else frame
+
+
 def wrappers(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
     """(host, template): the constant texts of each host, as ``array<struct<path, slot>>``.
 
@@ -243,8 +252,9 @@ def wrappers(pages: DataFrame, url: str = "url", source: str = "html") -> DataFr
     """
     rows = pages.select(_host(url).alias("host"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("html"))
     key = F.struct(F.char_length("html").alias("n"), F.xxhash64("html").alias("h"))
-    first = rows.groupBy("host").agg(F.min(key).alias("key"))
-    reference = rows.withColumn("key", key).join(first, ["host", "key"]).select("host", F.col("html").alias("reference")).dropDuplicates(["host"])
+    first = _by_host(rows.groupBy("host").agg(F.min(key).alias("key")))
+    reference = rows.withColumn("key", key).join(first, ["host", "key"]).select("host", F.col("html").alias("reference"))
+    reference = _by_host(reference.dropDuplicates(["host"]))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[list[Block], list]] = {}
@@ -281,7 +291,7 @@ def html_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
     rows give equal rows; an empty table gives none.
     """
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{source}`").cast("string").alias("html"), _host(url).alias("host"))
-    joined = rows.join(wrappers(pages, url, source), "host", "left").select("page_id", "url", "html", "template")
+    joined = rows.join(_by_host(wrappers(pages, url, source)), "host", "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
