@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from catalog import all_queries
 from compare import connect, differences
 
 SMALL = "/root/testdata/sf0.001"
@@ -13,7 +14,8 @@ def database():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+# Queries of the subpackage for training data that SQL cannot express are tested beside it.
+@pytest.mark.parametrize("name", sorted({*all_queries(), *entry.oracle_sql()}))
 def test_query(spark, database, name):
     frame = entry.queries()[name](spark, SMALL)
     assert frame.count() > 0
