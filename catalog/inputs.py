@@ -47,7 +47,8 @@ _OWN_FOLDER: list[tempfile.TemporaryDirectory] = []
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``; under one folder of this process, which goes with it, where a local
     session has no such setting."""
-    if spark.conf.get("spark.checkpoint.dir", None) or not spark.conf.get("spark.master", "").startswith("local["):
+    master = spark.conf.get("spark.master", "")
+    if spark.conf.get("spark.checkpoint.dir", None) or not master.startswith("local") or master.startswith("local-cluster"):
         return storage.shared_folder(spark, purpose)
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(tempfile.TemporaryDirectory(prefix="catalog-"))
