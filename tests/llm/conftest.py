@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 
-@pytest.fixture(scope="session", autouse=True)
+@pytest.fixture(scope="module", autouse=True)
 def few_parts(spark):
     """Small inputs, few parts: what is tested holds for any number."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
