@@ -48,8 +48,8 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], key: st
     known = known.groupBy("_key").agg(F.min("_domain").alias("_domain"), F.max("_domain").alias("_other")).where("_domain = _other")
     # At most ``sample`` rows of a key and a name, so the broadcast is bounded.
     chosen = checkpointed(known.orderBy(F.xxhash64("_key"), "_key").limit(sample).select("_key", "_domain"))
-    rows = docs.join(F.broadcast(chosen), F.col(f"`{key}`").cast("long") == chosen["_key"])
-    rows = rows.select("_domain", F.explode(F.array_distinct(_words(text))).alias("word")).where("word <> ''")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("_key"), _words(text).alias("words")).join(F.broadcast(chosen), "_key")
+    rows = rows.select("_domain", F.explode(F.array_distinct("words")).alias("word")).where("word <> ''")
     count = [F.sum((F.col("_domain") == d).cast("long")).cast("double").alias(f"c{i}") for i, d in enumerate(domains)]
     counts = checkpointed(rows.groupBy(_bucket(F.col("word")).alias("bucket")).agg(*count))
     totals = [t or 0.0 for t in counts.agg(*(F.sum(f"c{i}") for i in range(len(domains)))).first()]
