@@ -22,6 +22,8 @@ PRIOR_COUNT, TELLING = 2.0, 10.0
 # Decimals of posteriors.
 DECIMALS = 3
 STEPS, TOLERANCE, PULL = 40, 1e-4, 1e-3
+# Parts of the sums by posterior.
+PARTS = 8
 
 
 def _words(text: str) -> Column:
@@ -117,7 +119,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: st
     model, priors = classifier(docs, labelled, domains, key, text, sample)
     rows = checkpointed(memberships(docs, model, priors, key, text))
     numbers = range(len(domains))
-    cells = checkpointed(rows.groupBy(*(f"p{i}" for i in numbers)).agg(F.sum("n_tokens").cast("double").alias("tokens")))
+    # Rounding bounds the number of posteriors, so few parts hold them; every step is a job over these.
+    cells = rows.groupBy(*(f"p{i}" for i in numbers)).agg(F.sum("n_tokens").cast("double").alias("tokens"))
+    cells = checkpointed(cells.coalesce(PARTS))
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     errors: list[list[float]] = []
     if total:
@@ -130,7 +134,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: st
         now = start
         for _ in range(steps):
             error = [n - w if m > 1e-12 else 0.0 for n, w, m in zip(now, wanted, mass)]
-            if max(abs(e) for e in error) < TOLERANCE or errors and max(abs(e - f) for e, f in zip(error, errors[-1])) < TOLERANCE / 100:
+            if max(abs(e) for e in error) < TOLERANCE or errors and max(abs(e - f) for e, f in zip(error, errors[-1])) < TOLERANCE / 10:
                 break
             errors.append(error)
             now = shares(_rate(errors, mass))
