@@ -165,6 +165,23 @@ def test_passages(spark):
     assert passage_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_passages_behind_hubs(spark):
+    rng = random.Random(21)
+    make = lambda n: [f"h{rng.randrange(10**9)}" for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(12):
+        passage = make(50)
+        # Others have a part of it, too short to be reported, so they share min-hashes in all ways.
+        for part in (passage[:44], passage[6:], passage[3:47], passage[:25], passage[25:], passage[10:40], *(passage[i : i + 7] for i in range(0, 44, 4))):
+            rows += [(len(rows), " ".join(make(60) + part + make(60))) for _ in range(2)]
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows) + i, " ".join(make(30) + passage + make(30))) for i in range(2)]
+    found = {(r.doc_id, r.other_id): r for r in passage_dedup(spark.createDataFrame(rows, DOCS)).where("similarity = 1").collect()}
+    for a, b in pairs:
+        assert {(a, b), (b, a)} <= set(found)
+        assert (found[a, b].start_word, found[a, b].end_word, found[a, b].other_start) == (30, 79, 30)
+
+
 def test_verified_splits_at_gaps():
     own = np.arange(100, dtype=np.uint64)
     other = np.concatenate([np.arange(30), np.arange(500, 560), np.arange(60, 100)]).astype(np.uint64)
