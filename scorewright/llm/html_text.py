@@ -1,12 +1,14 @@
 """HTML extraction by wrapper induction: trees of pages of one host are aligned, and what is constant is template.
 
-Every host has a reference page, its shortest. Simple tree matching aligns each page of the host with it; sums over all
-pages tell how often each text of the reference was matched and how often it was the same. Texts that are the same on
-nearly all pages are the host's template, varying slots are content. Whether a slot is the article is told by where it
+Every host has a reference page, its shortest with a text slot. Simple tree matching aligns each page of the host with it;
+sums over all pages tell how often each text of the reference was matched and how often it was the same. As one page may
+lack what all others have, texts are also counted by where they stand over all pages of the host. Texts that are the same
+on nearly all pages are the host's template, varying slots are content. Whether a slot is the article is told by where it
 stands: slots in menus, headers, footers, sidebars, notices, adverts, forms and comments are none, and where a page has
 an article or main element, the slots within it are all its content.
 """
 
+import hashlib
 import html
 import re
 from collections.abc import Iterable, Iterator
@@ -220,17 +222,23 @@ def slot_tree(slots: list[Block]) -> list:
     return root
 
 
-def extract(text: str, template: set[tuple[str, str]]) -> str:
+def mark(path: str, text: str = "") -> int:
+    """A hash of a slot, or of where it stands."""
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def extract(text: str, template: set[int]) -> str:
     """The main text of a page; what stands outside an article and is template goes."""
     found = blocks(parse(text))
     if any(b.in_article for b in found):
         return "\n".join(b.text for b in found if b.in_article)
-    return "\n".join(b.text for b in found if (b.path, b.text) not in template)
+    return "\n".join(b.text for b in found if mark(b.path, b.text) not in template)
 
 
 # --- wrappers ---------------------------------------------------------------------------------------------------------
 
-_MATCHED = "host string, path string, slot string, matched long, same long"
+_SEEN = "host string, path long, slot long, pages long, size long, hash long"
+_MATCHED = "host string, slot long, matched long, same long"
 _TEXT = "page_id long, url string, text string, n_chars long"
 
 
@@ -245,42 +253,69 @@ def _by_host(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if size <= SENT else frame
 
 
+def _seen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """On how many pages of a host a text or any text stands at a place (the text null), and each page that has a slot
+    (the place null too)."""
+    for part in batches:
+        totals: dict[tuple[str, int, int | None], int] = {}
+        pages = []
+        for host, page, size, key in zip(*(part.column(c).to_pylist() for c in ("host", "html", "n", "h"))):
+            slots = {(b.path, b.text) for b in blocks(parse(page))}
+            if not slots:
+                continue
+            pages.append((host, None, None, 1, size, key))
+            places = {path: mark(path) for path, _ in slots}
+            for at in [(host, place, None) for place in places.values()] + [(host, places[path], mark(path, text)) for path, text in slots]:
+                totals[at] = totals.get(at, 0) + 1
+        out = pages + [(*at, n, None, None) for at, n in totals.items()]
+        if out:
+            columns = [list(c) for c in zip(*out)]
+            yield batch(_SEEN, pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:]))
+
+
 def wrappers(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """(host, template): the constant texts of each host, as ``array<struct<path, slot>>``.
+    """(host, template): the constant texts of each host with PAGES pages that have slots, as hashes of place and text.
 
-    All pages of a host are aligned with its shortest page (ties: the smallest hash); sums are partial.
+    All pages of a host are aligned with its shortest page that has a slot (ties: the smallest hash). A text is constant
+    too if it stands on nearly all pages of the host that have a text at its place. All sums are partial.
     """
     rows = pages.select(_host(url).alias("host"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("html"))
-    key = F.struct(F.char_length("html").alias("n"), F.xxhash64("html").alias("h"))
-    first = _by_host(rows.groupBy("host").agg(F.min(key).alias("key")))
-    reference = rows.withColumn("key", key).join(first, ["host", "key"]).select("host", F.col("html").alias("reference"))
+    rows = rows.withColumn("n", F.char_length("html").cast("long")).withColumn("h", F.xxhash64("html"))
+    key = F.when(F.col("hash").isNotNull(), F.struct("size", "hash"))
+    seen = rows.mapInArrow(_seen, _SEEN).groupBy("host", "path", "slot").agg(F.sum("pages").alias("pages"), F.min(key).alias("key"))
+    seen = checkpointed(seen.where(F.col("pages") >= PAGES))
+    hosts = seen.where("path is null").select("host", F.col("key.size").alias("n"), F.col("key.hash").alias("h"))
+    reference = rows.join(_by_host(hosts), ["host", "n", "h"]).select("host", F.col("html").alias("reference"))
     reference = _by_host(reference.dropDuplicates(["host"]))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list[Block], list]] = {}
+        known: dict[str, tuple[list[int], list[Block], list]] = {}
         for part in batches:
-            totals: dict[tuple[str, str, str], list[int]] = {}
+            totals: dict[tuple[str, int], list[int]] = {}
             for host, page, ref in zip(*(part.column(c).to_pylist() for c in ("host", "html", "reference"))):
                 if ref not in known:
                     if len(known) > 1000:
                         known.clear()
                     slots = blocks(parse(ref))
-                    known[ref] = slots, slot_tree(slots)
-                slots, tree = known[ref]
-                if not slots:
-                    continue
+                    known[ref] = [mark(b.path, b.text) for b in slots], slots, slot_tree(slots)
+                marks, slots, tree = known[ref]
                 own = blocks(parse(page))
                 for i, j in align(slot_tree(own), tree):
-                    total = totals.setdefault((host, slots[j].path, slots[j].text), [0, 0])
+                    total = totals.setdefault((host, marks[j]), [0, 0])
                     total[0] += 1
                     total[1] += own[i].text == slots[j].text
             if totals:
-                columns = [*zip(*totals)], [*zip(*totals.values())]
-                yield batch(_MATCHED, *(pa.array(list(c), pa.string()) for c in columns[0]), *(pa.array(list(c), pa.int64()) for c in columns[1]))
+                columns = [list(c) for c in (*zip(*totals), *zip(*totals.values()))]
+                yield batch(_MATCHED, pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:]))
 
-    sums = rows.join(reference, "host").mapInArrow(compare, _MATCHED).groupBy("host", "path", "slot").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"))
-    constant = sums.where((F.col("same") >= CONSTANT * F.col("matched")) & (F.col("matched") >= PAGES))
-    return constant.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "slot"))).alias("template"))
+    sums = rows.join(reference, "host").mapInArrow(compare, _MATCHED).groupBy("host", "slot").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"))
+    aligned = sums.where((F.col("same") >= CONSTANT * F.col("matched")) & (F.col("matched") >= PAGES)).select("host", "slot")
+    places = seen.where("path is not null and slot is null").select("host", "path", F.col("pages").alias("matched"))
+    counted = seen.where("slot is not null").select("host", "path", "slot", "pages").join(places, ["host", "path"])
+    counted = counted.where(F.col("pages") >= CONSTANT * F.col("matched")).select("host", "slot")
+    # Hosts without a constant text have an empty template.
+    constant = aligned.union(counted).union(hosts.select("host", F.lit(None).cast("long").alias("slot")))
+    return constant.groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("template"))
 
 
 def html_text(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -297,8 +332,7 @@ def html_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
         for part in batches:
             found = []
             for page, template in zip(part.column("html"), part.column("template")):
-                known = {(t["path"], t["slot"]) for t in template.as_py() or ()}
-                found.append(extract(page.as_py() or "", known))
+                found.append(extract(page.as_py() or "", set(template.as_py() or ())))
             yield batch(_TEXT, part.column("page_id"), part.column("url"), pa.array(found, pa.string()), np.array([len(t) for t in found], np.int64))
 
     return joined.mapInArrow(run, _TEXT)

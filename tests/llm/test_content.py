@@ -166,6 +166,14 @@ def test_html_text(spark):
     assert html.html_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("odd", [None, "", "<p>", "<body><div class='x'>Not found"])
+def test_no_single_page_decides_a_template(spark, odd):
+    body = "<body><div class='top'>Home and more</div><div class='text'><p>Story {n}<p>More {n}</div><div class='end'>Call us</div>"
+    rows = [(i, f"https://a.example/{i}", body.format(n=i)) for i in range(20)] + [(20, "https://a.example/20", odd)]
+    found = {r.page_id: r.text for r in html.html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Story {i}\nMore {i}" for i in range(20))
+
+
 def test_align_keeps_order():
     a = html.slot_tree(html.blocks(html.parse("<div><p>a<p>b<p>c</div><ul><li>x</ul>")))
     b = html.slot_tree(html.blocks(html.parse("<div><p>a<p>c</div><h2>n</h2><ul><li>y<li>x</ul>")))
