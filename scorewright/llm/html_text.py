@@ -4,8 +4,9 @@ Every host has a reference page, its shortest with a text slot. Simple tree matc
 sums over all pages tell how often each text of the reference was matched and how often it was the same. As one page may
 lack what all others have, texts are also counted by where they stand over all pages of the host. Texts that are the same
 on nearly all pages are the host's template, varying slots are content. Whether a slot is the article is told by where it
-stands: slots in menus, headers, footers, sidebars, notices, adverts, forms and comments are none, and where a page has
-an article or main element, the slots within it are all its content.
+stands: slots in menus, headers, footers, sidebars, notices, adverts, forms and comments are none. Where a page has an
+article or main element, its content is what stands in there, but for containers of constant text, unless what varies
+outside is much more.
 """
 
 import hashlib
@@ -23,6 +24,8 @@ from scorewright.llm.session import batch, checkpointed
 
 # A text is template if it is the same on this share of the pages it was matched on, and those are so many at least.
 CONSTANT, PAGES = 0.9, 3
+# An article is passed over if what varies outside of it has more than this many times its characters.
+OUTSIDE = 2
 # Bytes of what is joined to pages by host up to which it is sent to every executor; beyond, pages are shuffled to it.
 SENT = 32 << 20
 # Elements of a slot's path; those further in count as the last of them.
@@ -43,6 +46,8 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = frozenset("ul ol dl table tr td th div article section main aside nav header footer form body select blockquote".split())
 NEVER = frozenset("head nav header footer aside form button select menu dialog object canvas audio video map".split()) | RAW
 WITHIN_ARTICLE = NEVER - {"header"}
+# What stands in an article through these alone is its own text, also where it is the same on all pages.
+PLAIN = frozenset("article main header hgroup p h1 h2 h3 h4 h5 h6".split())
 AVOIDED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|menu|nav\w*|newsletter|notices?|popup|promo\w*|"
     r"related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
@@ -227,12 +232,32 @@ def mark(path: str, text: str = "") -> int:
     return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def extract(text: str, template: set[int]) -> str:
-    """The main text of a page; what stands outside an article and is template goes."""
+def _contained(path: str) -> bool:
+    """Whether a slot of an article stands in a container within it."""
+    for step in reversed(path.split("/")):
+        tag = step.split(".")[0]
+        if tag in ("article", "main"):
+            break
+        if tag not in PLAIN:
+            return True
+    return False
+
+
+def extract(text: str, template: set[int] | None) -> str:
+    """The main text of a page; what is template goes, in an article if it stands in a container.
+
+    :param template: none if too few pages of the host are known to tell what varies
+    """
     found = blocks(parse(text))
-    if any(b.in_article for b in found):
-        return "\n".join(b.text for b in found if b.in_article)
-    return "\n".join(b.text for b in found if mark(b.path, b.text) not in template)
+    varying = [b for b in found if not template or mark(b.path, b.text) not in template]
+    article = [b for b in found if b.in_article]
+    if not article:
+        return "\n".join(b.text for b in varying)
+    kept = {id(b) for b in varying}
+    own = [b for b in article if id(b) in kept or not _contained(b.path)] or article
+    outside = [b for b in varying if not b.in_article] if template is not None else []
+    passed_over = sum(len(b.text) for b in outside) > OUTSIDE * sum(len(b.text) for b in own)
+    return "\n".join(b.text for b in (outside if passed_over else own))
 
 
 # --- wrappers ---------------------------------------------------------------------------------------------------------
@@ -332,7 +357,7 @@ def html_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
         for part in batches:
             found = []
             for page, template in zip(part.column("html"), part.column("template")):
-                found.append(extract(page.as_py() or "", set(template.as_py() or ())))
+                found.append(extract(page.as_py() or "", set(template.as_py()) if template.is_valid else None))
             yield batch(_TEXT, part.column("page_id"), part.column("url"), pa.array(found, pa.string()), np.array([len(t) for t in found], np.int64))
 
     return joined.mapInArrow(run, _TEXT)

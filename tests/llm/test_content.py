@@ -174,6 +174,18 @@ def test_no_single_page_decides_a_template(spark, odd):
     assert all(found[i] == f"Story {i}\nMore {i}" for i in range(20))
 
 
+def test_template_decides_about_articles(spark):
+    card = "<body><article><h3>Teaser {n}</h3></article><div class='text'><p>Story {n} that is told at length<p>More of {n} and its end</div>"
+    notice = "<body><article><h1>Head {n}</h1><div class='x1'><p>Get our letter</div><div class='body'><p>Story {n}</div><p>Plain</article>"
+    rows = [(i, f"https://a.example/{i}", card.format(n=i)) for i in range(5)] + [(i, f"https://b.example/{i}", notice.format(n=i)) for i in range(10, 15)]
+    # Copies of one page tell nothing about its article.
+    rows += [(i, f"https://c.example/{i}", notice.format(n=1)) for i in range(20, 25)] + [(30, "https://d.example", card.format(n=1))]
+    found = {r.page_id: r.text for r in html.html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Story {i} that is told at length\nMore of {i} and its end" for i in range(5))
+    assert all(found[i] == f"Head {i}\nStory {i}\nPlain" for i in range(10, 15))
+    assert all(found[i].startswith("Head 1\n") and found[i].endswith("Plain") for i in range(20, 25)) and found[30] == "Teaser 1"
+
+
 def test_align_keeps_order():
     a = html.slot_tree(html.blocks(html.parse("<div><p>a<p>b<p>c</div><ul><li>x</ul>")))
     b = html.slot_tree(html.blocks(html.parse("<div><p>a<p>c</div><h2>n</h2><ul><li>y<li>x</ul>")))
