@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from scorewright.llm.session import batch, fold, texts
 from scorewright.llm.texts import BYTE_VALUES, LOWER, Chunk, byte_class, chunks, mix, prefix_hashes, span_hashes
 
-# Documents to learn each language from, at most, bytes of one of them, at most, and languages.
-SAMPLE, SAMPLE_BYTES, LANGUAGES = 2000, 1 << 15, 32
+# Documents to learn each language from, at most, and bytes of one of them unless all of a language are longer.
+SAMPLE, SAMPLE_BYTES = 2000, 1 << 15
+# Languages up to which the keys of what they are learnt from are sent to every executor.
+SENT = 100
+# Languages that a task holds counts of at a time.
+HELD = 32
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3)
 PENALTY = 12.0
@@ -117,52 +121,65 @@ _COUNTS = "lang string, kind int, bucket int, number long"
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Languages:
-    """Languages from text and label of at most ``sample`` documents of each, taken by a hash of the key; of at most
-    LANGUAGES languages, the most frequent ones; of texts of at most SAMPLE_BYTES bytes.
+    """Every language that is named, from text and label of at most ``sample`` documents of each, taken by a hash of the
+    key; of texts of at most SAMPLE_BYTES bytes, or, of a language that has only longer ones, of those.
 
     Keys whose CRC-32 modulo 3 is 1 are held out; null labels and keys are left out.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 3) != 1) & (F.octet_length("text") <= SAMPLE_BYTES))
-    names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    names = sorted(r["lang"] for r in names.collect())
+    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 3) != 1) & F.col("text").isNotNull())
+    rows = rows.withColumn("long", F.octet_length("text") > SAMPLE_BYTES)
+    found = {r["lang"]: r["long"] for r in rows.groupBy("lang").agg(F.min("long").alias("long")).collect()}
+    names = sorted(found)
     if not names:
         return Languages([], [np.zeros((BUCKETS, 0), np.float32) for _ in (*GRAMS, 0)], np.zeros((0, len(SCRIPTS)), bool))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.where(F.col("lang").isin(names)).select("lang", "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
-    # At most sample * LANGUAGES rows of two short columns, so the broadcast is bounded.
-    learnt = rows.join(F.broadcast(chosen.select("lang", "doc_id").distinct()), ["lang", "doc_id"])
+    only_long = [name for name in names if found[name]]
+    rows = rows.where(~F.col("long") | F.col("lang").isin(only_long)) if only_long else rows.where(~F.col("long"))
+    chosen = rows.select("lang", "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    chosen = chosen.select("lang", "doc_id").distinct()
+    # At most ``sample`` rows of two short columns a language; with few languages that is little to send to all.
+    learnt = rows.join(F.broadcast(chosen) if len(names) <= SENT else chosen, ["lang", "doc_id"])
+
+    def sums(totals: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for name, own in totals.items():
+            for kind, total in enumerate(own):
+                bucket = np.flatnonzero(total)
+                yield batch(_COUNTS, pa.array([name] * len(bucket), pa.string()), np.full(len(bucket), kind, np.int32), bucket.astype(np.int32), total[bucket])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, list[np.ndarray]] = {}
         for part in batches:
             named = np.array(part.column("lang").to_pylist(), object)
             for name in set(named.tolist()):
+                if name not in totals and len(totals) >= HELD:
+                    yield from sums(totals)
+                    totals.clear()
                 own = totals.setdefault(name, [np.zeros(BUCKETS, np.int64) for _ in range(len(GRAMS) + 2)])
                 for chunk in chunks(part.column("text").filter(pa.array(named == name))):
                     found = spelling(chunk)
                     for total, (_, bucket) in zip(own, found.runs):
                         total += np.bincount(bucket, minlength=BUCKETS)
                     own[-1][: len(SCRIPTS)] += np.bincount(found.script, weights=found.letters, minlength=len(SCRIPTS)).astype(np.int64)
-        for name, own in totals.items():
-            for kind, total in enumerate(own):
-                bucket = np.flatnonzero(total)
-                yield batch(_COUNTS, pa.array([name] * len(bucket), pa.string()), np.full(len(bucket), kind, np.int32), bucket.astype(np.int32), total[bucket])
+        yield from sums(totals)
 
     counts = learnt.select("lang", "text").mapInArrow(count, _COUNTS).groupBy("lang", "kind", "bucket").agg(F.sum("number").alias("number"))
     counts = counts.toArrow()
     number = {name: i for i, name in enumerate(names)}
     which = np.array([number[x] for x in counts.column("lang").to_pylist()], np.int64)
     kind, bucket, many = (np.asarray(counts.column(c)).astype(np.int64) for c in ("kind", "bucket", "number"))
-    tables = []
-    for k in range(len(GRAMS) + 2):
+
+    def table_of(k: int) -> np.ndarray:
         table = np.zeros((BUCKETS, len(names)))
         table[bucket[kind == k], which[kind == k]] = many[kind == k]
-        tables.append(table)
-    scripts = tables.pop()[: len(SCRIPTS)].T
+        return table
+
+    scripts = table_of(len(GRAMS) + 1)[: len(SCRIPTS)].T
     scripts = scripts >= 0.01 * np.maximum(scripts.sum(1, keepdims=True), 1)
     likely = []
-    for k, table in enumerate(tables):
+    # A table at a time, as each takes half a megabyte a language.
+    for k in range(len(GRAMS) + 1):
+        table = table_of(k)
         share = np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * BUCKETS))
         # Only what differs between languages counts; runs of one letter say little, whole words most.
         share -= share.mean(1, keepdims=True)

@@ -317,5 +317,19 @@ def test_language_id(spark):
     assert {r.lang_pred for r in languages.language_id(docs, languages.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_all_languages_are_learnt(spark):
+    rng = random.Random(3)
+    parts = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)] for k in range(120)}
+    make = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(2)) for _ in range(n))
+    # Languages of the first names have one document more, and the last one only long ones.
+    rows = [(i, make(lang, 6000 if lang == "l119" else 40), lang) for i, lang in enumerate([*parts] * 3 + [*parts][:40])]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    model = languages.fit(docs)
+    known = sorted({lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1})
+    assert model.names == known and len(known) > 100 and "l119" in known
+    found = {r.doc_id: r.lang_pred for r in languages.language_id(docs, model).collect()}
+    assert all(found[i] == lang for i, _, lang in rows if lang in known)
+
+
 def test_nulls_have_no_batches():
     assert crf.scores(pa.array([], pa.string()), crf.Field(np.zeros(42), np.zeros((2, 2)))).tolist() == []
