@@ -187,3 +187,39 @@ def test_verified_splits_at_gaps():
     other = np.concatenate([np.arange(30), np.arange(500, 560), np.arange(60, 100)]).astype(np.uint64)
     found = verified(own, other, 20, 0.8)
     assert sorted((a, b) for a, b, *_ in found) == [(0, 29), (60, 99)]
+
+
+def test_verified_finds_a_passage_over_the_widest_gap():
+    # 30 shared, 6 changed, 30 shared; on both sides 7 of 12 shared.
+    side = [i % 12 < 7 for i in range(96)]
+    kept = side + [True] * 30 + [False] * 6 + [True] * 30 + side[::-1]
+    own = np.arange(len(kept), dtype=np.uint64)
+    found = verified(own, np.where(kept, own, own + np.uint64(1000)), 46, 0.8)
+    assert any(a <= 96 and b >= 161 for a, b, *_ in found) and all(s >= 0.8 for *_, s in found)
+
+
+def test_verified_by_brute_force():
+    rng, length, hits = np.random.default_rng(13), 12, 0
+    for _ in range(150):
+        base = rng.integers(0, 2000, 60)
+        edits = rng.random(60)
+        rate = np.repeat(rng.choice([0.02, 0.1, 0.4], 4), 15)
+        other = np.concatenate([[x] if e > r else [5000 + int(x)] if e > r / 2 else [] if e > r / 4 else [x, 9000 + int(x)] for x, e, r in zip(base, edits, rate)])
+        own, other = base.astype(np.uint64), other.astype(np.uint64)
+        good = set()
+        for x in range(len(own) - length + 1):
+            for y in range(x + length, min(x + 2 * length, len(own)) + 1):
+                mine = set(own[x:y].tolist())
+                where = [k for k, t in enumerate(other.tolist()) if t in mine]
+                z, w = (where[0], where[-1] + 1) if where else (0, 0)
+                its = set(other[z:w].tolist())
+                if w - z >= length and len(mine & its) >= 0.8 * len(mine | its):
+                    good.add((x, y))
+        found = verified(own, other, length, 0.8)
+        for a, b, c, d, share in found:
+            mine, its = set(own[a : b + 1].tolist()), set(other[c : d + 1].tolist())
+            assert share == pytest.approx(len(mine & its) / len(mine | its)) and share >= 0.8 and min(b - a, d - c) >= length - 1
+        # All that is alike is reported, or has a part in what is.
+        assert all(any(a < y and x <= b for a, b, *_ in found) for x, y in good)
+        hits += len(good) > 0
+    assert hits > 50
