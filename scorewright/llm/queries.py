@@ -11,6 +11,7 @@ from scorewright.llm.license_scan import license_scan
 from scorewright.llm.mixing import label_domains, mix
 from scorewright.llm.passage_dedup import passage_dedup
 from scorewright.llm.quality_crf import fit, quality
+from scorewright.llm.sharding import shard
 from scorewright.llm.suffix_dedup import suffix_dedup
 from scorewright.llm.topk import top_k
 
@@ -74,6 +75,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id(docs, fit_languages(docs))
 
 
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard of each document, of 24 with equal sizes, and its place there."""
+    return shard(table(spark, folder, "documents"), shards=24)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -85,6 +91,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_crf": op9_quality_crf,
     "op10_language_id": op10_language_id,
+    "op13_sharding": op13_sharding,
 }
 
 _SETS = r"""
@@ -93,7 +100,30 @@ words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text,
 sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
     else list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i+3], ' '))) end as s from words)"""
 
+# CRC-32 of a text's UTF-8 bytes, by the table of its polynomial; crc_table has one row.
+_CRC_TABLE = """
+crc_bits as (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as v
+    from range(256) t(i)),
+crc_table as (select list(v order by i) as crc from crc_bits)"""
+
+
+def _crc32(text: str) -> str:
+    digits = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {digits}), lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8)))"
+
+
 SQL: dict[str, str] = {
+    "op13_sharding": f"""
+with {_CRC_TABLE},
+narrow as (select doc_id, cast(octet_length(encode(coalesce(text, ''))) + 8 as bigint) as size, cast({_crc32("coalesce(text, '')")} as bigint) as text_crc32,
+    ('0x' || left(md5(coalesce(text, '')), 15))::bigint as h from documents, crc_table),
+placed as (select *, sum(size) over (order by h, doc_id nulls first rows unbounded preceding) - size as byte, sum(size) over () as total,
+    sum(size) over (partition by h) as together from narrow),
+grouped as (select *, min(byte) over (partition by h) as start from placed),
+sharded as (select *, cast((case when together * 2400 <= total then 2 * start + together else 2 * byte + size end) * 24 // (2 * total) as integer) as shard from grouped)
+select doc_id, size, text_crc32, 'bytes' as law, shard, cast(row_number() over (partition by shard order by h, doc_id nulls first) - 1 as bigint) as slot,
+    cast(null as integer) as grown_shard
+from sharded""",
     "op5_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
     where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
