@@ -12,6 +12,7 @@ from scorewright.llm.mixing import label_domains, mix
 from scorewright.llm.passage_dedup import passage_dedup
 from scorewright.llm.quality_crf import fit, quality
 from scorewright.llm.sharding import shard
+from scorewright.llm.spelling import spelling_variants, vocabulary
 from scorewright.llm.suffix_dedup import suffix_dedup
 from scorewright.llm.topk import top_k
 
@@ -75,6 +76,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id(docs, fit_languages(docs))
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of the documents, with planted typing errors, and the frequent words that they are variants of."""
+    return spelling_variants(vocabulary(table(spark, folder, "documents"), typos_every=31))
+
+
 def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Shard of each document, of 24 with equal sizes, and its place there."""
     return shard(table(spark, folder, "documents"), shards=24)
@@ -91,6 +97,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_crf": op9_quality_crf,
     "op10_language_id": op10_language_id,
+    "op11_spelling": op11_spelling,
     "op13_sharding": op13_sharding,
 }
 
@@ -113,6 +120,23 @@ def _crc32(text: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "op11_spelling": f"""
+with recursive {_CRC_TABLE},
+runs as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run
+    from documents where text is not null),
+counted as (select doc_id, run, count(*) as c from runs where length(run) >= 7 group by all),
+hashed as (select run, c, {_crc32("coalesce(cast(doc_id as varchar), '') || ':' || run")} as h from counted, crc_table),
+typed as (select case when h % 31 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, c from hashed),
+words as (select word, cast(sum(c) as bigint) as n from typed where length(word) >= 7 group by 1 having sum(c) >= 2),
+cut as (select word, n, i, left(word, i - 1) || substr(word, i + 1) as v from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+pairs as (select a.word as x, b.word as y, b.n as m from cut a join words b on a.v = b.word union select b.word, a.word, a.n from cut a join words b on a.v = b.word
+    union select a.word, b.word, b.n from cut a join cut b on a.i = b.i and a.v = b.v and a.word <> b.word),
+ranked as (select x, y, m, count(*) over (partition by x) as n_near, row_number() over (partition by x order by m desc, y) as k from pairs),
+linked as (select w.word, w.n, coalesce(r.n_near, 0) as n_near, case when r.m >= 10 * w.n then r.y end as form, case when r.m >= 10 * w.n then r.m end as form_n
+    from words w left join ranked r on r.x = w.word and r.k = 1),
+path as (select word, word as at from linked union all select p.word, l.form from path p join linked l on l.word = p.at where l.form is not null),
+ends as (select p.word, p.at as root from path p join linked l on l.word = p.at where l.form is null)
+select l.word, l.form, e.root, l.n, l.n_near, l.form_n from linked l join ends e on e.word = l.word""",
     "op13_sharding": f"""
 with {_CRC_TABLE},
 narrow as (select doc_id, cast(octet_length(encode(coalesce(text, ''))) + 8 as bigint) as size, cast({_crc32("coalesce(text, '')")} as bigint) as text_crc32,
