@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scorewright.llm.conversation_repair import conversation_repair, damaged, known
 from scorewright.llm.decontaminate import contaminated
 from scorewright.llm.html_text import html_text
 from scorewright.llm.jaccard_join import jaccard_join
@@ -81,6 +82,12 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(vocabulary(table(spark, folder, "documents"), typos_every=31))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Cheapest repair of each conversation after planted faults."""
+    rows = known(table(spark, folder, "conversations"))
+    return conversation_repair(damaged(rows), rows)
+
+
 def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Shard of each document, of 24 with equal sizes, and its place there."""
     return shard(table(spark, folder, "documents"), shards=24)
@@ -98,6 +105,7 @@ QUERIES = {
     "op9_quality_crf": op9_quality_crf,
     "op10_language_id": op10_language_id,
     "op11_spelling": op11_spelling,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_sharding": op13_sharding,
 }
 
