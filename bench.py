@@ -38,6 +38,9 @@ HEADLINE = (
     "unanswered_items",
     "generated_accuracy",
     "incremental_rows",
+    "bucketed_rows",
+    "metrics_of_parts",
+    "resumed_answers",
 )
 # Queries that score every line item once.
 SCORING = ("mixed_accuracy", "result_rows", "accuracy_by_model", "salted_accuracy")

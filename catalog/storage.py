@@ -17,7 +17,9 @@ from scorewright.plans.aggregate import aggregate_runs
 from scorewright.plans.evaluate import evaluate
 from scorewright.schemas import RESULTS
 from scorewright.sources import benchmark, sinks
+from scorewright.sources.bucketed import read_bucketed, write_bucketed
 from scorewright.sources.runs import read_metrics, read_run_metrics
+from scorewright.streaming.answers import answer_stream, stage_items
 from scorewright.streaming.incremental import running_accuracy, score_stream, stream_responses
 
 
@@ -123,6 +125,41 @@ def evaluated_reports(spark, folder):
     return rows.unionByName(long.select(F.lit("matrix").alias("report"), "model", "dataset", "value"))
 
 
+def metrics_of_parts(spark, folder):
+    """Runs evaluated in two parts, the second of them twice."""
+    path = shared_folder(spark, "evaluation")
+    items, responses = mixed_tables(spark, folder)
+    late = F.length("response") % 2 == 0
+    evaluate(items, responses.where(~late), path, part="early")
+    for _ in range(2):
+        evaluate(items, responses.where(late), path, part="late")
+    return read_run_metrics(spark, path).select("model", "dataset", "split", "total_samples", "accuracy")
+
+
+def bucketed_rows(spark, folder):
+    """Whole result rows of responses that are saved in buckets first, with the items of many responses spread."""
+    path = shared_folder(spark, "bucketed")
+    items, responses = mixed_tables(spark, folder)
+    write_bucketed(responses, path, 8, hot_rows=40)
+    bucketed, hot = read_bucketed(spark, path)
+    return _result_columns(score(items, bucketed, hot_items=hot))
+
+
+def resumed_answers(spark, folder):
+    """A model asked for the items that are there, and once more for all when others have come; it says in which run."""
+    items = view(spark, folder, inputs.CHOICE_ITEMS)
+    staged, path = shared_folder(spark, "staged"), shared_folder(spark, "answers")
+
+    def model_of(run):
+        return lambda: lambda prompts: [f"Run {run}, {len(prompt)} signs." for prompt in prompts]
+
+    for run, part in ((1, "example_id % 2 = 0"), (2, "example_id % 2 = 1")):
+        stage_items(items.where(part), staged)
+        # The second run has no memory of the first but what is saved.
+        answer_stream(spark, staged, "length", model_of(run), path, shared_folder(spark, "checkpoint")).awaitTermination()
+    return benchmark.read_responses(spark, path).select("example_id", "dataset", "split", "model", "response")
+
+
 def metrics_files(spark, folder):
     """One metrics file per run, some broken, some without a sample count, and files of other names beside them."""
     path = shared_folder(spark, "runs")
@@ -216,6 +253,15 @@ QUERIES = [
           union all select 'matrix', m.model, d.dataset, r.accuracy
             from (select distinct model from runs) m cross join (select distinct dataset from runs) d
             left join runs r on r.model = m.model and r.dataset = d.dataset"""),
+    Query("metrics_of_parts", ("SNK3", "AGG1", "AGG2", "AGG3"), metrics_of_parts,
+          f"select model, dataset, split, total_samples, accuracy from {inputs.SQL_RUNS}"),
+    Query("bucketed_rows", ("JOIN1", "PRJ25"), bucketed_rows,
+          f"""select example_id, model, response as model_response, extracted_answer, ground_truth as ground_truth_answer, is_correct
+          from {inputs.sql_graded(inputs.SQL_MIXED_ROWS)}"""),
+    Query("resumed_answers", ("SNK7", "UDF2"), resumed_answers,
+          f"""select example_id, dataset, split, 'length' as model,
+            'Run ' || (1 + cast(example_id as bigint) % 2) || ', ' || length(prompt) || ' signs.' as response
+          from {inputs.sql_view(inputs.CHOICE_ITEMS)}"""),
     Query("metrics_files", ("SRC6", "SRC7", "SRC8", "SRC9", "FLT3"), metrics_files,
           f"""select string_split(model, '/')[-1] as model, dataset, split,
             case when split = 'test' then total_samples end as total_samples, accuracy

@@ -42,6 +42,35 @@ def run_metrics(graded: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     return totals.withColumn("samples_per_second", speed)
 
 
+def metric_states(graded: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+    """What metrics are made of, one row per run: counts, first start and last finish. States of parts of a run merge."""
+    if "metadata" in graded.columns:
+        for name in ("dataset", "model", "subset"):
+            graded = graded.withColumn(name, F.col(f"metadata.{name}"))
+
+    def time(name: str) -> Column:
+        return F.col(name).cast("timestamp") if name in graded.columns else F.lit(None).cast("timestamp")
+
+    return graded.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_samples"),
+        F.count_if("is_correct").alias("correct_samples"),
+        F.min(time("started_at")).alias("first_start"),
+        F.max(time("finished_at")).alias("last_finish"),
+    )
+
+
+def merged_metrics(states: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+    """Metrics of runs from the states of all their parts, as :func:`run_metrics` gives them for a whole run."""
+    merged = states.groupBy(*keys).agg(
+        F.sum("total_samples").alias("total_samples"),
+        F.sum("correct_samples").alias("_correct"),
+        elapsed_seconds(F.col("first_start"), F.col("last_finish")).alias("total_time"),
+    )
+    share = F.coalesce(F.try_divide(F.col("_correct").cast("double"), F.col("total_samples")), F.lit(0.0))
+    speed = F.try_divide(F.col("total_samples"), F.col("total_time"))
+    return merged.select(*keys, "total_samples", share.alias("accuracy"), "total_time", speed.alias("samples_per_second"))
+
+
 def merge_metrics(runs: Sequence[DataFrame]) -> DataFrame:
     """Metrics tables of different columns as one, with null where a column is missing."""
     first, *others = runs

@@ -66,7 +66,12 @@ def unmatched_responses(items: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def join_responses(
-    items: DataFrame, responses: DataFrame, keep_unanswered: bool = False, salt: int = 1, unmatched: str = "drop"
+    items: DataFrame,
+    responses: DataFrame,
+    keep_unanswered: bool = False,
+    salt: int = 1,
+    unmatched: str = "drop",
+    hot_items: DataFrame | None = None,
 ) -> DataFrame:
     """Match responses with their items by key.
 
@@ -84,8 +89,13 @@ def join_responses(
 
     Responses without an item are left out (``unmatched="drop"``), stay with a null item
     (``"keep"``), or are an error (``"error"``).
+
+    With ``hot_items``, responses come from ``read_bucketed``: they join where they lie, by key and ``item_salt``, and
+    the items named there, and no others, have a copy for each of their numbers.
     """
     keys = list(ITEM_KEYS)
+    if hot_items is not None and salt > 1:
+        raise ValueError("responses in buckets have their salts already")
     if unmatched not in ("drop", "keep", "error"):
         raise ValueError(f"unmatched is drop, keep or error, not {unmatched}")
     how = "inner" if unmatched == "drop" else "left"
@@ -95,6 +105,11 @@ def join_responses(
         spread = responses.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salt)))
         copies = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         joined = spread.join(copies, [*keys, "salt"], how).drop("salt")
+    elif hot_items is not None:
+        copies = items.join(hot_items, keys, "left").withColumn(
+            "item_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+        )
+        joined = responses.join(copies.drop("salts"), [*keys, "item_salt"], how).drop("item_salt")
     else:
         joined = responses.join(items, keys, how)
     if unmatched == "error":
@@ -117,6 +132,7 @@ def grade(
     unmatched: str = "drop",
     check_items: bool = True,
     top: int | None = fixed.TOP_LOGPROBS,
+    hot_items: DataFrame | None = None,
 ) -> DataFrame:
     """Grade responses of any number of benchmarks and models in one job.
 
@@ -128,13 +144,14 @@ def grade(
     :param responses: ``example_id, dataset, split, model, response`` and, if there,
         ``first_token_logprobs``, ``started_at``, ``finished_at``
     :param adapters: adapters of the datasets present; the registered ones by default
-    :param keep_unanswered: see :func:`join_responses`, also for ``salt`` and ``unmatched``
+    :param keep_unanswered: see :func:`join_responses`, also for ``salt``, ``unmatched`` and ``hot_items``
     :param check_items: fail if two items have one key; not done for streams
     :param top: the likeliest first-token candidates that are looked at; all of them when None
     :return: both tables' columns with ``extracted_answer`` and ``is_correct``
     """
     adapters = list(adapters or REGISTRY.values())
-    responses = responses.select(*[name for name in RESPONSE_COLUMNS if name in responses.columns])
+    wanted = RESPONSE_COLUMNS if hot_items is None else (*RESPONSE_COLUMNS, "item_salt")
+    responses = responses.select(*[name for name in wanted if name in responses.columns])
     items, responses = (table.withColumn("example_id", F.col("example_id").cast("string")) for table in (items, responses))
     if check_items and not responses.isStreaming:
         items = unique_items(items)
@@ -143,7 +160,8 @@ def grade(
         # Both are worked out once a row, before the join, and not once a candidate behind it.
         responses = responses.withColumn("candidates", top_candidates(F.col("first_token_logprobs"), top))
         items = items.withColumn("choices", choices_of(adapters))
-    joined = join_responses(items, with_extracted_answer(responses, adapters), keep_unanswered, salt, unmatched)
+    answered = with_extracted_answer(responses, adapters)
+    joined = join_responses(items, answered, keep_unanswered, salt, unmatched, hot_items)
     match = pick_by_dataset(
         adapters, lambda a: a.grader.match, lambda match: match(F.col("extracted_answer"), F.col("truth_key"))
     )

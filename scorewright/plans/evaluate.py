@@ -1,5 +1,6 @@
 """Evaluation jobs: from items and responses, or a model, to saved results and metrics."""
 
+import re
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 from scorewright.functions.prompts import chat_messages, is_chat_model
 from scorewright.operators.adapter import Adapter
 from scorewright.operators.generate import Model, generate
-from scorewright.operators.metrics import run_metrics
+from scorewright.operators.metrics import merged_metrics, metric_states, run_metrics
 from scorewright.operators.score import assemble, grade
-from scorewright.sources.sinks import write_by_run, write_metrics
+from scorewright.schemas import RUN_KEYS
+from scorewright.sources.runs import read_states
+from scorewright.sources.sinks import write_by_run, write_metrics, write_states
 
 
 def evaluate(
@@ -21,34 +24,51 @@ def evaluate(
     adapters: Sequence[Adapter] | None = None,
     format: str = "parquet",
     by_run: bool = False,
+    part: str | None = None,
     **options,
 ) -> DataFrame:
     """Score responses, add their result rows to ``output_dir/rows`` and save the metrics of the runs.
 
     Metrics go to ``output_dir/model={model}/run={dataset}_{split}_metrics.json``, where
-    ``aggregate_runs(spark, output_dir)`` finds them. They cover the rows of this call: a run
-    that is evaluated in parts reports its last part, so give all its responses at once.
+    ``aggregate_runs(spark, output_dir)`` finds them. Without ``part`` they cover the rows of this
+    call alone, in the place of what there was for its runs, and each call adds one folder of rows.
 
-    Each call adds one folder of rows, so that a repeated call cannot change what
-    another has written. Responses are read and graded once: the metrics come from
+    With ``part``, the call is one part of its runs, and their metrics add up over all parts there
+    are in ``output_dir``: counts and times of each part are kept in ``output_dir/parts/part={part}``. A
+    part that is evaluated again replaces its own rows and counts, and so changes nothing if it is
+    the same; its rows are in ``output_dir/rows/evaluation={part}``.
+
+    Responses are read and graded once: the metrics come from
     the saved rows, of which Parquet reads only the few columns they need.
 
     :param format: file format of the rows, ``parquet`` or ``json``
     :param by_run: lay the rows out in a folder per run, see :func:`write_by_run`
+    :param part: name of this part of the runs; letters, digits, ``-``, ``_`` and ``.``
     :param options: of :func:`scorewright.operators.score.grade`
     :return: the metrics, one row per run
     """
     root = output_dir.rstrip("/")
-    rows = f"{root}/rows/evaluation={uuid.uuid4().hex}"
+    if part is not None and not re.fullmatch(r"[\w.-]+", part, re.ASCII):
+        raise ValueError(f"a part's name has letters, digits, -, _ and . only, not {part}")
+    rows = f"{root}/rows/evaluation={uuid.uuid4().hex if part is None else part}"
     graded = grade(items, responses, adapters, **options)
     timing = [name for name in ("started_at", "finished_at") if name in graded.columns]
     results = assemble(graded, adapters, extra=timing)
+    mode = "errorifexists" if part is None else "overwrite"
     if by_run:
-        write_by_run(results, rows, format)
+        write_by_run(results, rows, format, mode)
+    else:
+        results.write.format(format).mode(mode).option("ignoreNullFields", False).save(rows)
+    spark = results.sparkSession
+    saved = spark.read.schema(results.schema).format(format).load(rows)
+    if part is None:
+        metrics = run_metrics(saved)
     else:
-        results.write.format(format).option("ignoreNullFields", False).save(rows)
-    saved = results.sparkSession.read.schema(results.schema).format(format).load(rows)
-    metrics = run_metrics(saved)
+        write_states(metric_states(saved), f"{root}/parts", part)
+        states = read_states(spark, f"{root}/parts")
+        # Runs that this part has nothing of stay as they are.
+        runs = states.where(F.col("part") == part).select(*RUN_KEYS)
+        metrics = merged_metrics(states.join(runs, list(RUN_KEYS), "left_semi"))
     write_metrics(metrics, root)
     return metrics
 

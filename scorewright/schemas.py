@@ -11,6 +11,9 @@ ANSWER_COLUMNS = ("response", "first_token_logprobs", "started_at", "finished_at
 RESPONSES = f"example_id STRING, dataset STRING, split STRING, model STRING, {ANSWER}"
 RESPONSE_COLUMNS = ("example_id", "dataset", "split", "model", *ANSWER_COLUMNS)
 
+# Items whose responses are spread over several buckets, and over how many.
+HOT_ITEMS = "dataset STRING, split STRING, example_id STRING, salts INT"
+
 RESULTS = (
     "example_id STRING, prompt STRING, model_response STRING, extracted_answer STRING, "
     "ground_truth_answer STRING, ground_truth_reasoning STRING, is_correct BOOLEAN, "
@@ -23,6 +26,12 @@ METRICS = (
     "total_time DOUBLE, samples_per_second DOUBLE"
 )
 
+# What metrics of a part of a run are kept as.
+STATES = (
+    "model STRING, dataset STRING, split STRING, total_samples LONG, correct_samples LONG, "
+    "first_start TIMESTAMP, last_finish TIMESTAMP"
+)
+
 # Stands between a short name and the mark that tells it from equal ones.
 NAME_MARK = "@"
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from scorewright.schemas import METRICS, NAME_MARK
+from scorewright.schemas import METRICS, NAME_MARK, STATES
 
 _CORRUPT = "_corrupt_record"
 # Last part before "_metrics.json" is the split, all before it the dataset.
@@ -87,3 +87,8 @@ def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
     if "model_id" not in found.columns:
         return found
     return found.select(F.col("model_id").alias("model"), F.col("dataset_id").alias("dataset"), "split", *[field.name for field in plain])
+
+
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """Counts and times of all parts that ``write_states`` has saved, with their ``part``."""
+    return spark.read.schema(f"{STATES}, part STRING").option("basePath", path).parquet(path)

@@ -25,7 +25,7 @@ def append_rows(results: DataFrame, path: str) -> None:
     results.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def write_by_run(results: DataFrame, path: str, format: str = "parquet") -> None:
+def write_by_run(results: DataFrame, path: str, format: str = "parquet", mode: str = "append") -> None:
     """Add result rows under one folder per run, by the runs' short names.
 
     Rows are brought together by run first, so that a run makes few files; adaptive
@@ -35,7 +35,7 @@ def write_by_run(results: DataFrame, path: str, format: str = "parquet") -> None
     named = results.withColumns(
         {"model": model_label(F.col("metadata.model")), "dataset": dataset_label(F.col("metadata.dataset"))}
     )
-    writer = named.hint("rebalance", *RUN_KEYS).write.mode("append").format(format)
+    writer = named.hint("rebalance", *RUN_KEYS).write.mode(mode).format(format)
     writer.option("ignoreNullFields", False).partitionBy(*RUN_KEYS).save(path)
 
 
@@ -84,6 +84,11 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     writer.option("ignoreNullFields", False).partitionBy("model", "run").json(path)
 
 
+def write_states(states: DataFrame, path: str, part: str) -> None:
+    """Counts and times of one part of runs, in the place of what was saved under its name."""
+    states.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/part={part}")
+
+
 def _write_csv(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
