@@ -11,11 +11,11 @@ from catalog.inputs import Query, shared_folder, table, view
 from catalog.runs import DATASETS, SQL_SCORED_RUNS, scored_runs
 from catalog.scoring import choice_tables, mixed_tables
 from scorewright.operators.benchmarks import BBH
-from scorewright.operators.items import build_items
+from scorewright.operators.items import build_items, with_content_id
 from scorewright.operators.score import score
 from scorewright.plans.aggregate import aggregate_runs
 from scorewright.plans.evaluate import evaluate
-from scorewright.schemas import RESULTS
+from scorewright.schemas import RESPONSES, RESULTS
 from scorewright.sources import benchmark, sinks
 from scorewright.sources.bucketed import read_bucketed, write_bucketed
 from scorewright.sources.runs import read_metrics, read_run_metrics
@@ -53,6 +53,32 @@ def benchmark_subsets(spark, folder):
     return benchmark.list_subsets(rows).unionByName(benchmark.list_subsets(rows, "ECONOMY"))
 
 
+def subset_folders(spark, folder):
+    path = _benchmark_folder(spark, folder)
+    found = benchmark.list_subset_folders(spark, path, split="test")
+    return found.unionByName(benchmark.list_subset_folders(spark, path, subset="ECONOMY"))
+
+
+def content_keys(spark, folder):
+    """Responses as a table without a key, two thirds of them told apart by model and text alone."""
+    rows = view(spark, folder, inputs.CHOICE_RESPONSES).selectExpr("model", "response as input", "if(cast(example_id as long) % 3 = 0, example_id, null) as target")
+    keyed = with_content_id(rows)
+    return keyed.groupBy("model", "input", "target").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("example_id").alias("n_keys"))
+
+
+def repeated_deliveries(spark, folder):
+    """Every file of responses delivered twice, the second time while the stream is stopped."""
+    items, responses = choice_tables(spark, folder)
+    first = responses.dropDuplicates(["model", "example_id"])
+    path, scored, checkpoint = (shared_folder(spark, name) for name in ("arriving", "scored", "checkpoint"))
+    first.write.option("maxRecordsPerFile", ROWS_PER_FILE).json(path)
+    for _ in range(2):
+        arriving = stream_responses(spark, path, files_per_batch=4)
+        score_stream(items, arriving, scored, checkpoint, [BBH], once_within="1 day").awaitTermination()
+        spark.read.schema(RESPONSES).json(path).write.mode("append").json(path)
+    return _result_columns(spark.read.schema(RESULTS).json(scored)).select("example_id", "model", F.col("is_correct").isNull().alias("no_truth"))
+
+
 def concatenated_subsets(spark, folder):
     tables = {
         "docs": table(spark, folder, "documents").selectExpr("doc_id as example_id", "text as input", "lang as target"),
@@ -234,6 +260,16 @@ QUERIES = [
     Query("benchmark_subsets", ("SRC2",), benchmark_subsets,
           """select distinct p_type as subset from part
           union all select distinct p_type from part where p_type = 'ECONOMY'"""),
+    Query("subset_folders", ("SRC2",), subset_folders,
+          """select distinct p_type as subset from part where p_size > 20
+          union all select distinct p_type from part where p_type = 'ECONOMY'"""),
+    Query("content_keys", ("JOIN1",), content_keys,
+          f"""select model, response as input, case when cast(example_id as bigint) % 3 = 0 then example_id end as target, count(*) as n, count(*) as n_keys
+          from {inputs.sql_view(inputs.CHOICE_RESPONSES)} group by all"""),
+    Query("repeated_deliveries", ("STR1", "JOIN1"), repeated_deliveries,
+          f"""select example_id, model, i.ground_truth is null as no_truth
+          from (select distinct dataset, split, example_id, model from {inputs.sql_view(inputs.CHOICE_RESPONSES)}) r
+          join {inputs.sql_view(inputs.CHOICE_ITEMS)} i using (dataset, split, example_id)"""),
     Query("concatenated_subsets", ("SRC3", "SRC4"), concatenated_subsets,
           """select doc_id as example_id, text as input, lang as target, 'docs' as subset from documents
           union all select conv_id, text, null, 'chats' from conversations"""),

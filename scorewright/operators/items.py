@@ -22,28 +22,44 @@ def resolved_subset(table: DataFrame) -> Column:
     return F.coalesce(*found, F.lit(fixed.UNKNOWN_SUBSET))
 
 
+# Keys of repeated rows that are sent to all tasks, at most: 40 bytes each.
+REPEATED_SENT = 100_000
+
+
 def with_content_id(table: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Key every row by its content, for tables that bring no key.
 
     Every row stays: rows of equal content get the content's hash and, from the
-    second on, their number among them. Equal rows are counted, first within each
-    input partition, and the count is then laid out again, so keys do not depend on
-    any order of rows.
+    second on, their number among them. Keys depend on content alone, not on any order
+    or partitioning of rows.
+
+    A job counts rows by a 128-bit hash of all columns, which is all that it shuffles. Rows
+    whose hash is their own, most of a benchmark, get their key where they are. Only repeated
+    rows are brought together, counted first within each input partition, and laid out
+    again. They are told apart by a list of their hashes that is sent to all tasks, or, where
+    there are more than ``REPEATED_SENT``, by a join.
 
     :param columns: what makes the content; all columns by default. Rows that agree
         on them but differ elsewhere are told apart by the other columns too.
     """
     names = list(columns or table.columns)
-    content = F.to_json(F.struct(*[F.col(f"`{name}`") for name in names]), {"ignoreNullFields": "false"})
-    counted = table.groupBy(*[F.col(f"`{name}`") for name in table.columns]).agg(F.count(F.lit(1)).alias("_copies"))
-    if set(names) != set(table.columns):
-        whole = F.to_json(F.struct(*[F.col(f"`{name}`") for name in table.columns]), {"ignoreNullFields": "false"})
-        key = F.concat_ws("-", F.md5(content), F.md5(whole))
-    else:
-        key = F.md5(content)
+    quoted = [F.col(f"`{name}`") for name in table.columns]
+    whole = F.md5(F.to_json(F.struct(*quoted), {"ignoreNullFields": "false"}))
+    content = F.md5(F.to_json(F.struct(*[F.col(f"`{name}`") for name in names]), {"ignoreNullFields": "false"}))
+    key = content if set(names) == set(table.columns) else F.concat_ws("-", content, F.col("_whole"))
+    hashed = table.withColumn("_whole", whole)
+    repeated = hashed.groupBy("_whole").count().where("count > 1").select("_whole")
+    sent = repeated.limit(REPEATED_SENT + 1).collect()
+    if not sent:
+        return hashed.withColumn("example_id", key).drop("_whole")
+    if len(sent) <= REPEATED_SENT:
+        repeated = F.broadcast(table.sparkSession.createDataFrame(sent, "_whole string"))
+    single = hashed.join(repeated, "_whole", "left_anti").withColumn("example_id", key)
+    counted = hashed.join(repeated, "_whole", "left_semi").groupBy("_whole", *quoted).agg(F.count(F.lit(1)).alias("_copies"))
     laid_out = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     numbered = F.when(F.col("_copy") == 1, key).otherwise(F.concat_ws("-", key, F.col("_copy").cast("string")))
-    return laid_out.withColumn("example_id", numbered).drop("_copies", "_copy")
+    copies = laid_out.withColumn("example_id", numbered)
+    return single.unionByName(copies.drop("_copies", "_copy")).drop("_whole")
 
 
 def _or_error(value: Column, message: str) -> Column:

@@ -1,5 +1,6 @@
 """Reading benchmark tables and responses."""
 
+import re
 from collections.abc import Mapping
 from functools import reduce
 
@@ -47,6 +48,33 @@ def list_subsets(table: DataFrame, subset: str | None = None) -> DataFrame:
     return found.distinct()
 
 
+def list_subset_folders(spark: SparkSession, path: str, split: str | None = None, subset: str | None = None) -> DataFrame:
+    """The subset given, or all subsets of a table in ``split=/subset=`` folders (in either order), from folder names alone.
+
+    The file system lists the folders; no file is opened and the plan has no scan. A folder without rows counts too.
+    """
+    root, jvm = path.rstrip("/"), spark._jvm
+    wanted = {"split": "*" if split is None else _escaped(spark, split), "subset": "*" if subset is None else _escaped(spark, subset)}
+    names = set()
+    for first, second in (("split", "subset"), ("subset", "split")):
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/{first}={wanted[first]}/{second}={wanted[second]}")
+        for status in pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or ():
+            if status.isDirectory():
+                folder = status.getPath() if second == "subset" else status.getPath().getParent()
+                names.add(folder.getName().partition("=")[2])
+    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    return spark.createDataFrame([(None if n == _NO_NAME else unescape(n),) for n in sorted(names)], "subset STRING")
+
+
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _escaped(spark: SparkSession, name: str) -> str:
+    """A folder name as Spark writes it, with what means something in patterns quoted."""
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+    return re.sub(r"([\[\]{}*?,\\])", r"\\\1", escaped)
+
+
 def tag_subset(table: DataFrame, subset: str) -> DataFrame:
     """Every row marked with its subset."""
     return table.withColumn("subset", F.lit(subset))

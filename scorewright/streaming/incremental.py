@@ -7,12 +7,13 @@ checkpoint makes a restarted or repeated run add each response once.
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scorewright.operators.adapter import Adapter
 from scorewright.operators.metrics import run_metrics
-from scorewright.operators.score import grade, score
-from scorewright.schemas import RESPONSES, RUN_KEYS
+from scorewright.operators.score import grade, repeated_items, score
+from scorewright.schemas import ITEM_KEYS, RESPONSES, RUN_KEYS
 
 
 def stream_responses(
@@ -28,6 +29,17 @@ def stream_responses(
     return reader.load(path)
 
 
+def once_each(responses: DataFrame, within: str) -> DataFrame:
+    """A stream of responses with one row for each model and item, the first that came.
+
+    Keys are remembered in the stream's state and checkpoint for ``within`` (such as ``7 days``) after their
+    response came; what comes again later than that is a new response. Time is that of the micro-batches, so
+    that no response is ever too late to be taken.
+    """
+    timed = responses.withColumn("_came", F.current_timestamp()).withWatermark("_came", within)
+    return timed.dropDuplicatesWithinWatermark(["model", *ITEM_KEYS]).drop("_came")
+
+
 def score_stream(
     items: DataFrame,
     responses: DataFrame,
@@ -36,13 +48,22 @@ def score_stream(
     adapters: Sequence[Adapter] | None = None,
     format: str = "json",
     salt: int = 1,
+    once_within: str | None = None,
 ) -> StreamingQuery:
     """Append result rows for all responses there are now, then stop.
 
     The same columns as batch scoring, over a join of the stream with the items
     table; ``salt`` spreads hot items, as there. Rows go to a file sink, one commit
-    per micro-batch.
+    per micro-batch. Two items of one key end the stream with an error before its
+    first row; the items are a table that doesn't change while the stream runs, so
+    they are counted once and not in every micro-batch.
+
+    :param once_within: take one response for each model and item, see :func:`once_each`;
+        a file that is delivered twice then adds nothing
     """
+    repeated_items(items)
+    if once_within is not None:
+        responses = once_each(responses, once_within)
     results = score(items, responses, adapters, salt=salt)
     writer = results.writeStream.format(format).outputMode("append").option("checkpointLocation", checkpoint)
     if format == "json":
@@ -53,6 +74,7 @@ def score_stream(
 def running_accuracy(
     items: DataFrame, responses: DataFrame, adapters: Sequence[Adapter] | None = None, keys: Sequence[str] = RUN_KEYS
 ) -> DataFrame:
-    """Streaming sample counts and accuracy by run; the state is one row per run."""
+    """Streaming sample counts and accuracy by run; the state is one row per run. Two items of one key are an error."""
+    repeated_items(items)
     totals = run_metrics(grade(items, responses, adapters), keys)
     return totals.select(*keys, "total_samples", "accuracy")
