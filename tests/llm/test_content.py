@@ -16,7 +16,8 @@ from scorewright.llm import language_id as languages
 from scorewright.llm import quality_crf as crf
 from scorewright.llm.decontaminate import contaminated, greedy_tiles, uncontaminated
 from scorewright.llm.license_scan import BASE, TEMPLATES, Automaton, license_scan, tokens
-from scorewright.llm.mixing import mix
+from scorewright.llm import queries
+from scorewright.llm.mixing import memberships, mix
 from scorewright.llm.topk import top_k
 
 
@@ -211,20 +212,68 @@ def test_mix_by_numpy(spark):
     for d in ("good", "bad"):
         assert (weight * found[f"p_{d}"] * found.rate).sum() == pytest.approx(0.5, abs=2e-3)
     assert (found.rate >= 0).all()
-    # The same descent in numpy.
-    p = found[["p_bad", "p_good"]].to_numpy()
-    mass = (weight.to_numpy()[:, None] * p).sum(0)
-    rate = np.ones(len(p))
-    for _ in range(40):
-        error = (weight.to_numpy()[:, None] * p * rate[:, None]).sum(0) - 0.5
-        if abs(error).max() < 1e-4:
-            break
-        rate = np.maximum(0, (rate - p @ (error / mass) + 1e-3) / (1 + 1e-3))
-    assert np.allclose(rate, found.rate, atol=1e-9)
     assert mix(docs.limit(0), labels, {"good": 1.0, "bad": 1.0}).count() == 0
     assert mix(docs, labels.limit(0), {"good": 1.0, "bad": 1.0}).where("rate is null").count() == 0
 
 
+def nearest_rates(p, tokens, wanted, steps=400_000):
+    """Rates nearest to 1 that meet the targets, by plain projected gradient steps until nothing moves."""
+    weight = tokens / tokens.sum()
+    along = np.zeros(len(wanted))
+    for _ in range(steps):
+        error = (weight[:, None] * p * np.maximum(0, 1 + p @ along)[:, None]).sum(0) - wanted
+        if abs(error).max() < 1e-9:
+            break
+        along -= error
+    return np.maximum(0, 1 + p @ along)
+
+
+def test_mix_of_three_unequal_domains(spark):
+    """One domain has to shrink to a sixth and another to nothing much, so that rates at 0 matter."""
+    rng = random.Random(16)
+    kinds = {"clean": "sun moon star tree".split(), "junk": "mud dust rot ash".split(), "toxic": "hate bile venom scorn".split()}
+    named = ["clean" if i % 10 < 5 else "junk" if i % 10 < 8 else "toxic" for i in range(600)]
+    rows = [(i, " ".join(rng.choice(kinds[named[i]] * 3 + kinds[rng.choice(list(kinds))] + ["the", "of"]) for _ in range(rng.randrange(1, 30)))) for i in range(600)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(list(enumerate(named))[:300], "doc_id long, domain string")
+    wanted = {"clean": 0.93, "junk": 0.05, "toxic": 0.02}
+    found = mix(docs, labels, wanted).toPandas()
+    p, tokens = found[["p_clean", "p_junk", "p_toxic"]].to_numpy(), found.n_tokens.to_numpy()
+    shares = ((tokens / tokens.sum())[:, None] * p * found.rate.to_numpy()[:, None]).sum(0)
+    assert np.allclose(shares, [0.93, 0.05, 0.02], atol=1e-5)
+    assert (found.rate == 0).any()
+    assert np.allclose(found.rate, nearest_rates(p, tokens, np.array([0.93, 0.05, 0.02])), atol=1e-4)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_mix_meets_its_targets(spark, size):
+    found = queries.op7_mixing(spark, f"/root/testdata/{size}")
+    names = sorted(queries.TARGETS)
+    shares = found.selectExpr(*(f"sum(rate * n_tokens * p_{d}) / sum(n_tokens)" for d in names)).first()
+    assert max(abs(s - queries.TARGETS[d]) for s, d in zip(shares, names)) < 1e-4
+
+
+def test_mix_of_targets_out_of_reach(spark):
+    """Every posterior is the same, so only the sum can be met: by least squares all have one rate."""
+    docs, labels = spark.createDataFrame([(i, "one two three") for i in range(9)], DOCS), spark.createDataFrame([(0, "a"), (1, "b")], "doc_id long, domain string")
+    found = mix(docs, labels, {"a": 3.0, "b": 1.0}).toPandas()
+    assert np.allclose(found.rate, 1.0, atol=1e-3)
+
+
+def test_words_are_counted_before_they_are_laid_out(spark):
+    """Above explode(), counting would go through the whole text once for each of its words."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], DOCS)
+    model = spark.createDataFrame([(1, 0.5, -0.5)], "bucket int, w0 double, w1 double")
+    plan = memberships(docs, model, [0.0, 0.0], "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("array_remove") and plan.count("array_remove") == 1
+
+
+def test_mix_counts_a_very_long_text(spark):
+    """One text of two megabytes among short ones; quadratic work would not end."""
+    long = "sun moon " * 230_000
+    found = mix(spark.createDataFrame([(1, long), (2, "mud rot"), (3, " \n")], DOCS), spark.createDataFrame([(1, "good"), (2, "bad")], "doc_id long, domain string"), {"good": 1.0, "bad": 1.0})
+    assert {r.doc_id: r.n_tokens for r in found.collect()} == {1: 460_000, 2: 2, 3: 0}
+
+
 # --- quality ---
 
 
