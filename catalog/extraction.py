@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog import inputs
 from catalog.inputs import Query, sql_view, table, view
 from scorewright.functions import extract
-from scorewright.operators.grader import EXACT, FINAL_NUMBER, MATH, NUMBER
+from scorewright.operators.grader import EXACT, FINAL_NUMBER, MATH, MATH_BALANCED, NUMBER
 
 DOCUMENTS = inputs.DOCUMENT_RESPONSES
 
@@ -90,6 +90,12 @@ QUERIES = [
           _sql_counted(inputs.NUMBER_ROWS, inputs.sql_number("response"), FINAL)),
     Query("math_grades", ("COR4", "COR2"), _counted(MATH)(inputs.MATH_ROWS),
           _sql_counted(inputs.MATH_ROWS, inputs.sql_math("response"), inputs.sql_math_match("answer", "ground_truth"))),
+    Query("balanced_math_answers", ("EXT4a", "EXT4b", "EXT4c"),
+          _over(inputs.MATH_ROWS, ["l_partkey", "l_orderkey"], MATH_BALANCED.answer),
+          _sql_over(inputs.MATH_ROWS, ["l_partkey", "l_orderkey"], inputs.sql_math("response", inputs.sql_balanced_box))),
+    Query("balanced_math_grades", ("COR4",), _counted(MATH_BALANCED)(inputs.MATH_ROWS),
+          _sql_counted(inputs.MATH_ROWS, inputs.sql_math("response", inputs.sql_balanced_box),
+                       inputs.sql_math_match("answer", "ground_truth", inputs.sql_balanced_box))),
     Query("labelled_documents", ("EXT1", "COR1", "JOIN1"), labelled_documents,
           f"""select lang, count(*) as total_samples, count(*) filter (where {inputs.sql_exact('answer', 'truth')}) as n_correct,
             cast(sum(length(answer)) as bigint) as answer_chars

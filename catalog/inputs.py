@@ -123,10 +123,22 @@ def sql_number_match(extracted: str, truth: str) -> str:
     return f"case when {truth} is not null and {extracted} is not null then coalesce({close}, false) end"
 
 
-def sql_math_or_null(response: str) -> str:
+def sql_first_brace_box(whole: str) -> str:
+    return rf"regexp_extract_all({whole}, '\\boxed\{{(.+?)\}}', 1)[-1]"
+
+
+def sql_balanced_box(whole: str) -> str:
+    """The pieces up to the first closing brace behind which none is open."""
+    pieces = f"string_split(string_split({whole}, chr(92) || 'boxed{{')[-1], '}}')"
+    upto = f"array_to_string({pieces}[1:i], '}}')"
+    ends = f"list_filter(generate_series(1, len({pieces}) - 1), lambda i: 1 + length({upto}) - length(replace({upto}, '{{', '')) - i = 0)"
+    return f"case when contains({whole}, chr(92) || 'boxed{{') then nullif(array_to_string({pieces}[1:({ends})[1]], '}}'), '') end"
+
+
+def sql_math_or_null(response: str, box: Callable[[str], str] = sql_first_brace_box) -> str:
     space_ends = rf"^{fixed.SPACE}+|{fixed.SPACE}+$"
     whole = f"regexp_replace({response}, {text(space_ends)}, '', 'g')"
-    boxed = rf"regexp_extract_all({whole}, '\\boxed\{{(.+?)\}}', 1)[-1]"
+    boxed = box(whole)
     lines = f"list_transform(string_split({whole}, chr(10)), lambda x: trim(x, ' .$'))"
     line = f"list_filter({lines}, lambda x: x <> '')[-1]"
     plain = f"regexp_full_match({line}, {text(f'(?:[a-zA-Z]|{fixed.SPACE})+')})"
@@ -135,15 +147,15 @@ def sql_math_or_null(response: str) -> str:
     return f"coalesce(trim({boxed}, ' $'), case when {is_answer} then {line} end)"
 
 
-def sql_math(response: str) -> str:
-    return f"coalesce({sql_math_or_null(response)}, '')"
+def sql_math(response: str, box: Callable[[str], str] = sql_first_brace_box) -> str:
+    return f"coalesce({sql_math_or_null(response, box)}, '')"
 
 
-def sql_math_match(extracted: str, truth: str) -> str:
+def sql_math_match(extracted: str, truth: str, box: Callable[[str], str] = sql_first_brace_box) -> str:
     def plain(value: str) -> str:
         return f"trim(regexp_replace(lower({value}), {text(fixed.SPACE + '+')}, '', 'g'), ' .,$')"
 
-    same = f"{extracted} <> '' and {plain(extracted)} = {plain(sql_math_or_null(truth))}"
+    same = f"{extracted} <> '' and {plain(extracted)} = {plain(sql_math_or_null(truth, box))}"
     return f"case when {truth} is not null then coalesce({same}, false) end"
 
 

@@ -28,9 +28,9 @@ SQL_SCORED_RUNS = f"""(select model, string_split(dataset, '/')[-1] as dataset,
 DATASETS = ("MATH-lighteval", "MuSR", "ai2_arc", "bbh", "gsm8k", "mmlu")
 
 
-def run_throughput(spark, folder):
+def _timed_events(spark, folder):
     """Events as timed responses: one run for each event type."""
-    responses = table(spark, folder, "events").select(
+    return table(spark, folder, "events").select(
         F.col("event_type").alias("model"),
         F.lit("events").alias("dataset"),
         F.lit("test").alias("split"),
@@ -38,7 +38,16 @@ def run_throughput(spark, folder):
         F.col("ts").alias("started_at"),
         F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("user_id") * 1000).alias("finished_at"),
     )
-    return metrics.run_metrics(responses)
+
+
+def run_throughput(spark, folder):
+    return metrics.run_metrics(_timed_events(spark, folder))
+
+
+def busy_throughput(spark, folder):
+    """The same runs, timed without the gaps in which nothing was asked."""
+    found = metrics.busy_metrics(_timed_events(spark, folder))
+    return found.select("model", "total_samples", "total_time", "busy_time", "samples_per_busy_second")
 
 
 def wide_metrics(spark, folder):
@@ -88,6 +97,12 @@ QUERIES = [
               cast(count(*) filter (where value > 10) as double) / count(*) as accuracy,
               (max(epoch_us(ts) + user_id * 1000) - min(epoch_us(ts))) / 1e6 as total_time
             from events group by event_type)"""),
+    Query("busy_throughput", ("AGG3",), busy_throughput,
+          """with times as (select event_type as model, epoch_us(ts) as a, epoch_us(ts) + user_id * 1000 as b from events),
+          ordered as (select *, max(b) over (partition by model order by a, b rows between unbounded preceding and 1 preceding) as latest from times),
+          busy as (select model, count(*) as total_samples, (max(b) - min(a)) / 1e6 as total_time,
+              sum(greatest(0, b - greatest(a, coalesce(latest, a)))) / 1e6 as busy_time from ordered group by model)
+          select *, total_samples / busy_time as samples_per_busy_second from busy"""),
     Query("scored_runs", ("AGG1", "AGG2", "SNK6"), scored_runs, f"select * from {SQL_SCORED_RUNS}"),
     Query("wide_metrics", ("AGG4", "SRC9", "PRJ26", "AGG5"), wide_metrics,
           f"""select model, case when split = 'test' then accuracy end as accuracy,

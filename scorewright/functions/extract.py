@@ -7,7 +7,7 @@ text and one that looks at its short outcome; scoring puts them in columns of
 their own, so that the first is worked out once.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -101,12 +101,37 @@ def number_answer(response: Column) -> Column:
 _UNJUDGED = "\n"
 
 
-def boxed_or_line(text: Column) -> Column:
-    """The last boxed expression, else a line feed and the last line that is not blank."""
-    # (?d): only a line feed ends a line. The box closes at the first brace after one character. An
-    # open box takes the rest of its line, where no other could close, and leaves an empty group.
+def first_brace_box(text: Column) -> Column:
+    """The last box of a line that closes, up to the first closing brace after one character; null without one."""
+    # (?d): only a line feed ends a line. An open box takes the rest of its line, where no other
+    # could close, and leaves an empty group.
     boxes = F.regexp_extract_all(text, F.lit(r"(?d)\\boxed\{(?:(.+?)\}|.*+)"), F.lit(1))
-    boxed = F.try_element_at(F.array_remove(boxes, F.lit("")), F.lit(-1))
+    return F.try_element_at(F.array_remove(boxes, F.lit("")), F.lit(-1))
+
+
+def balanced_box(text: Column) -> Column:
+    """What is in the last box, up to the brace that closes it, over any lines; null if it is empty or never closes.
+
+    One pass over the pieces between closing braces counts how many braces are open after each.
+    """
+    box = "\\boxed{"
+    pieces = F.split(F.substring_index(text, box, -1), r"\}")
+
+    def step(at: Column, piece: Column) -> Column:
+        opened = F.length(piece) - F.length(F.replace(piece, F.lit("{"), F.lit("")))
+        still = at["open"] + opened - 1
+        return F.when(at["open"] == 0, at).otherwise(F.struct(still.alias("open"), (at["pieces"] + 1).alias("pieces")))
+
+    # Behind the last piece no brace closes.
+    closed = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    end = F.aggregate(closed, F.struct(F.lit(1).alias("open"), F.lit(0).alias("pieces")), step)
+    inside = F.when(end["open"] == 0, F.array_join(F.slice(pieces, F.lit(1), end["pieces"]), "}"))
+    return F.when(F.contains(text, F.lit(box)) & (inside != ""), inside)
+
+
+def boxed_or_line(text: Column, box: Callable[[Column], Column] = first_brace_box) -> Column:
+    """The last boxed expression, else a line feed and the last line that is not blank."""
+    boxed = box(text)
     body = F.rtrim(strip_space(text), F.lit(fixed.MATH_LINE_STRIP + "\n"))
     line = strip_chars(F.substring_index(body, "\n", -1), fixed.MATH_LINE_STRIP)
     return F.coalesce(strip_chars(boxed, fixed.MATH_ANSWER_STRIP), F.concat(F.lit(_UNJUDGED), line))

@@ -9,7 +9,7 @@ from scorewright import fixed
 from scorewright.functions import options, truth
 from scorewright.functions.prompts import or_placeholder
 from scorewright.operators.adapter import Adapter
-from scorewright.operators.grader import FINAL_NUMBER, MATH, NUMBER, letter_grader
+from scorewright.operators.grader import FINAL_NUMBER, MATH, MATH_BALANCED, NUMBER, letter_grader
 
 AB, ABCD, ABCDE = tuple("AB"), tuple("ABCD"), tuple("ABCDE")
 POSITIONS = ("0", "1", "2", "3")
@@ -298,6 +298,9 @@ MATH_LIGHTEVAL = Adapter(
 # As GSM8K, but the truth is the number after "####" with all its digits.
 GSM8K_FINAL_NUMBER = replace(GSM8K, grader=FINAL_NUMBER)
 
+# As MATH_LIGHTEVAL, with whole boxes also where braces stand in them.
+MATH_BALANCED_BOXES = replace(MATH_LIGHTEVAL, grader=MATH_BALANCED)
+
 REGISTRY: dict[str, Adapter] = {
     adapter.name: adapter
     for adapter in (

@@ -67,3 +67,6 @@ FINAL_NUMBER = Grader(
 MATH = Grader(
     extract.boxed_or_line, extract.boxed_or_line, correct.math_match, _math_answer, correct.judged_math_key
 )
+# As MATH, but a box closes at the brace that balances its first one.
+_BALANCED = partial(extract.boxed_or_line, box=extract.balanced_box)
+MATH_BALANCED = Grader(_BALANCED, _BALANCED, correct.math_match, _math_answer, correct.judged_math_key)

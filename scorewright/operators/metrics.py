@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.schemas import RUN_KEYS
@@ -42,6 +42,42 @@ def run_metrics(graded: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     return totals.withColumn("samples_per_second", speed)
 
 
+def busy_time(responses: DataFrame, keys: Sequence[str] = RUN_KEYS, bucket: int = 3600) -> DataFrame:
+    """Seconds, by run, in which at least one response was being made: ``busy_time``.
+
+    The lengths of the union of all times from ``started_at`` to ``finished_at``, so gaps between parts of a run
+    don't count and overlapping responses count once. In the order of starts, each time adds what of it lies after
+    the latest finish so far. Times are first merged within buckets of so many seconds of their starts, in as many
+    tasks as there are; only merged times, few in a bucket, are gone through by run. Rows without both times, or that
+    finish before they start, count for nothing.
+    """
+    times = responses.select(
+        *keys, F.unix_micros(F.col("started_at").cast("timestamp")).alias("_from"), F.unix_micros(F.col("finished_at").cast("timestamp")).alias("_to")
+    )
+    times = times.where("_to >= _from").withColumn("_bucket", F.floor(F.col("_from") / (bucket * 1_000_000)))
+    # Millions of responses may start in one bucket of a large run; those of one start are one time.
+    times = times.groupBy(*keys, "_bucket", "_from").agg(F.max("_to").alias("_to"))
+
+    def latest(*parts: str) -> Column:
+        before = Window.partitionBy(*parts).orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+        return F.max("_to").over(before)
+
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_from")
+    fresh = F.coalesce((F.col("_from") > F.col("_latest")).cast("int"), F.lit(1))
+    numbered = times.withColumn("_latest", latest(*keys, "_bucket")).withColumn("_island", F.sum(fresh).over(inside))
+    merged = numbered.groupBy(*keys, "_bucket", "_island").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    added = F.col("_to") - F.greatest(F.col("_from"), F.coalesce("_latest", "_from"))
+    merged = merged.withColumn("_latest", latest(*keys))
+    return merged.groupBy(*keys).agg((F.sum(F.greatest(added, F.lit(0).cast("long"))) / F.lit(1e6)).alias("busy_time"))
+
+
+def busy_metrics(graded: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+    """:func:`run_metrics` with ``busy_time`` and ``samples_per_busy_second`` beside the time from first to last."""
+    busy = busy_time(graded, keys)
+    joined = run_metrics(graded, keys).join(busy, list(keys), "left")
+    return joined.withColumn("samples_per_busy_second", F.try_divide(F.col("total_samples"), F.col("busy_time")))
+
+
 def metric_states(graded: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """What metrics are made of, one row per run: counts, first start and last finish. States of parts of a run merge."""
     if "metadata" in graded.columns:
