@@ -8,6 +8,7 @@ from catalog.scoring import mixed_tables
 from scorewright.functions.text import dataset_label
 from scorewright.operators import metrics
 from scorewright.operators.score import grade
+from scorewright.sources.blocks import read_accuracy_cells, write_accuracy_blocks
 
 # Two splits by the part's type, so that a model has several runs of one dataset.
 SPLIT = "case when subset < 'M' then 'test' else 'validation' end"
@@ -67,6 +68,13 @@ def accuracy_matrix(spark, folder):
     return metrics.accuracy_matrix(spark.read.parquet(path))
 
 
+def accuracy_blocks(spark, folder):
+    """The matrix by split in blocks of five columns, read back for the columns of two datasets."""
+    path = shared_folder(spark, "blocks")
+    write_accuracy_blocks(scored_runs(spark, folder), path, width=5, by_split=True)
+    return read_accuracy_cells(spark, path, [f"{name}_{split}" for name in ("bbh", "mmlu") for split in ("test", "validation")])
+
+
 def accuracy_matrix_by_split(spark, folder):
     columns = [f"{name}_{split}" for name in DATASETS for split in ("test", "validation")]
     return metrics.accuracy_matrix(scored_runs(spark, folder), columns, by_split=True)
@@ -116,6 +124,9 @@ QUERIES = [
               f"""{_cell(f"dataset = '{name}' and split = '{split}'")} as "{name}_{split}" """
               for name in DATASETS for split in ("test", "validation"))
           + f" from {SQL_SCORED_RUNS} group by model"),
+    Query("accuracy_blocks", ("AGG7", "SNK5", "SRT1"), accuracy_blocks,
+          f"""select model, dataset || '_' || split as column, coalesce(accuracy, 0.0) as accuracy from {SQL_SCORED_RUNS}
+          where dataset in ('bbh', 'mmlu')"""),
     Query("models_and_datasets", ("SET1", "SRT1"), models_and_datasets,
           f"""select 'model' as kind, name, row_number() over (order by name) - 1 as position
             from (select distinct model as name from {SQL_SCORED_RUNS})

@@ -202,6 +202,20 @@ def metrics_files(spark, folder):
     return read_metrics(spark, path).select("model", "dataset", "split", "total_samples", "accuracy")
 
 
+def conflicting_metrics(spark, folder):
+    """One metrics file per run whose accuracy is a number, a number in quotes or a whole number, by split and dataset."""
+    path = shared_folder(spark, "runs")
+    runs = scored_runs(spark, folder).where("accuracy is not null")
+    shown = (
+        F.when(F.col("dataset") == "mmlu", F.to_json(F.struct(F.col("accuracy").cast("string").alias("accuracy"), F.lit(1).alias("note"))))
+        .when(F.col("dataset") == "bbh", F.to_json(F.struct(F.lit(0).alias("accuracy"), F.lit("one").alias("note"))))
+        .otherwise(F.to_json(F.struct("accuracy", "total_samples")))
+    )
+    named = runs.select(F.substring_index("model", "/", -1).alias("model"), F.concat_ws("_", "dataset", "split", F.lit("metrics.json")).alias("run"), shown.alias("value"))
+    named.write.partitionBy("model", "run").text(path)
+    return read_metrics(spark, path).select("model", "dataset", "split", "total_samples", "accuracy", "note")
+
+
 def wide_metrics_csv(spark, folder):
     path = shared_folder(spark, "wide")
     sinks.write_wide_metrics(scored_runs(spark, folder), path)
@@ -302,6 +316,10 @@ QUERIES = [
           f"""select string_split(model, '/')[-1] as model, dataset, split,
             case when split = 'test' then total_samples end as total_samples, accuracy
           from {SQL_SCORED_RUNS} where dataset <> 'mmlu'"""),
+    Query("conflicting_metrics", ("SRC8", "SRC9"), conflicting_metrics,
+          f"""select string_split(model, '/')[-1] as model, dataset, split, case when dataset not in ('mmlu', 'bbh') then total_samples end as total_samples,
+            case when dataset = 'bbh' then 0.0 else accuracy end as accuracy, case dataset when 'mmlu' then '1' when 'bbh' then 'one' end as note
+          from {SQL_SCORED_RUNS} where accuracy is not null"""),
     Query("wide_metrics_csv", ("SNK4", "AGG4", "PRJ26"), wide_metrics_csv,
           f"select model, accuracy, total_samples, dataset, split from {SQL_SCORED_RUNS}"),
     Query("accuracy_matrix_csv", ("SNK5", "AGG7"), accuracy_matrix_csv,

@@ -148,6 +148,20 @@ def distinct_sorted(metrics: DataFrame, column: str) -> DataFrame:
     return metrics.select(column).distinct().orderBy(column)
 
 
+def matrix_cells(metrics: DataFrame, by_split: bool = False) -> DataFrame:
+    """Accuracy by ``model`` and ``column`` (a dataset, or a dataset's split), one row for each that has a run.
+
+    A run without accuracy counts as 0; of several splits of a dataset the last by name counts.
+    """
+    if "accuracy" not in metrics.columns:
+        metrics = metrics.withColumn("accuracy", F.lit(None).cast("double"))
+    name = F.concat_ws("_", "dataset", "split") if by_split else F.col("dataset")
+    cells = metrics.select(
+        "model", name.alias("column"), "split", F.coalesce(F.col("accuracy"), F.lit(0.0)).alias("accuracy")
+    )
+    return cells.groupBy("model", "column").agg(F.max_by("accuracy", "split").alias("accuracy"))
+
+
 def accuracy_matrix(
     metrics: DataFrame, datasets: Sequence[str] | None = None, by_split: bool = False
 ) -> DataFrame:
@@ -157,14 +171,10 @@ def accuracy_matrix(
     several splits of a dataset the last by name counts; ``by_split`` gives each
     its own column instead.
 
+    A table has as many columns as Spark's pivot limit allows; ``write_accuracy_blocks`` has no such limit.
+
     :param datasets: the dataset columns, if known; else a job finds them
     """
-    if "accuracy" not in metrics.columns:
-        metrics = metrics.withColumn("accuracy", F.lit(None).cast("double"))
-    name = F.concat_ws("_", "dataset", "split") if by_split else F.col("dataset")
-    cells = metrics.select(
-        "model", name.alias("column"), "split", F.coalesce(F.col("accuracy"), F.lit(0.0)).alias("accuracy")
-    )
     columns = None if datasets is None else sorted(datasets)
-    pivoted = cells.groupBy("model").pivot("column", columns).agg(F.max_by("accuracy", "split"))
+    pivoted = matrix_cells(metrics, by_split).groupBy("model").pivot("column", columns).agg(F.first("accuracy"))
     return pivoted.orderBy("model")
