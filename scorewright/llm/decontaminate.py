@@ -36,13 +36,15 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     mask: np.ndarray
+    #: Items of fewer words than a seed, by their number of words: hashes in ascending order, and items.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 _MASK = np.uint64((1 << 20) - 1)
 
 
 def index(ids: list, passages: list, tile: int) -> Items:
-    """Items of fewer than ``tile`` words have no seed and so take no part."""
+    """Items of fewer than ``tile`` words have no seed and are looked for whole; items without words take no part."""
     found = [(words(c).hashes(), words(c).offsets) for c in chunks(pa.array(passages, pa.string()), 1 << 62)]
     hashes, offsets = found[0] if found else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
     seeds, begin = shingles(hashes, offsets, tile, short=False)
@@ -51,7 +53,15 @@ def index(ids: list, passages: list, tile: int) -> Items:
     order = np.argsort(seeds, kind="stable")
     mask = np.zeros(int(_MASK) + 1, bool)
     mask[(seeds & _MASK).astype(np.int64)] = True
-    return Items(ids, hashes, offsets, seeds[order], item[order], place[order], mask)
+    short, many = {}, np.diff(offsets)
+    for n in range(1, tile):
+        which = np.flatnonzero(many == n)
+        if len(which):
+            whole, at = shingles(hashes, offsets, n, short=False)
+            whole = whole[at[which]]
+            order_n = np.argsort(whole, kind="stable")
+            short[n] = whole[order_n], which[order_n]
+    return Items(ids, hashes, offsets, seeds[order], item[order], place[order], mask, short)
 
 
 def greedy_tiles(seeds: np.ndarray, document_words: int, item_words: int, tile: int) -> list[tuple[int, int, int]]:
@@ -90,7 +100,16 @@ def leaks(column: pa.Array, items: Items, tile: int, coverage: float) -> Iterato
     """(row, item's number, tiles, words covered, words of the item) of every item that a text of the column holds."""
     for chunk in chunks(column):
         found = words(chunk)
-        seeds, begin = shingles(found.hashes(), found.offsets, tile, short=False)
+        hashes = found.hashes()
+        for n, (whole, which) in items.short.items():
+            runs, begin = shingles(hashes, found.offsets, n, short=False)
+            low, high = np.searchsorted(whole, runs, "left"), np.searchsorted(whole, runs, "right")
+            hit = np.flatnonzero(high > low)
+            row = np.searchsorted(begin, hit, "right") - 1
+            # A text may hold an item often, and items may be equal.
+            for r, a, b in sorted(set(zip(row.tolist(), low[hit].tolist(), high[hit].tolist()))):
+                yield from ((chunk.first + r, int(which[i]), 1, n, n) for i in range(a, b))
+        seeds, begin = shingles(hashes, found.offsets, tile, short=False)
         hit = np.flatnonzero(items.mask[(seeds & _MASK).astype(np.int64)])
         low, high = np.searchsorted(items.seeds, seeds[hit], "left"), np.searchsorted(items.seeds, seeds[hit], "right")
         hit, low, many = hit[high > low], low[high > low], (high - low)[high > low]
@@ -138,8 +157,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, covera
     """(doc_id, item_id, n_tiles, n_covered, n_words, coverage) of every document and item that it holds.
 
     Words are runs of letters, digits and characters beyond ASCII, in lower case (A-Z only). ``coverage`` is the share
-    of the item's words in tiles of at least ``tile`` words; rows have at least the share asked for. Items of fewer
-    words than a tile take no part; null or empty texts hold nothing; rows with a null key are reported with it.
+    of the item's words in tiles of at least ``tile`` words; rows have at least the share asked for. An item of fewer
+    words than a tile counts where all its words stand in a row, as one tile; one without words takes no part. Null or
+    empty texts hold nothing, texts of any length are gone through whole, in chunks that end where texts end; rows with a null key are reported with it.
     Repeated documents are each reported, repeated items once. Without items or documents there are no rows.
     """
     found = None

@@ -26,6 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a table of our own that nothing reads any more, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     """The frame from a checkpoint in the shared folder."""
     context = frame.sparkSession.sparkContext

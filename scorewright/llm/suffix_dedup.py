@@ -313,6 +313,7 @@ def _covered_rows(rows: pa.RecordBatch, length: int) -> Iterator[tuple[int, byte
             yield i, data, np.zeros(len(data), bool)
 
 
+_CUT = "u long, doc_id long, n long, kept string"
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -349,11 +350,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             kept = [np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") for _, data, gone in _covered_rows(rows, length)]
-            yield batch("u long, kept string", rows.column("u"), pa.array(kept, pa.string()))
+            sizes = [zstandard.frame_content_size(z.as_py()) for z in rows.column("z")]
+            yield batch(_CUT, rows.column("u"), rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.string()))
 
     found = repeated_spans(docs, length, key, text)
-    kept = packed(docs, key, text).join(found, "u").dropDuplicates(["u"]).select("u", "z", "spans", "copied").mapInArrow(cut, "u long, kept string")
-    left = docs.withColumn("_u", row_key(key, text))
-    joined = left.join(kept, left["_u"] == kept["u"], "left")
-    columns = [F.coalesce(kept["kept"], docs[f"`{text}`"]).alias(text) if c == text else docs[f"`{c}`"] for c in docs.columns]
-    return joined.select(*columns)
+    cut_rows = packed(docs, key, text).join(found, "u").dropDuplicates(["u", "doc_id"]).select("u", "doc_id", "z", "spans", "copied").mapInArrow(cut, _CUT)
+    kept = cut_rows.select(F.struct("u", "doc_id", "n").alias("of"), "kept")
+    # Whole rows in a column of their own, whatever their columns' names; key and length are compared beside the hash.
+    identity = F.struct(row_key(key, text).alias("u"), F.col(f"`{key}`").cast("long").alias("doc_id"), F.octet_length(_text(text)).cast("long").alias("n"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), identity.alias("of"))
+    joined = rows.join(kept, "of", "left")
+
+    def column(name: str):
+        own = F.col("row").getField(name)
+        return (F.coalesce("kept", own.cast("string")) if name == text else own).alias(name)
+
+    return joined.select(*(column(c) for c in docs.columns))

@@ -99,19 +99,34 @@ def test_decontamination(spark):
         (22, " ".join(one[:12]) + " " + make(40)),
         (23, ", ".join(two).upper()),
         (24, make(80)),
+        # A short item has to stand there whole, as words, however often.
+        (25, "A, b? " * 3),
+        (26, make(9) + " a b"),
+        (27, "a x b ab b a"),
     ]
     docs = spark.createDataFrame(rows, DOCS).withColumn("item_id", F.lit(1))
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (8 << 20, 60):
         found = {(r.doc_id, r.item_id): (r.n_tiles, r.n_covered, r.n_words) for r in contaminated(docs, bench, block=block).collect()}
-        assert found == {(20, 1): (1, 30, 30), (21, 1): (2, 30, 30), (23, 2): (1, 20, 20)}
+        assert found == {(20, 1): (1, 30, 30), (21, 1): (2, 30, 30), (23, 2): (1, 20, 20), (25, 3): (1, 2, 2), (26, 3): (1, 2, 2)}
         kept = uncontaminated(docs, bench, block=block)
         assert kept.columns == docs.columns
-        assert sorted(map(repr, kept.collect())) == sorted(map(repr, docs.where("doc_id is null or doc_id not in (20, 21, 23)").collect()))
+        assert sorted(map(repr, kept.collect())) == sorted(map(repr, docs.where("doc_id is null or doc_id not in (20, 21, 23, 25, 26)").collect()))
     assert contaminated(docs, bench.limit(0)).count() == contaminated(docs.limit(0), bench).count() == 0
     assert uncontaminated(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_short_items_by_search(spark):
+    """Items of one to four words against a search for their words in a row; beside a text of more than a chunk."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 8)))) for i in range(150)] + [(500, "w " * 700_000 + "d c b a")]
+    items = [(i, " ".join(rng.choice("abcd") for _ in range(1 + i % 4))) for i in range(30)]
+    found = contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    wanted = {(d, i) for d, t in rows for i, s in items if f" {s} " in f" {t} "}
+    got = [(r.doc_id, r.item_id) for r in found.collect()]
+    assert set(got) == wanted and len(got) == len(wanted) and any(d == 500 for d, _ in got)
+
+
 # --- search ---
 
 

@@ -98,7 +98,12 @@ def test_suffix_dedup(spark, monkeypatch, length, together):
 
 def test_texts_without_repeats(spark):
     rows = [(i, t, "x", i) for i, t in ODD + repeats(5)]
+    # One key with several texts is several rows.
+    rows += [(77, rows[-1][1], "y", 1), (77, "of the same key", "z", 2)]
     docs = spark.createDataFrame(rows, DOCS + ", kept string, u long")
+    for name in ("_u", "row", "of", "z", "n"):
+        clashing = docs.withColumnRenamed("kept", name)
+        assert suffix.without_repeats(clashing, 30).columns == clashing.columns
     found = suffix.without_repeats(docs, 30)
     assert found.columns == docs.columns
     expected = [got[4].decode("utf-8", "ignore") for got in without_repeats([t for _, t, *_ in rows], 30)]
