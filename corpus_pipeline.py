@@ -13,9 +13,11 @@ from scorewright.llm.decontaminate import uncontaminated
 from scorewright.llm.jaccard_join import jaccard_join
 from scorewright.llm.mixing import label_domains, mix
 from scorewright.llm.quality_crf import fit, good_documents
-from scorewright.llm.session import shared_folder
+from scorewright.llm.session import remove_folder, shared_folder
 from scorewright.llm.suffix_dedup import without_repeats
 
+# Column that rows are told apart by in a stage; documents have none of that name.
+ROW = "_row_of_the_pipeline"
 TARGETS = {"clean": 0.9, "junk": 0.08, "toxic": 0.02}
 
 
@@ -27,13 +29,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest key stays.
 
-    Documents without a key stay; of several rows with the key that stays, one does.
+    Rows are told apart by a hash of key and text, so that of several texts of one key each has groups of its own, and
+    rows without a key have them too; they come after all keys, in the order of the hash. Of rows equal in key and text,
+    one stays. Key and length are compared beside the hash wherever a row goes.
     """
-    groups = jaccard_join(docs, n=5, share=80, of=100).where("doc_id is not null and doc_id <> component_id")
-    gone = groups.select(F.col("doc_id").alias("_gone")).distinct()
-    # Dropping repeated rows by the key that was joined on moves no row again.
-    left = docs.where("doc_id is not null").join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    return left.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    row = F.xxhash64("doc_id", text)
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row.alias("_row"), F.octet_length(text).alias("_n"))
+    groups = jaccard_join(docs.withColumn(ROW, row), n=5, share=80, of=100, key=ROW)
+    groups = groups.where("n_links > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
+    rows = docs.select(row.alias("_row"), "doc_id", F.octet_length(text).alias("_n")).join(groups, "_row").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("no_key"), "doc_id", "_row", "_n")
+    first = rows.groupBy("_group").agg(F.min(order).alias("first"))
+    gone = rows.join(first, "_group").where(order != F.col("first")).select("_row", "_n", F.lit(True).alias("_gone"))
+    left = named.join(gone.distinct(), ["_row", "_n"], "left_anti")
+    # Dropping repeated rows by what was joined on moves no row again.
+    return left.withColumn("_key", F.col("row.doc_id")).dropDuplicates(["_row", "_n", "_key"]).select("row.*")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +73,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of a folder; what lies between them goes to the shared folder."""
+    """All stages on the documents of a folder; what lies between them goes to the shared folder.
+
+    A stage's table is removed when the next one's is written; the last table has to stay, as the result is read from it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            remove_folder(spark, f"{folder}/{number - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
