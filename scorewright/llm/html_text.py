@@ -28,8 +28,9 @@ CONSTANT, PAGES = 0.9, 3
 OUTSIDE = 2
 # Bytes of what is joined to pages by host up to which it is sent to every executor; beyond, pages are shuffled to it.
 SENT = 32 << 20
-# Elements of a slot's path; those further in count as the last of them.
-DEPTH = 60
+# Elements of a slot's path; the last of them stands, as a hash, for all that are further in. Characters of an element's
+# class names there; longer ones are a hash too.
+DEPTH, NAMES = 60, 80
 
 # --- fixed values: names of HTML elements, and words in class names ---------------------------------------------------
 
@@ -56,7 +57,8 @@ AVOIDED = re.compile(
 
 # --- trees ------------------------------------------------------------------------------------------------------------
 
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(?:!|\?|(/?)([a-zA-Z][^\s/>]*))")
+_ENDING = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
@@ -70,56 +72,126 @@ class Node:
     hidden: bool = False
 
 
+class _Open:
+    """The elements that are open, with the places of each name and of scopes among them, so that none is searched for."""
+
+    def __init__(self, root: Node):
+        self.stack, self.of, self.scopes = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.of.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.of[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        return max((self.of[tag][-1] for tag in tags if self.of.get(tag)), default=0)
+
+    def end(self, tag: str) -> None:
+        """An end tag; one of neither a scope nor a block doesn't reach out of a scope."""
+        depth = self.innermost((tag,))
+        free = tag in SCOPES or tag in BLOCK or not self.scopes or self.scopes[-1] <= depth
+        if depth and free:
+            self.close(depth)
+
+    def end_within_scope(self, tags: Iterable[str]) -> None:
+        """Closes the innermost open element of the tags, unless another scope begins within it."""
+        depth = self.innermost(tags)
+        if depth and (not self.scopes or self.scopes[-1] <= depth):
+            self.close(depth)
+
+
+class _Ends:
+    """Where tags end: at the first ``>`` outside of quotes.
+
+    Every position is looked at a bounded number of times. A quote that never closes is a character like others. If a
+    tag's end is not found before the page's, quotes count no more from there on, and behind the last ``>`` no tag is
+    looked for.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.last, self.quoted, self.unclosed = text, text.rfind(">"), True, set()
+
+    def after(self, start: int) -> int:
+        """The place behind the tag, or 0 if it never ends."""
+        if start > self.last:
+            return 0
+        at = start
+        while self.quoted:
+            found = _ENDING.search(self.text, at)
+            if found is None:
+                self.quoted = False
+            elif found[0] == ">":
+                return found.end()
+            else:
+                close = -1 if found[0] in self.unclosed else self.text.find(found[0], found.end())
+                if close < 0:
+                    self.unclosed.add(found[0])
+                at = found.end() if close < 0 else close + 1
+        return self.plain(start)
+
+    def plain(self, start: int) -> int:
+        """The same where quotes don't count."""
+        return self.text.find(">", start) + 1 if start <= self.last else 0
+
+
 def parse(text: str) -> Node:
-    """The tree of a page, with what is left open closed where it has to be."""
+    """The tree of a page, with what is left open closed where it has to be. Linear in the page's length."""
     root = Node("")
-    stack, position = [root], 0
-    while position < len(text):
-        piece = _PIECE.search(text, position)
-        end = piece.start() if piece else len(text)
+    open_, ends, position = _Open(root), _Ends(text), 0
+
+    def add(end: int) -> None:
         if end > position:
-            stack[-1].children.append(text[position:end])
+            open_.stack[-1].children.append(text[position:end])
+
+    search = 0
+    while True:
+        piece = _TAG.search(text, search)
         if not piece:
-            break
-        position = piece.end()
-        tag = piece[2].lower() if piece[2] else ""
-        if not tag:
+            add(len(text))
+            return root
+        if text.startswith("<!--", piece.start()):
+            add(piece.start())
+            close = text.find("-->", piece.start() + 4)
+            position = search = len(text) if close < 0 else close + 3
             continue
+        name = piece[2]
+        behind = ends.after(piece.end()) if name else ends.plain(piece.end())
+        if not behind:
+            # No tag after all.
+            search = piece.end()
+            continue
+        add(piece.start())
+        position = search = behind
+        if not name:
+            continue
+        tag, rest = name.lower(), text[piece.end() : behind - 1]
         if piece[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in SCOPES and tag not in SCOPES and tag not in BLOCK:
-                    break
+            open_.end(tag)
             continue
         if tag in ENDS_P:
-            _close(stack, {"p"})
+            open_.end_within_scope(("p",))
         if tag in SIBLINGS:
-            _close(stack, SIBLINGS[tag])
+            open_.end_within_scope(SIBLINGS[tag])
         node = Node(tag)
-        if piece[3] and not piece[3].isspace():
-            found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(piece[3])}
+        if rest and not rest.isspace():
+            found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
             node.names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
             node.hidden = "hidden" in found
-        stack[-1].children.append(node)
+        open_.stack[-1].children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, position)
             node.children.append(text[position : close.start() if close else len(text)])
-            position = close.end() if close else len(text)
-        elif tag not in VOID and not piece[3].endswith("/"):
-            stack.append(node)
-    return root
-
-
-def _close(stack: list[Node], tags: set[str]) -> None:
-    """Closes the innermost open element of the tags, unless another scope begins within it."""
-    for depth in range(len(stack) - 1, 0, -1):
-        if stack[depth].tag in tags:
-            del stack[depth:]
-            return
-        if stack[depth].tag in SCOPES:
-            return
+            position = search = close.end() if close else len(text)
+        elif tag not in VOID and not rest.endswith("/"):
+            open_.push(node)
 
 
 def _avoided(node: Node, in_article: bool) -> bool:
@@ -135,6 +207,15 @@ class Block:
     in_article: bool
 
 
+def _within(path: str, node: Node) -> str:
+    names = node.names.strip()
+    step = f"{node.tag}.{names if len(names) <= NAMES else mark(names)}".replace("/", "|")
+    if path.count("/") < DEPTH:
+        return f"{path}/{step}"
+    above, _, last = path.rpartition("/")
+    return f"{above}/{node.tag}.{mark(last, step)}"
+
+
 def blocks(root: Node) -> list[Block]:
     """Slots that may be content, in page order, white space brought together."""
     out: list[Block] = []
@@ -161,7 +242,7 @@ def blocks(root: Node) -> list[Block]:
             flush()
             continue
         inner = in_article or node.tag in ("article", "main")
-        here = f"{path}/{node.tag}.{node.names.strip()}" if node.tag in BLOCK and path.count("/") < DEPTH else path
+        here = _within(path, node) if node.tag in BLOCK else path
         if node.tag in BLOCK:
             flush()
             at.append((here, inner))
@@ -171,37 +252,121 @@ def blocks(root: Node) -> list[Block]:
     return out
 
 
-def align(page: list, reference: list) -> list[tuple[int, int]]:
-    """Simple tree matching of two trees (label, children, number of the slot or -1): pairs of slots on the largest
-    matching that keeps order and ancestry."""
+def _sized(node: list) -> list:
+    """The tree as (label, children, slots, hash of its shape, elements), slots being those in it in order."""
+    children = [_sized(child) for child in node[1]]
+    slots = [node[2]] if node[2] >= 0 else []
+    for child in children:
+        slots += child[2]
+    return [node[0], children, slots, hash((node[0], node[2] >= 0, *(c[3] for c in children))), 1 + sum(c[4] for c in children)]
+
+
+# Cells of a matrix that is kept whole to be traced back.
+_KEPT_CELLS = 1 << 22
+
+
+class _Matching:
+    """Largest matchings of two trees' elements that keep order and ancestry.
+
+    Trees of one shape match whole. Of two rows of children, equal ones at either end match each other in some largest
+    matching, so that only what lies between them is gone through; there a pair of shapes is scored once, however often
+    it occurs, and rows of the matrix are worked out at once.
+    """
 
-    def match(a, b) -> tuple[int, list[tuple[int, int]]]:
+    def __init__(self):
+        self.known: dict[tuple[int, int], int] = {}
+
+    def score(self, a: list, b: list) -> int:
         if a[0] != b[0]:
-            return 0, []
-        rows, columns = a[1], b[1]
-        own = [(a[2], b[2])] if a[2] >= 0 and b[2] >= 0 else []
-        if not rows or not columns:
-            return 1, own
-        score = [[0] * (len(columns) + 1) for _ in range(len(rows) + 1)]
-        found = {}
-        for i, x in enumerate(rows):
-            for j, y in enumerate(columns):
-                if x[0] == y[0]:
-                    found[i, j] = match(x, y)
-                value = found[i, j][0] if (i, j) in found else 0
-                score[i + 1][j + 1] = max(score[i][j + 1], score[i + 1][j], score[i][j] + value)
+            return 0
+        if a[3] == b[3]:
+            return a[4]
+        key = a[3], b[3]
+        if key not in self.known:
+            head, rows, columns, tail = _apart(a[1], b[1])
+            same = sum(x[4] for x in (*a[1][:head], *a[1][len(a[1]) - tail :]))
+            self.known[key] = 1 + same + (int(self._last_row(rows, columns)[-1]) if rows and columns else 0)
+        return self.known[key]
+
+    def _weights(self, rows: list, columns: list) -> Iterator[np.ndarray]:
+        """What each row's element would match of each column's."""
+        shapes = {y[3]: y for y in columns}
+        numbers = {shape: i for i, shape in enumerate(shapes)}
+        which = np.array([numbers[y[3]] for y in columns], np.int64)
+        made: dict[int, np.ndarray] = {}
+        for x in rows:
+            if x[3] not in made:
+                made[x[3]] = np.array([self.score(x, y) for y in shapes.values()], np.int64)
+            yield made[x[3]][which]
+
+    def _last_row(self, rows: list, columns: list) -> np.ndarray:
+        line = np.zeros(len(columns) + 1, np.int64)
+        for weights in self._weights(rows, columns):
+            best = np.maximum(line[1:], line[:-1] + weights)
+            line[1:] = np.maximum.accumulate(best)
+        return line
+
+    def children(self, rows: list, columns: list) -> Iterator[tuple[list, list]]:
+        """Pairs of children that match, in order."""
+        head, x, y, tail = _apart(rows, columns)
+        yield from zip(rows[:head], columns[:head])
+        if x and y:
+            yield from self._between(x, y)
+        yield from zip(rows[len(rows) - tail :], columns[len(columns) - tail :])
+
+    def _between(self, rows: list, columns: list) -> Iterator[tuple[list, list]]:
+        if len(rows) > 1 and len(rows) * len(columns) > _KEPT_CELLS:
+            # Halve the rows and find where the halves' columns meet, instead of keeping the matrix.
+            half = len(rows) // 2
+            above, below = self._last_row(rows[:half], columns), self._last_row(rows[half:][::-1], columns[::-1])
+            cut = int(np.argmax(above + below[::-1]))
+            if cut:
+                yield from self._between(rows[:half], columns[:cut])
+            if cut < len(columns):
+                yield from self._between(rows[half:], columns[cut:])
+            return
+        lines, weights = [np.zeros(len(columns) + 1, np.int64)], list(self._weights(rows, columns))
+        for weight in weights:
+            line = np.zeros(len(columns) + 1, np.int64)
+            line[1:] = np.maximum.accumulate(np.maximum(lines[-1][1:], lines[-1][:-1] + weight))
+            lines.append(line)
         i, j, pairs = len(rows), len(columns), []
         while i and j:
-            if score[i][j] == score[i - 1][j]:
+            if lines[i][j] == lines[i - 1][j]:
                 i -= 1
-            elif score[i][j] == score[i][j - 1]:
+            elif lines[i][j] == lines[i][j - 1]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                pairs += found[i, j][1]
-        return 1 + score[-1][-1], own + pairs
+                pairs.append((rows[i], columns[j]))
+        yield from reversed(pairs)
+
 
-    return match(page, reference)[1]
+def _apart(rows: list, columns: list) -> tuple[int, list, list, int]:
+    """How many elements are equal from the front, what is left of both, and how many are equal from the back."""
+    most = min(len(rows), len(columns))
+    head = 0
+    while head < most and rows[head][3] == columns[head][3]:
+        head += 1
+    tail = 0
+    while tail < most - head and rows[-1 - tail][3] == columns[-1 - tail][3]:
+        tail += 1
+    return head, rows[head : len(rows) - tail], columns[head : len(columns) - tail], tail
+
+
+def align(page: list, reference: list) -> list[tuple[int, int]]:
+    """Simple tree matching of two trees (label, children, number of the slot or -1): pairs of slots on the largest
+    matching that keeps order and ancestry."""
+    found, matching, todo = [], _Matching(), [tuple(t if len(t) == 5 else _sized(t) for t in (page, reference))]
+    while todo:
+        a, b = todo.pop()
+        if a[0] != b[0]:
+            continue
+        if a[3] == b[3]:
+            found += zip(a[2], b[2])
+            continue
+        todo += matching.children(a[1], b[1])
+    return found
 
 
 def slot_tree(slots: list[Block]) -> list:
@@ -322,7 +487,7 @@ def wrappers(pages: DataFrame, url: str = "url", source: str = "html") -> DataFr
                     if len(known) > 1000:
                         known.clear()
                     slots = blocks(parse(ref))
-                    known[ref] = [mark(b.path, b.text) for b in slots], slots, slot_tree(slots)
+                    known[ref] = [mark(b.path, b.text) for b in slots], slots, _sized(slot_tree(slots))
                 marks, slots, tree = known[ref]
                 own = blocks(parse(page))
                 for i, j in align(slot_tree(own), tree):
@@ -348,7 +513,8 @@ def html_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
 
     Character references are decoded, white space in a block becomes one space. Null or empty pages and pages without
     an article have an empty text if all they hold is template. A null address counts as a host of its own. Repeated
-    rows give equal rows; an empty table gives none.
+    rows give equal rows; an empty table gives none. A very long page, or one of thousands of items in a row, takes time
+    in proportion to its length, but for rows of children that have many different shapes between equal ends.
     """
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{source}`").cast("string").alias("html"), _host(url).alias("host"))
     joined = rows.join(_by_host(wrappers(pages, url, source)), "host", "left").select("page_id", "url", "html", "template")

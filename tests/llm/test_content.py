@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from itertools import product
 
@@ -209,6 +210,78 @@ def test_align_keeps_order():
     assert len(pairs) == 3 and sorted(pairs) == sorted(pairs, key=lambda p: p[1])
 
 
+def largest_matching(a, b):
+    """Elements on the largest matching, by trying every choice for the first children."""
+
+    def rows(x, y):
+        if not x or not y:
+            return 0
+        both = largest_matching(x[0], y[0])
+        return max(rows(x[1:], y), rows(x, y[1:]), both + rows(x[1:], y[1:]) if both else 0)
+
+    return 1 + rows(a[1], b[1]) if a[0] == b[0] else 0
+
+
+def random_tree(rng, depth, number):
+    children = [random_tree(rng, depth - 1, number) for _ in range(rng.randrange(0, 5))] if depth else []
+    if not children:
+        number[0] += 1
+        return ["#", [], number[0] - 1]
+    return [rng.choice("ab"), children, -1]
+
+
+@pytest.mark.parametrize("kept", [1 << 22, 2])
+def test_alignment_by_all_matchings(monkeypatch, kept):
+    """Size of the matching, also where the matrix is halved; slots pair in order and below matched elements."""
+    monkeypatch.setattr(html, "_KEPT_CELLS", kept)
+    rng = random.Random(21)
+    for _ in range(400):
+        a, b = (["", [random_tree(rng, 2, n) for _ in range(rng.randrange(0, 4))], -1] for n in ([0], [0]))
+        one, two = html._sized(a), html._sized(b)
+        assert html._Matching().score(one, two) == largest_matching(a, b)
+        pairs = sorted(html.align(a, b))
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        assert [j for _, j in pairs] == sorted(j for _, j in pairs)
+
+        # The slots of the pairs are those of some largest matching: as many elements are matched by going through them.
+        def matched(x, y):
+            if x[0] != y[0]:
+                return 0
+            return x[4] if x[3] == y[3] else 1 + sum(matched(p, q) for p, q in html._Matching().children(x[1], y[1]))
+
+        assert matched(one, two) == largest_matching(a, b)
+
+
+def test_long_lists_align_in_seconds():
+    item = lambda i: f"<li class='k{i % 3}'><a>link</a><span>{i}</span>" + "<p>more" * (i % 4) + "</li>"
+    one = html.slot_tree(html.blocks(html.parse("<div><h2>x</h2><ul>" + "".join(item(i) for i in range(5000)) + "</ul></div>")))
+    two = html.slot_tree(html.blocks(html.parse("<div><p>y</p><ul>" + "".join(item(i * 7 + 1) for i in range(5000)) + "</ul></div>")))
+    start = time.monotonic()
+    assert len(html.align(one, two)) > 5000
+    assert time.monotonic() - start < 30
+
+
+@pytest.mark.parametrize("piece", ["<a x", "<a \"", "<a ='", "<!", "<!-", "<?x", "</b", "<b>", "</i>", "<i><div><b>", "<p", "< ", "<a b='\">", "<li><p>", "<div class='x y'>t", "&amp", "<td><i></td>"])
+def test_a_megabyte_of_anything_is_parsed_in_seconds(piece):
+    text = piece * (1_000_000 // len(piece))
+    start = time.monotonic()
+    html.blocks(html.parse(text))
+    html.parse("<i>" + "<b>" * 100_000 + text[: 1 << 19] + "</u>" * 100_000)
+    assert time.monotonic() - start < 30
+
+
+def test_tags_end_where_they_should():
+    read = lambda t: [b.text for b in html.blocks(html.parse(t))]
+    assert read("<p title='a > b'>one<p>two") == ["one", "two"]
+    assert read('<p title="never closed>one<p>two') == ["one", "two"]
+    assert read("1 < 2 and 3 <b>4</b> <") == ["1 < 2 and 3 4 <"]
+    assert read("a <!-- <p> --> b <!-- open <p>c") == ["a b"]
+    assert read("<div>x<span>y</div>z</span><p>w") == ["x y".replace(" ", ""), "z", "w"]
+    deep = lambda n: "<div>" * n + "<p>in</p><div class='other'><p>in</p></div>" + "</div>" * n
+    # Beyond the depth that paths keep, places still differ.
+    assert len({b.path for b in html.blocks(html.parse(deep(80)))}) == 2
+
+
 # --- mixing ---
 
 
