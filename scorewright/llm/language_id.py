@@ -60,7 +60,8 @@ class Spelling:
     :param letters: characters of each
     :param script: number of its script
     :param offsets: words of text i are offsets[i] to offsets[i + 1]
-    :param runs: (word, bucket) of every letter run, in order of words, for each run length and for whole words
+    :param runs: (distinct word, bucket) of every letter run, in order of words, for each run length and for whole words
+    :param which: the distinct word that each word is, ``many`` how often each stands
     """
 
     start: np.ndarray
@@ -69,6 +70,8 @@ class Spelling:
     script: np.ndarray
     offsets: np.ndarray
     runs: list[tuple[np.ndarray, np.ndarray]]
+    which: np.ndarray
+    many: np.ndarray
 
 
 def spelling(chunk: Chunk) -> Spelling:
@@ -84,14 +87,16 @@ def spelling(chunk: Chunk) -> Spelling:
     np.cumsum(_FIRST[data], out=heads[1:])
     letters = heads[end] - heads[start]
     runs = []
+    # Words that stand in the chunk more than once are looked at once.
+    whole, one, which, many = np.unique(span_hashes(prefix_hashes(data), start, end), return_index=True, return_inverse=True, return_counts=True)
     # The bytes of words, one blank before and after each word.
-    length = end - start + 2
+    length = end[one] - start[one] + 2
     begin = np.cumsum(length) - length
-    word = np.repeat(np.arange(len(start)), length)
+    word = np.repeat(np.arange(len(one)), length)
     spelled = np.full(int(length.sum()), 32, np.uint8)
     body = np.ones(len(spelled), bool)
     body[begin] = body[begin + length - 1] = False
-    spelled[body] = data[inside[1:-1]]
+    spelled[body] = data[np.arange(int((length - 2).sum())) + np.repeat(start[one] - (begin - 2 * np.arange(len(one))), length - 2)]
     value = BYTE_VALUES[spelled]
     for n in GRAMS:
         if len(spelled) < n:
@@ -103,9 +108,8 @@ def spelling(chunk: Chunk) -> Spelling:
         if n == 1:
             same &= body
         runs.append((word[: len(rolled)][same], (mix(rolled[same]) & np.uint64(BUCKETS - 1)).astype(np.int64)))
-    whole = span_hashes(prefix_hashes(data), start, end)
-    runs.append((np.arange(len(start)), (whole & np.uint64(BUCKETS - 1)).astype(np.int64)))
-    return Spelling(start, end, letters, _SCRIPT[data[start]] if len(start) else np.zeros(0, np.int8), np.searchsorted(start, chunk.offsets), runs)
+    runs.append((np.arange(len(one)), (whole & np.uint64(BUCKETS - 1)).astype(np.int64)))
+    return Spelling(start, end, letters, _SCRIPT[data[start]] if len(start) else np.zeros(0, np.int8), np.searchsorted(start, chunk.offsets), runs, which.reshape(-1), many)
 
 
 @dataclass
@@ -117,9 +121,27 @@ class Languages:
     scripts: np.ndarray
 
 
+# Leading bits of the hash that rows are counted by: so many powers of two of counts in a language's running sum.
+HEAD_BITS = 10
 _COUNTS = "lang string, kind int, bucket int, number long"
 
 
+def _smallest(rows: DataFrame, sample: int) -> DataFrame:
+    """The ``sample`` rows (lang, doc_id) of each language whose keys have the smallest hashes.
+
+    Rows are counted by language and leading bits of the hash; a running sum over these counts tells which of them have
+    such rows, and only the rows of the same leading bits are put in order, each in a task of their own.
+    """
+    rows = rows.withColumn("hash", F.xxhash64("doc_id")).withColumn("head", F.shiftright("hash", 64 - HEAD_BITS))
+    heads = rows.groupBy("lang", "head").agg(F.count(F.lit(1)).alias("many"))
+    before = Window.partitionBy("lang").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("before", F.coalesce(F.sum("many").over(before), F.lit(0))).where(F.col("before") < sample)
+    order = Window.partitionBy("lang", "head").orderBy("hash", "doc_id")
+    placed = rows.join(heads.select("lang", "head", "before"), ["lang", "head"]).withColumn("place", F.row_number().over(order))
+    # By the first bound, Spark leaves rows behind before it moves them.
+    return placed.where(F.col("place") <= sample).where(F.col("place") + F.col("before") <= sample).select("lang", "doc_id")
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Languages:
     """Every language that is named, from text and label of at most ``sample`` documents of each, taken by a hash of the
     key; of texts of at most SAMPLE_BYTES bytes, or, of a language that has only longer ones, of those.
@@ -133,11 +155,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     names = sorted(found)
     if not names:
         return Languages([], [np.zeros((BUCKETS, 0), np.float32) for _ in (*GRAMS, 0)], np.zeros((0, len(SCRIPTS)), bool))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     only_long = [name for name in names if found[name]]
     rows = rows.where(~F.col("long") | F.col("lang").isin(only_long)) if only_long else rows.where(~F.col("long"))
-    chosen = rows.select("lang", "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
-    chosen = chosen.select("lang", "doc_id").distinct()
+    chosen = _smallest(rows.select("lang", "doc_id"), sample).distinct()
     # At most ``sample`` rows of two short columns a language; with few languages that is little to send to all.
     learnt = rows.join(F.broadcast(chosen) if len(names) <= SENT else chosen, ["lang", "doc_id"])
 
@@ -158,8 +178,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 own = totals.setdefault(name, [np.zeros(BUCKETS, np.int64) for _ in range(len(GRAMS) + 2)])
                 for chunk in chunks(part.column("text").filter(pa.array(named == name))):
                     found = spelling(chunk)
-                    for total, (_, bucket) in zip(own, found.runs):
-                        total += np.bincount(bucket, minlength=BUCKETS)
+                    for total, (word, bucket) in zip(own, found.runs):
+                        total += np.bincount(bucket, found.many[word], BUCKETS).astype(np.int64)
                     own[-1][: len(SCRIPTS)] += np.bincount(found.script, weights=found.letters, minlength=len(SCRIPTS)).astype(np.int64)
         yield from sums(totals)
 
@@ -189,13 +209,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 def word_scores(found: Spelling, languages: Languages) -> np.ndarray:
     """Score of each word in each language; where a word's script leaves some, the others are out of reach."""
-    score = np.zeros((len(found.start), len(languages.names)), np.float32)
+    score = np.zeros((len(found.many), len(languages.names)), np.float32)
     for table, (word, bucket) in zip(languages.tables, found.runs):
         if len(word):
             first = np.searchsorted(word, np.arange(len(score)))
             sums = np.add.reduceat(table[bucket], np.minimum(first, len(word) - 1), axis=0)
             has = np.diff(np.append(first, len(word))) > 0
             score[has] += sums[has]
+    score = score[found.which]
     allowed = languages.scripts.T[found.script]
     out = ~allowed & allowed.any(1, keepdims=True)
     score[out] -= 1000
@@ -211,7 +232,7 @@ def best_path(score: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndar
     active = np.searchsorted(-length, -np.arange(1, steps + 1), "right")
     total = score.copy()
     switched = np.zeros(score.shape, bool)
-    source = np.zeros(len(score), np.int16)
+    source = np.zeros(len(score), np.int32)
     for t in range(1, steps):
         at = begin[: active[t]] + t
         before = total[at - 1]
@@ -221,7 +242,7 @@ def best_path(score: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndar
         total[at] += np.where(change, other[:, None], before)
         switched[at] = change
         source[at] = lead
-    path = np.zeros(len(score), np.int16)
+    path = np.zeros(len(score), np.int32)
     ends = begin[length > 0] + length[length > 0] - 1
     path[ends] = total[ends].argmax(1)
     for t in range(steps - 1, 0, -1):
@@ -285,6 +306,38 @@ def language_id(docs: DataFrame, languages: Languages, penalty: float = PENALTY,
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
+_SPANS = "doc_id long, start long, end long, lang string"
+
+
+def language_spans(docs: DataFrame, languages: Languages, penalty: float = PENALTY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, start, end, lang) of every span of a text whose words are of one language on its best path.
+
+    Places are code points, from the first letter of a span's first word to behind the last of its last one. Texts that
+    are null or without a word have no span, and no text has one if no language was learnt.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for chunk, found, path in label(rows.column(1), languages, penalty) if languages.names else ():
+                if not len(path):
+                    continue
+                row = np.repeat(np.arange(len(found.offsets) - 1), np.diff(found.offsets))
+                first = np.flatnonzero(np.diff(path, prepend=-1).astype(bool) | np.diff(row, prepend=-1).astype(bool))
+                last = np.append(first[1:], len(path)) - 1
+                # Code points before each byte of the chunk: all bytes but those that go on with a character.
+                points = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])
+                begin = points[chunk.offsets[row[first]]]
+                yield batch(
+                    _SPANS,
+                    rows.column(0).slice(chunk.first).take(pa.array(row[first])),
+                    points[found.start[first]] - begin,
+                    points[found.end[last]] - begin,
+                    pa.array([languages.names[k] for k in path[first]], pa.string()),
+                )
+
+    return texts(docs, key, text).mapInArrow(run, _SPANS)
+
+
 def _ascii_letters(chunk: Chunk, found: Spelling, row: np.ndarray, size: int) -> np.ndarray:
     """Which texts have a letter from A to Z, by the first letters of words; the others are looked at one by one."""
     first = chunk.data[found.start] < 128

@@ -449,11 +449,44 @@ def test_language_id(spark):
             assert found[i].lang_pred == lang
     assert (found[1000].lang_pred, found[1000].n_spans) == ("de", 2) and 0.5 < found[1000].score < 0.8
     assert all((found[i].lang_pred, found[i].score) == ("und", 0.0) for i in (1001, 1002))
+    spans = {}
+    for r in languages.language_spans(docs, model).orderBy("start").collect():
+        spans.setdefault(r.doc_id, []).append((r.lang, r.start, r.end))
+    (a, _, end), (b, start, _) = spans[1000]
+    # A word of another language than its neighbours may go to either side.
+    assert (a, b) == ("en", "de") and mixed[1][end] == " " and start == end + 1 and abs(len(mixed[1][:end].split()) - 30) <= 2
+    assert all(len(spans.get(i, [])) == found[i].n_spans for i in found if i and 12 < i < 1001)
+    odd = {}
+    for r in languages.language_spans(spark.createDataFrame(ODD, DOCS), model).collect():
+        odd.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert min(odd[7])[0] == 0 and max(odd[7])[1] == len("äöü ßé 日本語 слово") and odd[8] == [(0, 20_003)] and None in odd and not {3, 4, 5, 10} & set(odd)
+    assert languages.language_spans(docs, languages.fit(docs.limit(0))).count() == 0
     assert languages.language_id(docs, model).count() == len(rows) + len(rest)
     assert languages.language_id(docs.limit(0), model).count() == 0
     assert {r.lang_pred for r in languages.language_id(docs, languages.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_smallest_hashes_of_each_language(spark):
+    """By all rows in order; one language has most of them, and one key stands often."""
+    rows = [(i % 3000, "ab"[i % 10 == 0]) for i in range(5000)] + [(7, "a")] * 300 + [(i, "c") for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string").repartition(4)
+    ordered = sorted((r.h, r.doc_id, r.lang) for r in frame.selectExpr("xxhash64(doc_id) as h", "doc_id", "lang").collect())
+    for sample in (1, 40, 100_000):
+        wanted = [(lang, d) for name in "abc" for _, d, lang in [r for r in ordered if r[2] == name][:sample]]
+        assert sorted(map(tuple, languages._smallest(frame, sample).collect())) == sorted(wanted)
+
+
+def test_repeated_words_are_scored_once():
+    chunk = next(languages.chunks(pa.array(["das Haus und das Haus", "und das", None, "Дом Haus"])))
+    found = languages.spelling(chunk)
+    assert len(found.start) == 9 and len(found.many) == 4 and found.many.sum() == 9
+    alone = [languages.spelling(next(languages.chunks(pa.array([w])))) for w in ("das", "haus", "und", "Дом")]
+    buckets = {tuple(one.runs[-1][1]): [b.tolist() for _, b in one.runs] for one in alone}
+    for k in range(4):
+        own = [bucket[word == k].tolist() for word, bucket in found.runs]
+        assert own == buckets[tuple(own[-1])]
+
+
 def test_all_languages_are_learnt(spark):
     rng = random.Random(3)
     parts = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)] for k in range(120)}
