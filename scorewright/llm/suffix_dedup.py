@@ -354,12 +354,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
             yield batch(_CUT, rows.column("u"), rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.string()))
 
     found = repeated_spans(docs, length, key, text)
-    cut_rows = packed(docs, key, text).join(found, "u").dropDuplicates(["u", "doc_id"]).select("u", "doc_id", "z", "spans", "copied").mapInArrow(cut, _CUT)
-    kept = cut_rows.select(F.struct("u", "doc_id", "n").alias("of"), "kept")
-    # Whole rows in a column of their own, whatever their columns' names; key and length are compared beside the hash.
-    identity = F.struct(row_key(key, text).alias("u"), F.col(f"`{key}`").cast("long").alias("doc_id"), F.octet_length(_text(text)).cast("long").alias("n"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), identity.alias("of"))
-    joined = rows.join(kept, "of", "left")
+    cut_rows = packed(docs, key, text).join(found, "u").dropDuplicates(["u"]).select("u", "doc_id", "z", "spans", "copied").mapInArrow(cut, _CUT)
+    # Whole rows in a column of their own, whatever their columns' names; key and length are compared beside the hash, so
+    # that no row gets another one's text.
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        row_key(key, text).alias("row_u"),
+        F.col(f"`{key}`").cast("long").alias("row_id"),
+        F.octet_length(_text(text)).cast("long").alias("row_n"),
+    )
+    same = (F.col("row_u") == F.col("u")) & (F.col("row_n") == F.col("n")) & F.col("row_id").eqNullSafe(F.col("doc_id"))
+    joined = rows.join(cut_rows, same, "left")
 
     def column(name: str):
         own = F.col("row").getField(name)
