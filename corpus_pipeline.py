@@ -31,7 +31,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows are told apart by a hash of key and text, so that of several texts of one key each has groups of its own, and
     rows without a key have them too; they come after all keys, in the order of the hash. Of rows equal in key and text,
-    one stays. Key and length are compared beside the hash wherever a row goes.
+    one stays. The text's length is compared beside the hash wherever a row goes.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     row = F.xxhash64("doc_id", text)
@@ -43,8 +43,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     first = rows.groupBy("_group").agg(F.min(order).alias("first"))
     gone = rows.join(first, "_group").where(order != F.col("first")).select("_row", "_n", F.lit(True).alias("_gone"))
     left = named.join(gone.distinct(), ["_row", "_n"], "left_anti")
-    # Dropping repeated rows by what was joined on moves no row again.
-    return left.withColumn("_key", F.col("row.doc_id")).dropDuplicates(["_row", "_n", "_key"]).select("row.*")
+    # Dropping repeated rows by what was joined on neither moves nor sorts rows again.
+    return left.dropDuplicates(["_row", "_n"]).select("row.*")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
