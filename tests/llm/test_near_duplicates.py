@@ -10,7 +10,8 @@ from helpers import DOCS, ODD, jaccard_components, shingle_set, without_repeats
 from scorewright.llm import suffix_dedup as suffix
 from scorewright.llm.components import components
 from scorewright.llm.jaccard_join import jaccard_join, links_of
-from scorewright.llm.passage_dedup import compact_windows, joined_ties, passage_dedup, verified
+from scorewright.llm.passage_dedup import compact_windows, interval_join, joined_ties, passage_dedup, start_windows, verified
+from scorewright.llm.texts import mix
 from scorewright.llm.suffix_dedup import minimizer_segments, suffix_dedup
 
 
@@ -148,6 +149,64 @@ def test_joined_ties():
     assert [x.tolist() for x in joined] == [[1, 5, 7], [3, 5, 8], [0, 4, 7], [5, 5, 8]]
 
 
+@pytest.mark.parametrize("kinds, length", [(2, 8), (5, 1), (30, 8), (30, 46), (10**6, 46), (10**6, 2)])
+def test_windows_of_starts_by_sliding_minima(kinds, length):
+    rng = np.random.default_rng(kinds + length)
+    offsets = np.concatenate([[0], np.cumsum([200, 0, length, length - 1, 130, 1])])
+    tokens = rng.integers(0, kinds, offsets[-1]).astype(np.uint64)
+    starts = [p for a, b in zip(offsets[:-1], offsets[1:]) for p in range(a, b - length + 1)]
+    made, wanted = [start_windows(tokens, offsets, length, f) for f in range(3)], []
+    for f, (least, first, last) in enumerate(made):
+        values = mix(tokens ^ np.uint64(0xA24BAED4963EE407 * (f + 1) & (2**64 - 1)))
+        found = [(p, int(v)) for v, a, b in zip(least, first, last) for p in range(a, b + 1)]
+        assert found == [(p, int(values[p : p + length].min())) for p in starts]
+        assert (last - first < length).all()
+        wanted.append([w for w, (a, b) in enumerate(zip(first, last)) for _ in range(a, b + 1)])
+    begin, end, which = interval_join(made)
+    found = [(p, *(int(w[i]) for w in which)) for i, (a, b) in enumerate(zip(begin, end)) for p in range(a, b + 1)]
+    assert found == list(zip(starts, *wanted))
+
+
+def best_similarity(own, other, length):
+    """Highest similarity of two runs of at least ``length`` tokens; no token stands twice in a text."""
+    where, best = {t: i for i, t in enumerate(other)}, 0.0
+    at = np.array([where.get(t, -1) for t in own])
+    for x in np.flatnonzero(at >= 0):
+        place = at[x:]
+        low, high = np.minimum.accumulate(np.where(place >= 0, place, len(other))), np.maximum.accumulate(place)
+        shared, size = np.cumsum(place >= 0), np.maximum(np.arange(1, len(place) + 1), length)
+        best = max(best, float((shared / (size + np.maximum(high - low + 1, length) - shared)).max()))
+    return best
+
+
+def test_recall_of_passages(spark):
+    """Documents with a passage that is alike by trying all runs: nine of ten at least are named, in each range of similarity."""
+    rng, rows, pairs = random.Random(34), [], []
+    make = lambda n: [f"r{rng.randrange(10**12)}" for _ in range(n)]
+    for _ in range(700):
+        passage = make(rng.choice([50, 54, 58, 62, 66, 90, 140, 200]))
+        edited = list(passage)
+        for _ in range(rng.randrange(0, 2 + len(passage) // 66)):
+            k = rng.randrange(len(edited))
+            edited[k : k + 1] = rng.choice([make(1), [], [edited[k], *make(1)]])
+        texts = [make(30) + x + make(30) for x in (passage, edited)]
+        own, other = ([tuple(x[i : i + 5]) for i in range(len(x) - 4)] for x in texts)
+        pairs.append((len(rows), len(rows) + 1, best_similarity(own, other, 46)))
+        rows += [(len(rows) + i, " ".join(x)) for i, x in enumerate(texts)]
+    # A passage far behind the first megabyte of a text.
+    far = make(60)
+    pairs.append((len(rows), len(rows) + 1, 1.0))
+    rows += [(len(rows), " ".join(make(120_000) + far + make(9))), (len(rows) + 1, " ".join(far))]
+    named = {(r.doc_id, r.other_id) for r in passage_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert named <= {(a, b) for x, y, share in pairs if share >= 0.8 for a, b in ((x, y), (y, x))}
+    assert {pairs[-1][:2], pairs[-1][1::-1]} <= named
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0), (1.0, 1.1)):
+        wanted = [pair for x, y, share in pairs if low <= share < high for pair in ((x, y), (y, x))]
+        caught = sum(pair in named for pair in wanted)
+        print(f"similarity from {low}: {caught} of {len(wanted)}")
+        assert len(wanted) >= 50 and caught >= 0.9 * len(wanted)
+
+
 def test_passages(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(5000)]
