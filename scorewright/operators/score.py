@@ -86,7 +86,9 @@ def join_responses(
     broadcasts the items when its own size limit allows, and otherwise its
     adaptive skew join splits a key that holds a large part of the responses.
     ``salt`` spreads every key over that many shuffle partitions without relying
-    on adaptive execution, at the price of as many copies of the (narrow) items.
+    on adaptive execution, at the price of as many copies of the (narrow) items. These are
+    shuffled and never broadcast: Spark's estimate of their size is that of the items alone,
+    and the driver would hold all copies.
 
     With ``keep_unanswered``, every item that a model of its dataset and split did not
     answer is appended as a row of that model with a null response; items that no model
@@ -111,7 +113,7 @@ def join_responses(
         # The input partition's number stays the same when a lost task runs again.
         spread = responses.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salt)))
         copies = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        joined = spread.join(copies, [*keys, "salt"], how).drop("salt")
+        joined = spread.join(copies.hint("merge"), [*keys, "salt"], how).drop("salt")
     elif hot_items is not None:
         copies = items.join(hot_items, keys, "left").withColumn(
             "item_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))

@@ -151,6 +151,14 @@ def hot_tables(spark):
     return items, answers
 
 
+def test_copies_of_salted_items_are_not_broadcast(spark, items):
+    answers = responses(spark, [("1", "lukaemon/bbh", "m", "Answer: (B)"), ("3", "lukaemon/bbh", "m", "Answer: No")])
+    graded = grade(items, answers, salt=4)
+    plan = graded._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {(r.example_id, r.is_correct) for r in graded.collect()} == {("1", True), ("3", False)}
+
+
 @pytest.mark.parametrize("salt", [1, 4])
 def test_hot_item(spark, salt):
     items, answers = hot_tables(spark)
