@@ -20,7 +20,7 @@ from scorewright.sources import benchmark, sinks
 from scorewright.sources.bucketed import read_bucketed, write_bucketed
 from scorewright.sources.runs import read_metrics, read_run_metrics
 from scorewright.streaming.answers import answer_stream, stage_items
-from scorewright.streaming.incremental import running_accuracy, score_stream, stream_responses
+from scorewright.streaming.incremental import batch_files, running_accuracy, score_stream, stream_responses
 
 
 # So many responses arrive in a file at most.
@@ -234,7 +234,7 @@ def _arriving(spark, folder):
     items, responses = choice_tables(spark, folder)
     path = shared_folder(spark, "arriving")
     responses.write.option("maxRecordsPerFile", ROWS_PER_FILE).json(path)
-    return items, stream_responses(spark, path, files_per_batch=4)
+    return items, stream_responses(spark, path, files_per_batch=batch_files(items, ROWS_PER_FILE, least=4))
 
 
 def incremental_rows(spark, folder):

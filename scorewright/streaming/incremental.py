@@ -15,13 +15,17 @@ from scorewright.operators.metrics import run_metrics
 from scorewright.operators.score import grade, repeated_items, score
 from scorewright.schemas import ITEM_KEYS, RESPONSES, RUN_KEYS
 
+# Responses that a micro-batch has for each item, see :func:`batch_files`.
+RESPONSES_PER_ITEM = 4
+
 
 def stream_responses(
     spark: SparkSession, path: str, format: str = "json", files_per_batch: int | None = None
 ) -> DataFrame:
     """Responses from the files that land in a folder.
 
-    ``files_per_batch`` bounds a micro-batch, and so how often results are saved.
+    ``files_per_batch`` bounds a micro-batch, and so how often results are saved; :func:`batch_files` gives a number that
+    goes with the items.
     """
     reader = spark.readStream.schema(RESPONSES).format(format)
     if files_per_batch is not None:
@@ -29,6 +33,16 @@ def stream_responses(
     return reader.load(path)
 
 
+def batch_files(items: DataFrame, rows_per_file: int, least: int = 1) -> int:
+    """How many files of so many responses a micro-batch should take; ``least`` where the items are few.
+
+    A micro-batch reads and joins all items and goes through all keys that are remembered, however few responses it
+    has. With ``RESPONSES_PER_ITEM`` of them for each item, all micro-batches together cost what the responses do, and
+    not their number times the items.
+    """
+    return max(least, -(-RESPONSES_PER_ITEM * items.count() // rows_per_file))
+
+
 def once_each(responses: DataFrame, within: str) -> DataFrame:
     """A stream of responses with one row for each model and item, the first that came.
 

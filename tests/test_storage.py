@@ -9,7 +9,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from catalog import all_queries
+from catalog import all_queries, storage
 from scorewright import aggregate_runs, score
 from scorewright.operators.benchmarks import BBH
 from scorewright.plans.evaluate import evaluate
@@ -177,6 +177,33 @@ def test_stream_equals_batch_and_adds_nothing_twice(spark, tables, tmp_path):
     assert plain(spark.read.schema(RESULTS).json(out)) == plain(score(*tables, [BBH]))
 
 
+@pytest.fixture()
+def many_lines(spark, tmp_path, monkeypatch):
+    """400 parts and 1,600 responses to them in files of 20; shared folders are in ``tmp_path``."""
+    spark.sql("select id as p_partkey, concat('part ', id) as p_name, 'T' as p_type, int(1 + id % 40) as p_size from range(400)").write.parquet(
+        str(tmp_path / "part.parquet"))
+    spark.sql(
+        "select id as l_orderkey, id % 400 as l_partkey, id % 7 as l_suppkey, int(1 + id div 400) as l_linenumber, double(id % 50) as l_quantity"
+        " from range(0, 1600, 1, 2)").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(storage, "ROWS_PER_FILE", 20)
+    numbers = iter(range(100))
+    monkeypatch.setattr(storage, "shared_folder", lambda spark, purpose: str(tmp_path / f"{purpose}-{next(numbers)}"))
+    return str(tmp_path)
+
+
+def batches(folder):
+    """Micro-batches of each stream of a folder."""
+    return [len([p for p in commits.iterdir() if p.name.isdigit()]) for commits in sorted(Path(folder).glob("checkpoint-*/commits"))]
+
+
+@pytest.mark.parametrize("query", ["incremental_rows", "incremental_accuracy"])
+def test_number_of_micro_batches_does_not_grow_with_responses(spark, many_lines, query):
+    found = all_queries()[query].run(spark, many_lines)
+    assert found.count() == (1600 if query == "incremental_rows" else 4)
+    assert len(list(Path(many_lines).glob("arriving-*/part-*"))) == 80
+    assert batches(many_lines) == [1]
+
+
 def test_equal_short_names_stay_apart(spark, tables, tmp_path):
     items, responses = tables
     one = responses.where("model = 'org/m.0'")
