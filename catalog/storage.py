@@ -72,8 +72,9 @@ def repeated_deliveries(spark, folder):
     first = responses.dropDuplicates(["model", "example_id"])
     path, scored, checkpoint = (shared_folder(spark, name) for name in ("arriving", "scored", "checkpoint"))
     first.write.option("maxRecordsPerFile", ROWS_PER_FILE).json(path)
+    files = batch_files(items, ROWS_PER_FILE, least=4)
     for _ in range(2):
-        arriving = stream_responses(spark, path, files_per_batch=4)
+        arriving = stream_responses(spark, path, files_per_batch=files)
         score_stream(items, arriving, scored, checkpoint, [BBH], once_within="1 day").awaitTermination()
         spark.read.schema(RESPONSES).json(path).write.mode("append").json(path)
     return _result_columns(spark.read.schema(RESULTS).json(scored)).select("example_id", "model", F.col("is_correct").isNull().alias("no_truth"))

@@ -17,6 +17,7 @@ from scorewright.schemas import ITEMS, RESPONSES, RESULTS
 from scorewright.sources import benchmark, sinks
 from scorewright.sources.runs import read_metrics, read_run_metrics, unreadable_metrics
 from scorewright.sources.storage import shared_folder
+from scorewright.streaming.answers import stage_items
 from scorewright.streaming.incremental import score_stream, stream_responses
 
 GOLDEN = {
@@ -204,6 +205,21 @@ def test_number_of_micro_batches_does_not_grow_with_responses(spark, many_lines,
     assert batches(many_lines) == [1]
 
 
+def test_number_of_micro_batches_of_repeated_deliveries(spark, many_lines):
+    assert all_queries()["repeated_deliveries"].run(spark, many_lines).count() == 1600
+    # The two deliveries, and one without rows that lets old keys go.
+    assert sum(batches(many_lines)) <= 4
+
+
+def test_number_of_pieces_does_not_grow_with_items(spark, many_lines, monkeypatch):
+    monkeypatch.setattr(storage, "stage_items", lambda items, path: stage_items(items.coalesce(1), path, rows_per_file=10))
+    found = all_queries()["resumed_answers"].run(spark, many_lines)
+    assert {(r.example_id, r.response[:5]) for r in found.collect()} == {(str(i), f"Run {1 + i % 2}") for i in range(400)}
+    assert found.count() == 400
+    # 20 files, and then all 40.
+    assert batches(many_lines) == [7, 8]
+
+
 def test_equal_short_names_stay_apart(spark, tables, tmp_path):
     items, responses = tables
     one = responses.where("model = 'org/m.0'")
