@@ -5,7 +5,8 @@ the model only for items that have no saved response of it yet, and appends what
 What was saved is known by its keys, not by the stream's checkpoint alone: a run that was killed between saving a piece
 and recording it, or that starts over with another checkpoint, finds the responses there and asks nothing again.
 Within a piece, each task's responses are saved as it ends, so that what a killed run has to ask again is what its tasks
-had in hand; the size of a piece bounds that.
+had in hand; the size of a file bounds that. Each piece looks through the keys of all that is saved, so that a run takes
+more files a piece where many are staged, and makes no more than ``MOST_PIECES`` of what it finds at its start.
 """
 
 from collections.abc import Callable
@@ -18,6 +19,9 @@ from scorewright.operators.generate import Model
 from scorewright.plans.evaluate import respond
 from scorewright.schemas import ITEM_KEYS, ITEMS, RESPONSE_COLUMNS, RESPONSES
 
+# Pieces of the files that a run finds staged at its start.
+MOST_PIECES = 8
+
 
 def stage_items(items: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
     """Add items to a folder that answers are made from, in files of at most so many rows."""
@@ -56,12 +60,16 @@ def answer_stream(
     """Ask a model for all staged items that it hasn't answered, then stop; responses are added to ``path``.
 
     :param staged: folder of ``stage_items``; files may be added while it runs or between runs
-    :param files_per_piece: files of items that are answered before their responses are saved
+    :param files_per_piece: files of items that make a piece, as long as these make ``MOST_PIECES`` at most; more files
+        are answered in tasks that have about one file's items each
     """
-    items = spark.readStream.schema(ITEMS).option("maxFilesPerTrigger", files_per_piece).parquet(staged)
+    files = max(files_per_piece, -(-len(spark.read.schema(ITEMS).parquet(staged).inputFiles()) // MOST_PIECES))
+    items = spark.readStream.schema(ITEMS).option("maxFilesPerTrigger", files).parquet(staged)
 
     def answer(piece: DataFrame, number: int) -> None:
         todo = unasked(piece, path, model)
+        if files > files_per_piece:
+            todo = todo.repartition(files, *ITEM_KEYS)
         responses = respond(todo, model, load_model, batch_size).select(*RESPONSE_COLUMNS)
         # By this rule of the committer, a finished task's file is there even if the piece never ends. Files
         # are named by task, so that a repeated task replaces its own.
