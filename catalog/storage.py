@@ -119,15 +119,15 @@ def _result_columns(results):
 def appended_rows(spark, folder):
     path = shared_folder(spark, "rows")
     results = score(*choice_tables(spark, folder), [BBH])
-    sinks.append_rows(results.where("is_correct"), path)
-    sinks.append_rows(results.where("is_correct is distinct from true"), path)
+    sinks.append_rows(results.where("is_correct"), path, "gzip")
+    sinks.append_rows(results.where("is_correct is distinct from true"), path, "gzip")
     return _result_columns(spark.read.schema(RESULTS).json(path))
 
 
 def result_arrays(spark, folder):
     path = shared_folder(spark, "arrays")
     results = score(*choice_tables(spark, folder), [BBH])
-    sinks.write_arrays(results, path)
+    sinks.write_arrays(results, path, "gzip")
     return _result_columns(spark.read.schema(RESULTS).option("multiLine", True).json(path))
 
 

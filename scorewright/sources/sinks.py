@@ -20,9 +20,13 @@ def run_paths(output_dir: str, model: str, dataset: str, split: str) -> dict[str
     return {"rows": f"{stem}.jsonl", "all": f"{stem}_all.json", "metrics": f"{stem}_metrics.json"}
 
 
-def append_rows(results: DataFrame, path: str) -> None:
-    """Append result rows as JSON lines, nulls kept."""
-    results.write.mode("append").option("ignoreNullFields", False).json(path)
+def append_rows(results: DataFrame, path: str, compression: str = "none") -> None:
+    """Append result rows as JSON lines, nulls kept.
+
+    Names of columns, model and dataset stand in every line; a ``compression`` such as ``gzip`` takes most of that away.
+    A file is then read by one task.
+    """
+    results.write.mode("append").option("ignoreNullFields", False).option("compression", compression).json(path)
 
 
 def write_by_run(results: DataFrame, path: str, format: str = "parquet", mode: str = "append") -> None:
@@ -54,14 +58,14 @@ def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"value": pa.array([held, "]"], pa.string())})
 
 
-def write_arrays(results: DataFrame, path: str) -> None:
+def write_arrays(results: DataFrame, path: str, compression: str = "none") -> None:
     """Replace the full result set: JSON arrays, one in each part file.
 
     Read back with ``multiLine``. One array in one file would put all rows through
-    one task.
+    one task. For ``compression`` see :func:`append_rows`.
     """
     rows = results.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    rows.mapInArrow(_array_lines, "value STRING").write.mode("overwrite").text(path)
+    rows.mapInArrow(_array_lines, "value STRING").write.mode("overwrite").option("compression", compression).text(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
