@@ -111,6 +111,14 @@ def test_row_sinks(spark, tables, tmp_path):
     assert sum(map(len, whole)) == 24
 
 
+@pytest.mark.parametrize("query, purpose", [("appended_rows", "rows"), ("result_arrays", "arrays")])
+def test_written_rows_are_smaller_than_their_text(spark, many_lines, query, purpose):
+    found = all_queries()[query].run(spark, many_lines)
+    text = sum(len(r.line) for r in found.selectExpr("to_json(struct(*)) as line").collect())
+    written = sum(part.stat().st_size for part in Path(many_lines).glob(f"{purpose}-*/part-*"))
+    assert found.count() == 1600 and 0 < written < text / 4
+
+
 @pytest.mark.parametrize("format", ["parquet", "json"])
 def test_evaluate(spark, tables, tmp_path, format):
     items, responses = tables
