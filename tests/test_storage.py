@@ -138,6 +138,25 @@ def test_evaluate(spark, tables, tmp_path, format):
         "rows": "out/m.1/b_test.jsonl", "all": "out/m.1/b_test_all.json", "metrics": "out/m.1/b_test_metrics.json"}
 
 
+def test_rows_are_graded_in_methods_that_are_compiled(spark, tables, tmp_path, monkeypatch):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before, seen = spark.conf.get(limit), []
+
+    def seeing(*given):
+        seen.append(spark.conf.get(limit))
+        sinks.write_by_run(*given)
+
+    monkeypatch.setattr("scorewright.plans.evaluate.write_by_run", seeing)
+    try:
+        for own in (None, "9000"):
+            spark.conf.unset(limit) if own is None else spark.conf.set(limit, own)
+            evaluate(*tables, str(tmp_path), [BBH], by_run=True)
+            assert spark.conf.get(limit, None) == own
+    finally:
+        spark.conf.set(limit, before)
+    assert seen == ["8000", "9000"]
+
+
 def test_rows_by_run(spark, tables, tmp_path):
     metrics = evaluate(*tables, str(tmp_path / "by_run"), [BBH], by_run=True)
     plain_metrics = evaluate(*tables, str(tmp_path / "plain"), [BBH])
