@@ -7,9 +7,10 @@ hold a run of the length asked for are made, about two for every such length of
 
 The windows of one function part all places where a run of the length asked for can begin. Windows of several functions are
 joined where these intervals overlap: a cell is an overlap on which enough functions have one min-hash each. Cells that agree
-on all of these meet, each the first of them, so that agreement comes before a partner is chosen and nothing grows with the
-square of a group. Runs that are equal as a whole meet on their own, whatever else shares their
-min-hashes. What has met is verified by its shingles.
+on all of these are a group. Those of one content meet the first of it; what is left of a group are different contents. Two
+meet at once; of more, the tokens are fetched, and all pairs compared by what they share: a tree joins those that are surely alike and
+stands for all of their pairs, and of two trees all pairs are tried that may hold passages which are alike. What has
+met is verified by its shingles.
 """
 
 from collections.abc import Iterable, Iterator
@@ -28,6 +29,8 @@ from scorewright.llm.texts import CHUNK, chunks, mix, powers, shingles, words
 SHINGLE, LENGTH, SIMILARITY = 5, 50, 0.8
 # Hash functions, and how many of them have to agree.
 FUNCTIONS, AGREE = 5, 2
+# Cells of a group whose pairs one task compares at a time. It only decides how the work is dealt.
+TILE = 2048
 
 _U32 = np.uint64(32)
 
@@ -92,10 +95,12 @@ def joined_ties(tokens: np.ndarray, offsets: np.ndarray, center, left, right, le
     return center[begin], center[end], left[begin], right[end]
 
 
-# A window: its text, the first start of a run of the length asked for and how many there are; the cells within it, each 32
-# bits of what else has to agree and its first start; and 32 bits of the whole content from each start on.
-_WINDOWS = "key long, u long, place long, cells binary, whole binary"
+# A window: its text, the first start of a run of the length asked for and how many there are; and the cells within it, each
+# 16 bits of what else has to agree (more that agree by chance are only compared in vain), 32 of its content and its first start.
+_WINDOWS = "key long, u long, place long, cells binary"
 _MET = "u long, v long, start int, stop int, v_start int, v_stop int"
+# What met, without a group; and the cells of groups, without a partner.
+_AGREED = f"{_MET}, what long"
 # Bits of a place that count starts.
 _COUNT = 20
 
@@ -107,14 +112,7 @@ def tokens_of(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray,
 
 
 def _cell(length: int) -> np.dtype:
-    return np.dtype([("other", "<u4"), ("first", "u1" if length <= 256 else "<u4")])
-
-
-def run_hashes(tokens: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the ``length`` tokens from each start on, in order."""
-    prefix = np.zeros(len(tokens) + 1, np.uint64)
-    np.cumsum(tokens * powers(len(tokens)), out=prefix[1:])
-    return mix((prefix[starts + length] - prefix[starts]) * powers(len(tokens) + 1, True)[starts])
+    return np.dtype([("other", "<u2"), ("content", "<u4"), ("first", "u1" if length <= 256 else "<u4")])
 
 
 def start_windows(tokens: np.ndarray, offsets: np.ndarray, length: int, function: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,32 +135,30 @@ def interval_join(windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> t
 
 
 def cells(tokens: np.ndarray, offsets: np.ndarray, length: int, functions: int, agree: int):
-    """(key, first start, starts, counts, cells, counts, wholes) of the windows of each function: their overlaps with windows
-    of ``agree`` - 1 functions after it are cells, those with the same functions in a row; windows of the first function
-    also have the whole content from every start on. Places count from the first token of the chunk."""
+    """(key, first start, starts, counts, cells) of the windows of each function: their overlaps with windows of ``agree`` - 1
+    functions after it are cells, those with the same functions in a row. Places count from the first token of the chunk."""
     made = [start_windows(tokens, offsets, length, f) for f in range(functions)]
     if not len(made[0][0]):
         return
+    prefix = np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(tokens * powers(len(tokens)), out=prefix[1:])
+    inverse = powers(len(tokens) + 1, True)
     for f in range(functions - agree + 1):
         least, first, last = made[f]
-        number = last - first + 1
         of, found = [], []
         for others in combinations(range(f + 1, functions), agree - 1):
-            begin, _, which = interval_join([made[g] for g in (f, *others)])
+            begin, end, which = interval_join([made[g] for g in (f, *others)])
             value = np.zeros(len(begin), np.uint64)
             for g, w in zip(others, which[1:]):
                 value = mix(value ^ (made[g][0][w] + np.uint64(g + 1)))
+            content = mix((prefix[end + length] - prefix[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
             cell = np.zeros(len(begin), _cell(length))
-            cell["other"] = value >> _U32
+            cell["other"], cell["content"] = value >> np.uint64(48), content >> _U32
             cell["first"] = begin - first[which[0]]
             of.append(which[0])
             found.append(cell)
         of = np.concatenate(of)
-        whole, wholes = np.zeros(0, "<u4"), np.zeros(len(first), np.int64)
-        if f == 0:
-            starts = np.repeat(first - np.cumsum(number) + number, number) + np.arange(number.sum())
-            whole, wholes = (mix(run_hashes(tokens, starts, length) + np.uint64(1)) >> _U32).astype("<u4"), number
-        yield mix(least + np.uint64(f)), first, number, np.bincount(of, minlength=len(first)), np.concatenate(found)[np.argsort(of, kind="stable")], wholes, whole
+        yield mix(least + np.uint64(f)), first, last - first + 1, np.bincount(of, minlength=len(first)), np.concatenate(found)[np.argsort(of, kind="stable")]
 
 
 def _binary(counts: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -186,19 +182,20 @@ def _windows(shingle: int, length: int, functions: int, agree: int):
         for rows in batches:
             ids = np.asarray(rows.column("u"))
             for first, tokens, offsets in tokens_of(rows.column("text"), shingle):
-                for key, start, number, count, cell, wholes, whole in cells(tokens, offsets, length, functions, agree):
+                for key, start, number, count, cell in cells(tokens, offsets, length, functions, agree):
                     text = np.searchsorted(offsets, start, "right") - 1
-                    yield batch(_WINDOWS, signed(key), ids[first + text], (start - offsets[text] << _COUNT) + number, _binary(count, cell), _binary(wholes, whole))
+                    yield batch(_WINDOWS, signed(key), ids[first + text], (start - offsets[text] << _COUNT) + number, _binary(count, cell))
 
     return run
 
 
 def _partners(length: int):
-    """Windows sorted by key, text and place: each cell meets the first of those that agree with it."""
+    """Windows sorted by key, text and place: cells meet the first of their content, and two different contents each other; cells of groups
+    with more, one of each content, are told with their group."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The first (text, first start, last start) of each agreement, in order of agreements, for the last key.
-        last_key, agreed, heads = None, np.zeros(0, np.uint64), np.zeros((3, 0), np.int64)
+        # The first of each content so far, of the groups of the last key.
+        last_key, agreed, contents, heads = None, np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros((3, 0), np.int64)
         for rows in batches:
             if not rows.num_rows:
                 continue
@@ -208,40 +205,39 @@ def _partners(length: int):
             rows = rows.filter(pa.array(np.append(key[0] == last_key, with_next) | np.append(with_next, True)))
             key, u, start = (np.asarray(c).astype(np.int64) for c in rows.columns[:3])
             number, start = start & (1 << _COUNT) - 1, start >> _COUNT
-            in_row, cell = _values(rows.column(3), _cell(length))
+            row, cell = _values(rows.column(3), _cell(length))
             # A cell ends where the next one of its functions begins, the last one with the window.
-            first, last = cell["first"].astype(np.int64), number[in_row] - 1
-            follows = (in_row[1:] == in_row[:-1]) & (first[1:] > 0)
+            first, last = cell["first"].astype(np.int64), number[row] - 1
+            follows = (row[1:] == row[:-1]) & (first[1:] > 0)
             last[:-1][follows] = first[1:][follows] - 1
-            whole_row, whole = _values(rows.column(4), np.dtype("<u4"))
-            row = np.concatenate([in_row, whole_row])
-            place = np.arange(len(whole)) - np.searchsorted(whole_row, whole_row)
-            other, begin, end = (np.concatenate(x) for x in ((cell["other"], whole), (first, place), (last, place)))
-            what = mix(key[row].view(np.uint64) ^ (other.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            own = np.stack([u[row], start[row] + begin, start[row] + end])
-            _, lead, group = np.unique(what, return_index=True, return_inverse=True)
-            v = own[:, lead]
-            met = np.bincount(group) > 1
-            first_of = np.zeros(len(what), bool)
-            first_of[lead] = True
             if key[0] != last_key:
-                agreed, heads = agreed[:0], heads[:, :0]
-            value = what[lead]
-            at = np.searchsorted(agreed, value)
-            known = at < len(agreed)
-            known[known] = agreed[at[known]] == value[known]
-            v[:, known] = heads[:, at[known]]
-            met |= known
-            first_of[lead[known]] = False
-            fresh = ~known & (key[row[lead]] == key[-1])
-            if key[-1] != last_key:
-                last_key, agreed, heads = key[-1], agreed[:0], heads[:, :0]
-            agreed, heads = np.append(agreed, value[fresh]), np.append(heads, v[:, fresh], axis=1)
-            order = np.argsort(agreed, kind="stable")
-            agreed, heads = agreed[order], heads[:, order]
-            which = np.flatnonzero(met[group] & ~first_of)
-            if len(which):
-                yield _met(own[:, which], v[:, group[which]], length)
+                agreed, contents, heads = agreed[:0], contents[:0], heads[:, :0]
+            before = len(agreed)
+            last_key = key[-1]
+            of_last = np.append(np.full(before, key[0] == last_key), key[row] == last_key)
+            what = np.append(agreed, mix(key[row].view(np.uint64) ^ (cell["other"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+            content = np.append(contents, cell["content"])
+            own = np.append(heads, np.stack([u[row], start[row] + first, start[row] + last]), axis=1)
+            # The first of each content, group by group.
+            order = np.lexsort((content, what))
+            new_group, new = np.ones(len(order), bool), np.ones(len(order), bool)
+            new_group[1:] = what[order[1:]] != what[order[:-1]]
+            new[1:] = new_group[1:] | (content[order[1:]] != content[order[:-1]])
+            each, group = order[new], np.cumsum(new_group)[new] - 1
+            copies, its = order[~new], each[np.cumsum(new)[~new] - 1]
+            different, known = np.bincount(group), np.bincount(group, each < before)
+            head = np.minimum.reduceat(each, np.flatnonzero(new_group[new]))[group] if len(each) else each
+            two = (different[group] == 2) & (each != head) & (each >= before)
+            met = _met(own[:, np.append(copies, each[two])], own[:, np.append(its, head[two])], length)
+            if met.num_rows:
+                yield batch(_AGREED, *met.columns, pa.nulls(met.num_rows, pa.int64()))
+            told = np.sort(each[(different[group] > 2) & ((each >= before) | (known[group] < 3))])
+            if len(told):
+                none = pa.nulls(len(told), pa.int32())
+                place = (own[1, told].astype(np.int32), (own[2, told] + length - 1).astype(np.int32))
+                yield batch(_AGREED, own[0, told], none.cast(pa.int64()), *place, none, none, signed(what[told]))
+            kept = np.sort(each[of_last[each]])
+            agreed, contents, heads = what[kept], content[kept], own[:, kept]
 
     return run
 
@@ -252,7 +248,7 @@ def _met(own: np.ndarray, its: np.ndarray, length: int) -> pa.RecordBatch:
     (u, first, last), (v, v_first, v_last) = own.copy(), its.copy()
     stop, v_stop = last + length - 1, v_last + length - 1
     same = u == v
-    # As the head stands first, the own run begins behind its shortest and the head's ends before that.
+    # As its partner stands first, the own run begins behind its shortest and the partner's ends before that.
     first = np.where(same, np.maximum(first, v_first + length), first)
     v_stop = np.where(same, np.minimum(v_stop, first - 1), v_stop)
     keep = stop - first + 1 >= length
@@ -439,32 +435,213 @@ def _long(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _unpacked(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows in a row with the tokens of their texts; texts are taken together up to a chunk."""
+    unpack = zstandard.ZstdDecompressor()
+    for rows in batches:
+        first, size, texts = 0, 0, []
+        for i, z in enumerate(rows.column("z")):
+            texts.append(unpack.decompress(z.as_py()))
+            size += len(texts[-1])
+            if size >= CHUNK or i == rows.num_rows - 1:
+                for begin, tokens, offsets in tokens_of(pa.array(texts, pa.large_binary()), shingle):
+                    yield rows.slice(first + begin, len(offsets) - 1), tokens, offsets
+                first, size, texts = i + 1, 0, []
+
+
 def _cut(shingle: int):
-    """The tokens of the runs asked for, from each text; texts are taken together up to a chunk."""
+    """The tokens of the runs asked for, from each text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-
-        def cut(rows: pa.RecordBatch, first: int, texts: list[bytes]) -> pa.RecordBatch:
+        for rows, tokens, offsets in _unpacked(batches, shingle):
             out = []
-            u, doc_id, asked = (rows.column(c).slice(first, len(texts)).to_pylist() for c in ("u", "doc_id", "asked"))
-            for begin, tokens, offsets in tokens_of(pa.array(texts, pa.large_binary()), shingle):
-                for i, at in enumerate(offsets[:-1].tolist(), begin):
-                    for one in asked[i]:
-                        a, b = (one["start"], one["stop"]) if one["side"] == 0 else (one["v_start"], one["v_stop"])
-                        out.append((u[i], doc_id[i], one["v"], one["start"], one["stop"], one["v_start"], one["v_stop"], one["side"], _short(tokens[at + a : at + b + 1])))
+            u, doc_id, asked = (rows.column(c).to_pylist() for c in ("u", "doc_id", "asked"))
+            for i, at in enumerate(offsets[:-1].tolist()):
+                for one in asked[i]:
+                    a, b = (one["start"], one["stop"]) if one["side"] == 0 else (one["v_start"], one["v_stop"])
+                    out.append((u[i], doc_id[i], one["v"], one["start"], one["stop"], one["v_start"], one["v_stop"], one["side"], _short(tokens[at + a : at + b + 1])))
             c = [list(x) for x in zip(*out)]
             types = [pa.int64()] * 3 + [pa.int32()] * 5 + [pa.binary()]
-            return batch(_BLOBS, *(pa.array(x, t) for x, t in zip(c, types)))
+            yield batch(_BLOBS, *(pa.array(x, t) for x, t in zip(c, types)))
 
+    return run
+
+
+_CELLS = "u long, what long, tiles int, start int, stop int, tokens binary"
+# Bytes of a token by which the cells of a group are compared.
+_FEW = 3
+
+
+def _cut_cells(shingle: int):
+    """The tokens of the cells asked for, from each text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, tokens, offsets in _unpacked(batches, shingle):
+            asked = rows.column("asked")
+            text = np.repeat(np.arange(rows.num_rows), np.asarray(asked.value_lengths()))
+            what, tiles, start, stop = (np.asarray(x) for x in asked.flatten().flatten())
+            size = (stop - start + 1).astype(np.int64)
+            at = np.repeat(offsets[text] + start - np.cumsum(size) + size, size) + np.arange(size.sum())
+            few = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[at, :_FEW])
+            yield batch(_CELLS, np.asarray(rows.column("u"))[text], what, tiles, start, stop, _binary(size, few.view(f"V{_FEW}").ravel()))
+
+    return run
+
+
+def _shared(owner: np.ndarray, token: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct tokens, by their numbers, every two owners share, and how many each has."""
+    kinds = int(token.max()) + 1
+    token, owner = np.divmod(np.unique(token * count + owner), count)
+    distinct = np.bincount(owner, minlength=count)
+    often = np.bincount(token, minlength=kinds) > 1
+    owner, column = owner[often[token]], (np.cumsum(often) - 1)[token[often[token]]]
+    shared = np.zeros((count, count), np.float32)
+    step = max(64, (1 << 22) // count)
+    for low in range(0, int(often.sum()), step):
+        a, b = np.searchsorted(column, [low, low + step])
+        matrix = np.zeros((count, min(step, int(often.sum()) - low)), np.float32)
+        matrix[owner[a:b], column[a:b] - low] = 1
+        shared += matrix @ matrix.T
+    return shared, distinct
+
+
+def holds_alike(own: np.ndarray, its: np.ndarray, length: int, similarity: float) -> bool:
+    """Whether two runs of tokens hold passages that are alike."""
+    _, at, place = np.intersect1d(own, its, return_indices=True)
+    order = np.argsort(at)
+    at, place = at[order], place[order]
+    if len(np.unique(own)) < len(own) or len(np.unique(its)) < len(its) or (place[1:] < place[:-1]).any():
+        return bool(verified(own.astype(np.uint64), its.astype(np.uint64), length, similarity))
+    # From any shared token to any later one.
+    number = np.arange(1, len(at) + 1)
+    wide = sum(np.maximum(x - x[:, None] + 1, length) for x in (at, place))
+    shared = number - number[:, None] + 1
+    return bool((shared * (1 + similarity) >= similarity * wide - 1e-6).any())
+
+
+def meetings(u: np.ndarray, start: np.ndarray, stop: np.ndarray, tokens: np.ndarray, length: int, similarity: float, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which cells of a group meet, the later one and the earlier one.
+
+    Cells come in order of text and place, with the tokens start to stop of each. Those that are surely alike, from the first to the
+    last token that they share or in the run that shares most, meet along a tree that joins them. Of others, all pairs
+    are tried that share enough tokens for a passage in both, unless a tree joins them by then; those that hold passages
+    which are alike join their trees. Only runs that may overlap within one text meet untried.
+
+    :param home: the tile each cell is from; then only cells of two tiles meet
+    """
+    count, size = len(u), stop - start + 1
+    token = np.unique(tokens, return_inverse=True)[1]
+    offsets = np.cumsum(size) - size
+    shared, distinct = _shared(np.repeat(np.arange(count), size), token, count)
+    # Every run of the length asked for in a cell has so many distinct tokens.
+    least = np.full(count, length)
+    for i in np.flatnonzero(distinct < size):
+        before = _previous(token[offsets[i] : offsets[i] + size[i]])
+        runs = np.arange(size[i] - length + 1)[:, None]
+        least[i] = (before[runs + np.arange(length)] < runs).sum(1).min()
+    may = shared * (1 + similarity) >= similarity * (least[:, None] + least) - 1e-3
+    if home is not None:
+        may &= home[:, None] != home
+    # Within one text, runs don't overlap.
+    same = u[:, None] == u
+    may &= ~same | (stop - start[:, None] + 1 >= 2 * length)
+    may = np.triu(may, 1)
+    apart = may & (~same | (start > stop[:, None]))
+    apart |= apart.T
+    begin, end = np.full((2, int(token.max()) + 1), -1)
+    tree, later, earlier = np.full(count, -1), [], []
+    for root in range(count):
+        if tree[root] >= 0:
+            continue
+        tree[root], reached = root, [root]
+        while reached:
+            at = reached.pop()
+            near = np.flatnonzero(apart[at] & (tree < 0))
+            if not len(near):
+                continue
+            own, place = token[offsets[at] : offsets[at] + size[at]], np.arange(size[at])
+            end[own], begin[own[::-1]] = place, place[::-1]
+            head = np.cumsum(size[near]) - size[near]
+            place = np.arange(size[near].sum()) - np.repeat(head, size[near])
+            its = token[np.repeat(offsets[near], size[near]) + place]
+            first, last = begin[its], end[its]
+            begin[own] = end[own] = -1
+            known = first >= 0
+            first[~known] = size[at]
+            # From the first to the last token shared, in both; there are no more distinct ones than in the cell.
+            wide = np.maximum.reduceat(last, head) - np.minimum.reduceat(first, head) + 1
+            its_wide = np.maximum.reduceat(np.where(known, place, -1), head) - np.minimum.reduceat(np.where(known, place, len(place)), head) + 1
+            wide, its_wide = (np.minimum(np.maximum(x, length), n) for x, n in ((wide, distinct[at]), (its_wide, distinct[near])))
+            sure = shared[at, near] * (1 + similarity) >= similarity * (wide + its_wide) - 1e-6
+            rest = np.flatnonzero(~sure & (distinct[near] == size[near]))
+            if len(rest) and distinct[at] == size[at]:
+                # Without repeats: the run with the largest surplus of shared tokens, and how far apart they stand in this one.
+                column = np.arange(size[near[rest]].max())
+                inside = column < size[near[rest], None]
+                index = np.minimum(head[rest, None] + column, len(its) - 1)
+                gain = np.zeros((len(rest), len(column) + 1))
+                np.cumsum(np.where(inside, (1 + similarity) * known[index] - similarity, -len(column)), axis=1, out=gain[:, 1:])
+                low = np.minimum.accumulate(gain, 1)
+                surplus = gain[:, length:] - low[:, :-length]
+                most, row = surplus.argmax(1), np.arange(len(rest))
+                surplus = surplus[row, most]
+                low = np.maximum.accumulate(np.where(gain == low, np.arange(len(column) + 1), 0), 1)[row, most]
+                inside = (column >= low[:, None]) & (column < most[:, None] + length)
+                wide = np.where(inside, last[index], -1).max(1) - np.where(inside, first[index], size[at]).min(1) + 1
+                sure[rest] = surplus >= similarity * np.maximum(wide, length) - 1e-6
+                never = near[rest[surplus < similarity * length - 1e-6]]
+                may[at, never] = may[never, at] = False
+            fresh = near[sure]
+            if len(fresh):
+                tree[fresh] = root
+                later.append(np.maximum(fresh, at))
+                earlier.append(np.minimum(fresh, at))
+                reached += fresh.tolist()
+    for i, j in zip(*np.nonzero(may & (tree[:, None] != tree))):
+        if tree[i] == tree[j]:
+            continue
+        if apart[i, j]:
+            own, its = (token[offsets[x] : offsets[x] + size[x]] for x in (i, j))
+            if not holds_alike(own, its, length, similarity):
+                continue
+            tree[tree == tree[j]] = tree[i]
+        later.append(np.array([j]))
+        earlier.append(np.array([i]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *later]), np.concatenate([none, *earlier])
+
+
+def _compared(length: int, similarity: float):
+    """Cells sorted by group, tiles, text and place: those that meet."""
+
+    def compared(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        u, low, high, home, start, stop = (np.asarray(rows.column(c)).astype(np.int64) for c in ("u", "low", "high", "home", "start", "stop"))
+        data = np.frombuffer(b"".join(rows.column("tokens").to_pylist()), np.uint8).reshape(-1, _FEW).astype(np.int64)
+        tokens = data @ (1 << 8 * np.arange(_FEW))
+        later, earlier = meetings(u, start, stop, tokens, length, similarity, home if low[0] != high[0] else None)
+        cell = np.stack([u, start, stop - length + 1])
+        return cell[:, later], cell[:, earlier]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
         for rows in batches:
-            first, size, texts = 0, 0, []
-            for i, z in enumerate(rows.column("z")):
-                texts.append(unpack.decompress(z.as_py()))
-                size += len(texts[-1])
-                if size >= CHUNK or i == rows.num_rows - 1:
-                    yield cut(rows, first, texts)
-                    first, size, texts = i + 1, 0, []
+            if not rows.num_rows:
+                continue
+            keys = np.stack([np.asarray(rows.column(c)).astype(np.int64) for c in ("what", "low", "high")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1), rows.num_rows]
+            met = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                key = tuple(keys[:, a])
+                if held and key != last:
+                    met.append(compared(pa.Table.from_batches(held)))
+                    held = []
+                held.append(rows.slice(a, b - a))
+                last = key
+            if met:
+                yield _met(*(np.concatenate(x, axis=1) for x in zip(*met)), length)
+        if held:
+            yield _met(*compared(pa.Table.from_batches(held)), length)
 
     return run
 
@@ -484,30 +661,42 @@ def _verify(shingle: int, length: int, similarity: float):
     return run
 
 
-def passage_dedup(docs: DataFrame, length: int = LENGTH, shingle: int = SHINGLE, similarity: float = SIMILARITY, functions: int = FUNCTIONS, agree: int = AGREE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def passage_dedup(docs: DataFrame, length: int = LENGTH, shingle: int = SHINGLE, similarity: float = SIMILARITY, functions: int = FUNCTIONS, agree: int = AGREE, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """(doc_id, start_word, end_word, other_id, other_start, other_end, similarity): passages with a near duplicate.
 
     Both passages have at least ``length`` words (runs of letters, digits and characters beyond ASCII, A-Z in lower
     case; places from 0, both ends included), and the Jaccard similarity of their distinct shingles of ``shingle`` words
     is at least ``similarity``. Every document that holds such a passage is named with partners that stand for all
-    others: the first of those that agree with it, in the order of their hashes. Passages of one document may be
-    partners if they don't overlap. Min-hashing may miss a near duplicate, and so may the choice of the first where that one
-    agrees but isn't alike; equal passages are found always, up to hashes. Null and empty texts hold none; rows with null keys take part under a null id; rows with equal key and text
+    others: passages of more than two documents are joined by a tree, not in all pairs. Passages of one document may be
+    partners if they don't overlap. Min-hashing may miss a near duplicate; equal passages are found always, up to
+    hashes. Null and empty texts hold none; rows with null keys take part under a null id; rows with equal key and text
     count once. Texts may have any length: they are read whole, and no array is longer than the text has tokens. An empty table gives no rows.
+
+    :param tile: cells of a group that one task compares at a time
     """
     spark = docs.sparkSession
     tokens = max(1, length - shingle + 1)
     source = docs.select(row_key(key, text).alias("u"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     windows = source.mapInArrow(_windows(shingle, tokens, functions, agree), _WINDOWS)
     sorted_ = windows.repartition(partitions(spark), "key").sortWithinPartitions("key", "u", "place")
-    met = sorted_.mapInArrow(_partners(tokens), _MET)
+    agreed = checkpointed(sorted_.mapInArrow(_partners(tokens), _AGREED), drop_shuffles=True)
+    text_of = packed(docs, key, text)
+    cells_ = agreed.where("what is not null").select("what", "u", "start", "stop")
+    tiles = cells_.groupBy("what").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    cells_ = cells_.join(tiles.where("tiles > 1"), "what", "left")
+    asked = cells_.groupBy(F.col("u").alias("owner")).agg(F.collect_list(F.struct("what", F.coalesce("tiles", F.lit(1)).alias("tiles"), "start", "stop")).alias("asked"))
+    cells_ = text_of.join(asked, text_of["u"] == asked["owner"]).dropDuplicates(["u"]).select("u", "z", "asked").mapInArrow(_cut_cells(shingle), _CELLS)
+    home = F.pmod(F.xxhash64("u", "start"), F.col("tiles")).cast("int")
+    dealt = cells_.select("*", home.alias("home")).select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("what", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"), "home", "u", "start", "stop", "tokens")
+    dealt = dealt.repartition(partitions(spark), "what", "low", "high").sortWithinPartitions("what", "low", "high", "u", "start")
+    met = agreed.where("what is null").drop("what").union(dealt.mapInArrow(_compared(tokens, similarity), _MET))
     grouped = met.groupBy("u", "v").agg(F.collect_set(F.struct("start", "stop", "v_start", "v_stop")).alias("met"))
-    runs = checkpointed(grouped.mapInArrow(_join, _RUNS).distinct())
+    runs = checkpointed(grouped.mapInArrow(_join, _RUNS).distinct(), drop_shuffles=True)
     asked = runs.select(F.col("u").alias("owner"), "v", "start", "stop", "v_start", "v_stop", F.lit(0).alias("side"))
     zero = F.lit(0)
     given = runs.select(F.col("v").alias("owner"), "v", zero.alias("start"), zero.alias("stop"), "v_start", "v_stop", F.lit(1).alias("side")).distinct()
     all_asked = asked.union(given).groupBy("owner").agg(F.collect_list(F.struct("v", "start", "stop", "v_start", "v_stop", "side")).alias("asked"))
-    text_of = packed(docs, key, text)
     joined = text_of.join(all_asked, text_of["u"] == all_asked["owner"]).dropDuplicates(["u"]).select("u", "doc_id", "z", "asked")
     # Cut once for each side, from the same shuffled texts, which takes less disk than a table of what is cut.
     blobs = joined.mapInArrow(_cut(shingle), _BLOBS)
@@ -516,7 +705,7 @@ def passage_dedup(docs: DataFrame, length: int = LENGTH, shingle: int = SHINGLE,
     pairs = left.join(right, ["v", "v_start", "v_stop"])
     found = pairs.select("doc_id", "start", "tokens", "v_id", "v_start", "v_tokens").mapInArrow(_verify(shingle, tokens, similarity), _PASSAGES).distinct()
     # Read twice below; without this, all runs would be verified twice.
-    found = checkpointed(found)
+    found = checkpointed(found, drop_shuffles=True)
     # Those that others met have a partner too: for each of their passages, the first.
     least = F.min(F.struct(F.col("doc_id").alias("id"), "start_word", "end_word", "similarity")).alias("p")
     back = found.groupBy("other_id", "other_start", "other_end").agg(least)

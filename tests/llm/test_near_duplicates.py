@@ -10,7 +10,7 @@ from helpers import DOCS, ODD, jaccard_components, shingle_set, without_repeats
 from scorewright.llm import suffix_dedup as suffix
 from scorewright.llm.components import components
 from scorewright.llm.jaccard_join import jaccard_join, links_of
-from scorewright.llm.passage_dedup import compact_windows, interval_join, joined_ties, passage_dedup, start_windows, verified
+from scorewright.llm.passage_dedup import compact_windows, interval_join, joined_ties, meetings, passage_dedup, start_windows, verified
 from scorewright.llm.texts import mix
 from scorewright.llm.suffix_dedup import minimizer_segments, suffix_dedup
 
@@ -246,6 +246,53 @@ def test_passages_behind_hubs(spark):
         assert (found[a, b].start_word, found[a, b].end_word, found[a, b].other_start) == (30, 79, 30)
 
 
+@pytest.mark.parametrize("tile", [2048, 5])
+def test_edited_passages_behind_hubs(spark, tile):
+    """Texts with parts of a passage, too short to be reported, agree with two edited copies of it and mostly come first."""
+    rng = random.Random(5)
+    make = lambda n: [f"e{rng.randrange(10**9)}" for _ in range(n)]
+    rows, pairs = [], []
+    for _ in range(40):
+        passage = make(62)
+        for _ in range(30):
+            k = rng.randrange(23)
+            rows.append((len(rows), " ".join(make(9) + passage[k : k + 40] + make(9))))
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows) + i, " ".join(make(30) + [*passage[:31], word, *passage[31:]] + make(30))) for i, word in enumerate(make(2))]
+    found = {(r.doc_id, r.other_id) for r in passage_dedup(spark.createDataFrame(rows, DOCS), tile=tile).collect()}
+    caught = sum((a, b) in found for a, b in pairs)
+    print(f"{caught} of {len(pairs)}")
+    assert caught == 40
+
+
+def test_meetings_by_brute_force():
+    rng = np.random.default_rng(12)
+    length, similarity = 8, 0.8
+    for _ in range(60):
+        base = rng.integers(0, 1 << 24, (3, 12))
+        count = int(rng.integers(2, 14))
+        size = rng.integers(length, 13, count)
+        spans = [np.where(rng.random(n) < 0.06, rng.integers(0, 1 << 24, n), base[rng.integers(3)][:n]) for n in size]
+        u, start = np.arange(count) // 2, np.arange(count) * 100
+        home = rng.integers(0, 2, count) if rng.random() < 0.5 else None
+        later, earlier = meetings(u, start, start + size - 1, np.concatenate(spans), length, similarity, home)
+        assert (later > earlier).all() and (home is None or (home[later] != home[earlier]).all())
+        whole = [set(s.tolist()) for s in spans]
+        share = lambda x, y: len(x & y) / len(x | y)
+        # Components by those that meet hold all pairs with runs that are alike, and they are joined by trees.
+        part = np.arange(count)
+        assert len(later) < count
+        for x, y in zip(later, earlier):
+            part[part == part[x]] = part[y]
+        for i in range(count):
+            for j in range(i):
+                if home is None or home[i] != home[j]:
+                    runs = ([set(s[k : m].tolist()) for k in range(len(s)) for m in range(k + length, len(s) + 1)] for s in (spans[i], spans[j]))
+                    own, other = runs
+                    if any(share(a, b) >= similarity for a in own for b in other):
+                        assert part[i] == part[j]
+
+
 def test_verified_splits_at_gaps():
     own = np.arange(100, dtype=np.uint64)
     other = np.concatenate([np.arange(30), np.arange(500, 560), np.arange(60, 100)]).astype(np.uint64)
