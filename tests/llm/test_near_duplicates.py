@@ -1,6 +1,7 @@
 """Jaccard join, repeated strings, passages, components."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -71,6 +72,18 @@ def test_links_of_a_region_by_pairs():
             assert links[i] == expected
 
 
+def test_links_of_small_windows_take_little_memory():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 60, 50).astype(np.uint64)) for _ in range(20)]
+    sets += [s[1:] for s in sets]
+    tracemalloc.start()
+    root, links = links_of(sets, np.zeros(40, int), np.ones(40, int), 85, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links == 1).all() and (root == np.arange(40) % 20).all()
+    assert peak < 1 << 21
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 200), (7, 7), (None, 3)]
     found = components(spark.createDataFrame(edges, "a long, b long"))
