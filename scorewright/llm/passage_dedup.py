@@ -338,11 +338,17 @@ def verified(own: np.ndarray, other: np.ndarray, length: int, similarity: float)
         shared = len(np.intersect1d(mine, its, assume_unique=True))
         if shared * (1 + similarity) < 2 * similarity * length - 1e-6:
             return out
-    at, back = _places(own, other), _previous(own)
-    ahead = len(own) - 1 - _previous(own[::-1])[::-1]
-    ahead[ahead == len(own)] = len(own)
-    # Tokens of the other run that stood shortly before.
-    again = np.concatenate([[0], np.cumsum((lambda x: (x >= 0) & (x >= np.arange(size) - length))(_previous(other)))])
+    at = _places(own, other)
+    back = ahead = again = np.zeros(0, np.int64)
+
+    def repeats():
+        """Where tokens stand again, for runs that aren't alike as a whole."""
+        nonlocal back, ahead, again
+        back = _previous(own)
+        ahead = len(own) - 1 - _previous(own[::-1])[::-1]
+        ahead[ahead == len(own)] = len(own)
+        # Tokens of the other run that stood shortly before.
+        again = np.concatenate([[0], np.cumsum((lambda x: (x >= 0) & (x >= np.arange(size) - length))(_previous(other)))])
 
     def alike(x: int, y: int, low: int, high: int):
         """The passage, if it is one; where its partner is short, with what follows or stands before that."""
@@ -412,6 +418,8 @@ def verified(own: np.ndarray, other: np.ndarray, length: int, similarity: float)
         its = np.flatnonzero(np.isin(other, own[x:y]))
         passage = alike(x, y, int(its[0]), int(its[-1])) or alike(x, y, int(at[known].min()), int(at[known].max()))
         if not passage:
+            if not len(again):
+                repeats()
             passage = seed(a, b)
             passage = passage and widened(passage, a, b)
         if passage:
@@ -470,6 +478,10 @@ def _cut(shingle: int):
 _CELLS = "u long, what long, tiles int, start int, stop int, tokens binary"
 # Bytes of a token by which the cells of a group are compared.
 _FEW = 3
+# Groups are compared together up to so many pairs, in both orders. Their shared tokens are counted pair by pair up to so many cells of a group.
+PAIRS, _FEW_CELLS = 1 << 17, 16
+# Pairs looked at together, which bounds memory for large groups.
+PAIR_BLOCK = 1 << 20
 
 
 def _cut_cells(shingle: int):
@@ -488,21 +500,16 @@ def _cut_cells(shingle: int):
     return run
 
 
-def _shared(owner: np.ndarray, token: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many distinct tokens, by their numbers, every two owners share, and how many each has."""
-    kinds = int(token.max()) + 1
-    token, owner = np.divmod(np.unique(token * count + owner), count)
-    distinct = np.bincount(owner, minlength=count)
-    often = np.bincount(token, minlength=kinds) > 1
-    owner, column = owner[often[token]], (np.cumsum(often) - 1)[token[often[token]]]
+def _shared(owner: np.ndarray, column: np.ndarray, count: int) -> np.ndarray:
+    """How many tokens, each with a column of its own, every two owners share."""
     shared = np.zeros((count, count), np.float32)
-    step = max(64, (1 << 22) // count)
-    for low in range(0, int(often.sum()), step):
+    columns, step = int(column.max(initial=-1)) + 1, max(64, (1 << 22) // count)
+    for low in range(0, columns, step):
         a, b = np.searchsorted(column, [low, low + step])
-        matrix = np.zeros((count, min(step, int(often.sum()) - low)), np.float32)
+        matrix = np.zeros((count, min(step, columns - low)), np.float32)
         matrix[owner[a:b], column[a:b] - low] = 1
         shared += matrix @ matrix.T
-    return shared, distinct
+    return shared
 
 
 def holds_alike(own: np.ndarray, its: np.ndarray, length: int, similarity: float) -> bool:
@@ -519,7 +526,218 @@ def holds_alike(own: np.ndarray, its: np.ndarray, length: int, similarity: float
     return bool((shared * (1 + similarity) >= similarity * wide - 1e-6).any())
 
 
-def meetings(u: np.ndarray, start: np.ndarray, stop: np.ndarray, tokens: np.ndarray, length: int, similarity: float, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _ranges(size: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each size, one after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+class _Groups:
+    """Cells of some groups, group by group, with what every two cells of a group share; tokens are numbered, those of
+    each group on their own."""
+
+    def __init__(self, group: np.ndarray, u: np.ndarray, start: np.ndarray, stop: np.ndarray, tokens: np.ndarray, length: int, similarity: float, home: np.ndarray):
+        self.length, self.similarity = length, similarity
+        count, self.size = len(u), stop - start + 1
+        self.offsets = np.cumsum(self.size) - self.size
+        self.low = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        number = np.diff(np.append(self.low, count))
+        group = np.repeat(np.arange(len(number)), number)
+        self.first, self.number = self.low[group], number[group]
+        self.local = np.arange(count) - self.first
+        # Where the pairs of a cell with all of its group stand.
+        self.row = (np.cumsum(number**2) - number**2)[group] + self.local * self.number
+        owner = np.repeat(np.arange(count), self.size)
+        key = (group[owner] << 8 * _FEW) + tokens
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        fresh = np.append(True, key[1:] != key[:-1])
+        self.token = np.empty(len(key), np.int64)
+        self.token[order] = np.cumsum(fresh) - 1
+        # Of a token that stands several times in a cell, one; of the others, where it stood last before.
+        keep = fresh | np.append(True, owner[1:] != owner[:-1])
+        again = np.flatnonzero(~keep)
+        self.before = np.full(len(key), -1)
+        self.before[order[again]] = order[again - 1] - self.offsets[owner[again]]
+        token, owner = (np.cumsum(fresh) - 1)[keep], owner[keep]
+        self.distinct = np.bincount(owner, minlength=count)
+        self.begin, self.end = np.full((2, int(token[-1]) + 1), -1)
+        self.narrow: dict[int, np.ndarray] = {}
+        self.shared = self._all_shared(token, owner, number)
+        self._pairs(u, start, stop, home)
+
+    def _all_shared(self, token: np.ndarray, owner: np.ndarray, number: np.ndarray) -> np.ndarray:
+        often = np.bincount(token)[token] > 1
+        token, owner = token[often], owner[often]
+        if number.max() > _FEW_CELLS:
+            # Tokens are numbered group by group.
+            ends = np.append(np.searchsorted(self.first[owner], self.low), len(owner))
+            out = []
+            for i, low in enumerate(self.low):
+                part = slice(ends[i], ends[i + 1])
+                column = np.cumsum(np.append(False, token[part][1:] != token[part][:-1]))[: ends[i + 1] - ends[i]]
+                out.append(_shared(owner[part] - low, column, number[i]).ravel())
+            return np.concatenate(out)
+        # Each owner of a token with those after it.
+        end = np.searchsorted(token, token, "right")
+        after = end - 1 - np.arange(len(token))
+        at = np.repeat(np.arange(len(token)), after)
+        pair = self.row[owner[at]] + self.local[owner[at + 1 + _ranges(after)]]
+        return np.bincount(pair, minlength=int((number**2).sum())).astype(np.float32)
+
+    def _pairs(self, u: np.ndarray, start: np.ndarray, stop: np.ndarray, home: np.ndarray) -> None:
+        """Which pairs may hold passages that are alike, earlier cell first; and which of these, in both orders, don't overlap."""
+        # Every run of the length asked for in a cell has so many distinct tokens.
+        again = np.flatnonzero(self.before >= 0)
+        cell = np.searchsorted(self.offsets, again, "right") - 1
+        # From and to which start a run holds a token twice.
+        from_ = np.maximum(again - self.offsets[cell] - self.length + 1, 0)
+        to = np.minimum(self.before[again], self.size[cell] - self.length)
+        held = from_ <= to
+        at, size = self.offsets[cell[held]], len(self.token) + 1
+        twice = np.cumsum(np.bincount(at + from_[held], minlength=size) - np.bincount(at + to[held] + 1, minlength=size))
+        least = self.least = self.length - np.maximum.reduceat(twice, self.offsets)
+        self.may, self.apart = np.zeros((2, len(self.shared)), bool)
+        after = self.number - 1 - self.local
+        ends = np.cumsum(after)
+        begin = 0
+        while begin < len(u):
+            stop_at = max(begin + 1, int(np.searchsorted(ends, ends[begin] - after[begin] + PAIR_BLOCK, "right")))
+            i = np.repeat(np.arange(begin, stop_at), after[begin:stop_at])
+            j = i + 1 + _ranges(after[begin:stop_at])
+            begin = stop_at
+            at = self.row[i] + self.local[j]
+            may = self.shared[at] * (1 + self.similarity) >= self.similarity * (least[i] + least[j]) - 1e-3
+            i, j, at = i[may], j[may], at[may]
+            # Within one text, runs don't overlap.
+            same = u[i] == u[j]
+            may = (home[i] != home[j]) & (~same | (stop[j] - start[i] + 1 >= 2 * self.length))
+            self.may[at[may]] = True
+            apart = may & (~same | (start[j] > stop[i]))
+            i, j = i[apart], j[apart]
+            self.apart[at[apart]] = self.apart[self.row[j] + self.local[i]] = True
+
+    def found(self, at: np.ndarray, by: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the tokens of cells ``near``, each beside at[by]: their places, the first of each cell's, and their first and last places
+        in the other, or -1. The cells ``at`` are of groups of their own."""
+        size = self.size[at]
+        place = _ranges(size)
+        own = self.token[np.repeat(self.offsets[at], size) + place]
+        self.end[own], self.begin[own[::-1]] = place, place[::-1]
+        size = self.size[near]
+        place = _ranges(size)
+        its = self.token[np.repeat(self.offsets[near], size) + place]
+        first, last = self.begin[its], self.end[its]
+        self.begin[own] = self.end[own] = -1
+        return place, np.cumsum(size) - size, first, last
+
+    def sure(self, at: np.ndarray, by: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Which cells are surely like that beside them; pairs that can't be are struck out."""
+        length, similarity, size, distinct = self.length, self.similarity, self.size, self.distinct
+        place, head, first, last = self.found(at, by, near)
+        beside = at[by]
+        known = first >= 0
+        first[~known] = np.repeat(size[beside], size[near])[~known]
+        # From the first to the last token shared, in both; there are no more distinct ones than in the cell.
+        wide = np.maximum.reduceat(last, head) - np.minimum.reduceat(first, head) + 1
+        its_wide = np.maximum.reduceat(np.where(known, place, -1), head) - np.minimum.reduceat(np.where(known, place, len(place)), head) + 1
+        wide, its_wide = (np.minimum(np.maximum(x, length), distinct[n]) for x, n in ((wide, beside), (its_wide, near)))
+        pair = self.row[np.minimum(beside, near)] + self.local[np.maximum(beside, near)]
+        sure = self.shared[pair] * (1 + similarity) >= similarity * (wide + its_wide) - 1e-6
+        rest = np.flatnonzero(~sure & (distinct[near] == size[near]) & (distinct[beside] == size[beside]))
+        if len(rest):
+            # Without repeats: the run with the largest surplus of shared tokens, and how far apart they stand in the other.
+            column = np.arange(size[near[rest]].max())
+            inside = column < size[near[rest], None]
+            index = np.minimum(head[rest, None] + column, len(place) - 1)
+            gain = np.zeros((len(rest), len(column) + 1))
+            np.cumsum(np.where(inside, (1 + similarity) * known[index] - similarity, -len(column)), axis=1, out=gain[:, 1:])
+            low = np.minimum.accumulate(gain, 1)
+            surplus = gain[:, length:] - low[:, :-length]
+            most, row = surplus.argmax(1), np.arange(len(rest))
+            surplus = surplus[row, most]
+            low = np.maximum.accumulate(np.where(gain == low, np.arange(len(column) + 1), 0), 1)[row, most]
+            inside = (column >= low[:, None]) & (column < most[:, None] + length)
+            wide = np.where(inside, last[index], -1).max(1) - np.where(inside, first[index], size[beside[rest], None]).min(1) + 1
+            sure[rest] = surplus >= similarity * np.maximum(wide, length) - 1e-6
+            self.may[pair[rest[surplus < similarity * length - 1e-6]]] = False
+        return sure
+
+    def narrowest(self, cell: int) -> np.ndarray:
+        """How many distinct tokens a run of the length asked for or more has at least that holds places a to b of a cell."""
+        if cell not in self.narrow:
+            size = int(self.size[cell])
+            before = self.before[self.offsets[cell] : self.offsets[cell] + size]
+            place = np.arange(size)
+            distinct = np.cumsum((before < place[:, None]) & (place >= place[:, None]), 1)
+            last = size - self.length
+            of_run = distinct[place[: last + 1], place[self.length - 1 :]]
+            # The least of these from one to another.
+            least = np.minimum.accumulate(np.where(place[: last + 1] >= place[: last + 1, None], of_run, size), 1)
+            short = least[np.maximum(place + 1 - self.length, 0), np.minimum(place, last)[:, None]]
+            self.narrow[cell] = np.where(place - place[:, None] + 1 >= self.length, distinct, short).astype(np.min_scalar_type(size)).ravel()
+        return self.narrow[cell]
+
+    def alike(self, at: np.ndarray, by: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """``holds_alike`` for each cell and that beside it."""
+        _, head, first, last = self.found(at, by, near)
+        beside = at[by]
+        known = np.flatnonzero(first >= 0)
+        pair = np.repeat(np.arange(len(near)), self.size[near])[known]
+        own, its = first[known], known - head[pair]
+        # Whether the tokens shared stand once and in one order, and whether the others do too.
+        ordered = np.ones(len(near), bool)
+        ordered[pair[first[known] < last[known]]] = False
+        ordered[pair[1:][(pair[1:] == pair[:-1]) & (own[1:] <= own[:-1])]] = False
+        plain = ordered & (self.distinct[near] == self.size[near]) & (self.distinct[beside] == self.size[beside])
+        # From any shared token to any later one, those with so many between them at once.
+        number = np.bincount(pair, minlength=len(near))
+        ends = np.cumsum(number) - number
+        out = np.zeros(len(near), bool)
+        for repeats, rows in ((False, np.flatnonzero(plain)), (True, np.flatnonzero(ordered & ~plain))):
+            rows = rows[number[rows] > 0]
+            if not len(rows):
+                continue
+            column = np.arange(number[rows].max())
+            index, inside = np.minimum(ends[rows, None] + column, len(own) - 1), column < number[rows, None]
+            places = [np.where(inside, x[index], 0) for x in (own, its)]
+            if repeats:
+                cells, which = np.unique(np.concatenate([beside[rows], near[rows]]), return_inverse=True)
+                narrow = [self.narrowest(x) for x in cells.tolist()]
+                begin = np.cumsum([0, *map(len, narrow)])[which].reshape(2, -1, 1)
+                narrow, size = np.concatenate(narrow), self.size[cells][which].reshape(2, -1, 1)
+            good = np.zeros(len(rows), bool)
+            # As many as the runs with the fewest distinct tokens need.
+            fewest = int(np.ceil((self.similarity * (self.least[beside[rows]] + self.least[near[rows]]).min() - 1e-6) / (1 + self.similarity)))
+            for shared in range(max(1, fewest), len(column) + 1):
+                from_, to = ([x[:, : len(column) + 1 - shared] for x in places], [x[:, shared - 1 :] for x in places])
+                wide = sum(narrow[begin[k] + from_[k] * size[k] + to[k]].astype(np.int64) if repeats else np.maximum(to[k] - from_[k] + 1, self.length) for k in range(2))
+                good |= ((shared * (1 + self.similarity) >= self.similarity * wide - 1e-6) & inside[:, shared - 1 :]).any(1)
+            out[rows] = good
+        # Where tokens stand again, this could only rule out passages. From the first to the last token shared may be one.
+        rows = np.flatnonzero(np.where(ordered, out & ~plain, number > 0))
+        if len(rows):
+            spans = []
+            some = np.flatnonzero(number)
+            for cells, begin, end in ((beside, first[known], last[known]), (near, its, its)):
+                low, high = np.zeros((2, len(near)), np.int64)
+                low[some], high[some] = np.minimum.reduceat(begin, ends[some]), np.maximum.reduceat(end, ends[some])
+                spans.append((cells[rows], low[rows], high[rows]))
+            (own, a, b), (its, c, d) = spans
+            d = np.maximum(d, np.minimum(c + self.length, self.size[its]) - 1)
+            c = np.maximum(np.minimum(c, d + 1 - self.length), 0)
+            long = b - a + 1 >= self.length
+            wide = np.array([int(self.narrowest(x)[i * self.size[x] + j]) + int(self.narrowest(y)[k * self.size[y] + m]) for x, i, j, y, k, m in zip(*(v.tolist() for v in (own, a, b, its, c, d)))])
+            shared = self.shared[self.row[np.minimum(own, its)] + self.local[np.maximum(own, its)]].astype(np.float64)
+            whole = long & (shared / (wide - shared) >= self.similarity)
+            out[rows[whole]] = True
+            rows = rows[~whole]
+        for i in rows:
+            runs = (self.token[self.offsets[x] : self.offsets[x] + self.size[x]] for x in (beside[i], near[i]))
+            out[i] = holds_alike(*runs, self.length, self.similarity)
+        return out
+
+
+def meetings(u: np.ndarray, start: np.ndarray, stop: np.ndarray, tokens: np.ndarray, length: int, similarity: float, home: np.ndarray | None = None, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Which cells of a group meet, the later one and the earlier one.
 
     Cells come in order of text and place, with the tokens start to stop of each. Those that are surely alike, from the first to the
@@ -528,85 +746,70 @@ def meetings(u: np.ndarray, start: np.ndarray, stop: np.ndarray, tokens: np.ndar
     which are alike join their trees. Only runs that may overlap within one text meet untried.
 
     :param home: the tile each cell is from; then only cells of two tiles meet
+    :param group: the group each cell is of, if there are several, in order; each step is done for all of them at once
     """
-    count, size = len(u), stop - start + 1
-    token = np.unique(tokens, return_inverse=True)[1]
-    offsets = np.cumsum(size) - size
-    shared, distinct = _shared(np.repeat(np.arange(count), size), token, count)
-    # Every run of the length asked for in a cell has so many distinct tokens.
-    least = np.full(count, length)
-    for i in np.flatnonzero(distinct < size):
-        before = _previous(token[offsets[i] : offsets[i] + size[i]])
-        runs = np.arange(size[i] - length + 1)[:, None]
-        least[i] = (before[runs + np.arange(length)] < runs).sum(1).min()
-    may = shared * (1 + similarity) >= similarity * (least[:, None] + least) - 1e-3
-    if home is not None:
-        may &= home[:, None] != home
-    # Within one text, runs don't overlap.
-    same = u[:, None] == u
-    may &= ~same | (stop - start[:, None] + 1 >= 2 * length)
-    may = np.triu(may, 1)
-    apart = may & (~same | (start > stop[:, None]))
-    apart |= apart.T
-    begin, end = np.full((2, int(token.max()) + 1), -1)
+    count = len(u)
+    group = np.zeros(count, np.int64) if group is None else group
+    made = _Groups(group, u, start, stop, tokens, length, similarity, np.arange(count) if home is None else home)
     tree, later, earlier = np.full(count, -1), [], []
-    for root in range(count):
-        if tree[root] >= 0:
-            continue
-        tree[root], reached = root, [root]
-        while reached:
-            at = reached.pop()
-            near = np.flatnonzero(apart[at] & (tree < 0))
-            if not len(near):
+    # Of each group that has a pair left, the cells reached and the roots to come.
+    some = np.logical_or.reduceat(made.apart, made.row[made.low])
+    todo = [([], iter(range(a, b))) for a, b in zip(made.low[some].tolist(), (made.low + made.number[made.low])[some].tolist())]
+    while todo:
+        at, left = [], []
+        for reached, roots in todo:
+            if reached:
+                at.append(reached.pop())
+            elif (root := next((i for i in roots if tree[i] < 0), None)) is not None:
+                tree[root] = root
+                at.append(root)
+            else:
                 continue
-            own, place = token[offsets[at] : offsets[at] + size[at]], np.arange(size[at])
-            end[own], begin[own[::-1]] = place, place[::-1]
-            head = np.cumsum(size[near]) - size[near]
-            place = np.arange(size[near].sum()) - np.repeat(head, size[near])
-            its = token[np.repeat(offsets[near], size[near]) + place]
-            first, last = begin[its], end[its]
-            begin[own] = end[own] = -1
-            known = first >= 0
-            first[~known] = size[at]
-            # From the first to the last token shared, in both; there are no more distinct ones than in the cell.
-            wide = np.maximum.reduceat(last, head) - np.minimum.reduceat(first, head) + 1
-            its_wide = np.maximum.reduceat(np.where(known, place, -1), head) - np.minimum.reduceat(np.where(known, place, len(place)), head) + 1
-            wide, its_wide = (np.minimum(np.maximum(x, length), n) for x, n in ((wide, distinct[at]), (its_wide, distinct[near])))
-            sure = shared[at, near] * (1 + similarity) >= similarity * (wide + its_wide) - 1e-6
-            rest = np.flatnonzero(~sure & (distinct[near] == size[near]))
-            if len(rest) and distinct[at] == size[at]:
-                # Without repeats: the run with the largest surplus of shared tokens, and how far apart they stand in this one.
-                column = np.arange(size[near[rest]].max())
-                inside = column < size[near[rest], None]
-                index = np.minimum(head[rest, None] + column, len(its) - 1)
-                gain = np.zeros((len(rest), len(column) + 1))
-                np.cumsum(np.where(inside, (1 + similarity) * known[index] - similarity, -len(column)), axis=1, out=gain[:, 1:])
-                low = np.minimum.accumulate(gain, 1)
-                surplus = gain[:, length:] - low[:, :-length]
-                most, row = surplus.argmax(1), np.arange(len(rest))
-                surplus = surplus[row, most]
-                low = np.maximum.accumulate(np.where(gain == low, np.arange(len(column) + 1), 0), 1)[row, most]
-                inside = (column >= low[:, None]) & (column < most[:, None] + length)
-                wide = np.where(inside, last[index], -1).max(1) - np.where(inside, first[index], size[at]).min(1) + 1
-                sure[rest] = surplus >= similarity * np.maximum(wide, length) - 1e-6
-                never = near[rest[surplus < similarity * length - 1e-6]]
-                may[at, never] = may[never, at] = False
-            fresh = near[sure]
-            if len(fresh):
-                tree[fresh] = root
-                later.append(np.maximum(fresh, at))
-                earlier.append(np.minimum(fresh, at))
-                reached += fresh.tolist()
-    for i, j in zip(*np.nonzero(may & (tree[:, None] != tree))):
-        if tree[i] == tree[j]:
+            left.append((reached, roots))
+        todo, at = left, np.array(at, np.int64)
+        if not len(at):
+            break
+        by, place = np.repeat(np.arange(len(at)), made.number[at]), _ranges(made.number[at])
+        near = made.first[at][by] + place
+        keep = made.apart[made.row[at][by] + place] & (tree[near] < 0)
+        by, near = by[keep], near[keep]
+        if not len(near):
             continue
-        if apart[i, j]:
-            own, its = (token[offsets[x] : offsets[x] + size[x]] for x in (i, j))
-            if not holds_alike(own, its, length, similarity):
+        sure = made.sure(at, by, near)
+        fresh, by = near[sure], by[sure]
+        tree[fresh] = tree[at[by]]
+        later.append(np.maximum(fresh, at[by]))
+        earlier.append(np.minimum(fresh, at[by]))
+        for i, cell in zip(by.tolist(), fresh.tolist()):
+            todo[i][0].append(cell)
+    tree = np.where(tree < 0, np.arange(count), tree)
+    # Pairs that are left, first cell by first cell; in each round the next one of every group.
+    rest = []
+    for begin in range(0, len(made.may), PAIR_BLOCK):
+        pair = begin + np.flatnonzero(made.may[begin : begin + PAIR_BLOCK])
+        i = np.searchsorted(made.row, pair, "right") - 1
+        j = made.first[i] + pair - made.row[i]
+        rest.append(np.stack([pair, i, j])[:, tree[i] != tree[j]])
+    pair, i, j = np.concatenate(rest, axis=1)
+    fresh = np.append(True, i[1:] != i[:-1])[: len(i)]
+    of = made.first[i[fresh]]
+    turn = (np.arange(len(of)) - np.searchsorted(of, of))[np.cumsum(fresh) - 1] if len(i) else i
+    order = np.argsort(turn, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(turn[order])) + 1) if len(i) else []:
+        part = part[tree[i[part]] != tree[j[part]]]
+        meet = ~made.apart[pair[part]]
+        tried = part[~meet]
+        if len(tried):
+            at, by = np.unique(i[tried], return_inverse=True)
+            meet[~meet] = made.alike(at, by, j[tried])
+        for a, b, apart in zip(i[part[meet]].tolist(), j[part[meet]].tolist(), made.apart[pair[part[meet]]].tolist()):
+            if tree[a] == tree[b]:
                 continue
-            tree[tree == tree[j]] = tree[i]
-        later.append(np.array([j]))
-        earlier.append(np.array([i]))
+            if apart:
+                own = tree[made.first[a] : made.first[a] + made.number[a]]
+                own[own == tree[b]] = tree[a]
+            later.append(np.array([b]))
+            earlier.append(np.array([a]))
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *later]), np.concatenate([none, *earlier])
 
@@ -614,34 +817,48 @@ def meetings(u: np.ndarray, start: np.ndarray, stop: np.ndarray, tokens: np.ndar
 def _compared(length: int, similarity: float):
     """Cells sorted by group, tiles, text and place: those that meet."""
 
-    def compared(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        u, low, high, home, start, stop = (np.asarray(rows.column(c)).astype(np.int64) for c in ("u", "low", "high", "home", "start", "stop"))
-        data = np.frombuffer(b"".join(rows.column("tokens").to_pylist()), np.uint8).reshape(-1, _FEW).astype(np.int64)
-        tokens = data @ (1 << 8 * np.arange(_FEW))
-        later, earlier = meetings(u, start, stop, tokens, length, similarity, home if low[0] != high[0] else None)
-        cell = np.stack([u, start, stop - length + 1])
-        return cell[:, later], cell[:, earlier]
+    def compared(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Whole groups, those of like sizes at a time."""
+        rows = rows.combine_chunks()
+        what, low, high, home, u, start, stop = (np.asarray(rows.column(c)).astype(np.int64) for c in ("what", "low", "high", "home", "u", "start", "stop"))
+        fresh = np.append(True, (what[1:] != what[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+        group = np.cumsum(fresh) - 1
+        # Cells of one tile may meet each other.
+        home = np.where(low != high, home, np.arange(len(home)))
+        size = stop - start + 1
+        offsets = np.cumsum(size) - size
+        data = np.concatenate([_values(c, np.dtype("u1"))[1] for c in rows.column("tokens").chunks]).reshape(-1, _FEW)
+        first, number = np.flatnonzero(fresh), np.bincount(group)
+        order = np.argsort(number, kind="stable")
+        pairs, begin = np.cumsum(number[order] ** 2), 0
+        while begin < len(order):
+            end = max(begin + 1, int(np.searchsorted(pairs, pairs[begin] - number[order[begin]] ** 2 + PAIRS, "right")))
+            some = order[begin:end]
+            begin = end
+            at = np.repeat(first[some], number[some]) + _ranges(number[some])
+            bytes_ = data[np.repeat(offsets[at], size[at]) + _ranges(size[at])].astype(np.int64)
+            later, earlier = meetings(u[at], start[at], stop[at], bytes_ @ (1 << 8 * np.arange(_FEW)), length, similarity, home[at], group[at])
+            cell = np.stack([u[at], start[at], stop[at] - length + 1])
+            yield cell[:, later], cell[:, earlier]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
         for rows in batches:
             if not rows.num_rows:
                 continue
-            keys = np.stack([np.asarray(rows.column(c)).astype(np.int64) for c in ("what", "low", "high")])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1), rows.num_rows]
-            met = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                key = tuple(keys[:, a])
-                if held and key != last:
-                    met.append(compared(pa.Table.from_batches(held)))
-                    held = []
-                held.append(rows.slice(a, b - a))
-                last = key
-            if met:
-                yield _met(*(np.concatenate(x, axis=1) for x in zip(*met)), length)
+            # The last group may go on in the next rows.
+            key = [rows.column(c) for c in ("what", "low", "high")]
+            fresh = np.flatnonzero(np.logical_or.reduce([np.diff(np.asarray(c)) != 0 for c in key])) + 1
+            if held and tuple(c[0] for c in key) != tuple(held[-1].column(c)[-1] for c in ("what", "low", "high")):
+                fresh = np.append(0, fresh)
+            if not len(fresh):
+                held.append(rows)
+                continue
+            ended = pa.Table.from_batches([*held, rows.slice(0, fresh[-1])])
+            held = [rows.slice(fresh[-1])]
+            yield _met(*(np.concatenate(x, axis=1) for x in zip(*compared(ended))), length)
         if held:
-            yield _met(*compared(pa.Table.from_batches(held)), length)
+            yield _met(*(np.concatenate(x, axis=1) for x in zip(*compared(pa.Table.from_batches(held)))), length)
 
     return run
 

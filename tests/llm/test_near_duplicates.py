@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import DOCS, ODD, jaccard_components, shingle_set, without_repeats
+from scorewright.llm import passage_dedup as passages
 from scorewright.llm import suffix_dedup as suffix
 from scorewright.llm.components import components
 from scorewright.llm.jaccard_join import jaccard_join, links_of
@@ -306,6 +307,37 @@ def test_meetings_by_brute_force():
                         assert part[i] == part[j]
 
 
+def test_groups_meet_as_each_alone():
+    rng = np.random.default_rng(14)
+    group, u, start, spans, alone, before = [], [], [], [], [], 0
+    for g in range(40):
+        base = rng.integers(0, 1 << 24, (3, 14))
+        count = int(rng.integers(2, 30))
+        # Some tokens stand again.
+        own = [base[rng.integers(3)][rng.integers(0, 14, n) if rng.random() < 0.2 else np.arange(n)] for n in rng.integers(8, 14, count)]
+        own = [np.where(rng.random(len(s)) < 0.06, rng.integers(0, 1 << 24, len(s)), s) for s in own]
+        its_u, its_start = np.arange(count) // 2, np.arange(count) * 5
+        later, earlier = meetings(its_u, its_start, its_start + [len(s) - 1 for s in own], np.concatenate(own), 8, 0.8)
+        alone += zip(later + before, earlier + before)
+        group, u, start, spans, before = group + [g] * count, u + its_u.tolist(), start + its_start.tolist(), spans + own, before + count
+    start = np.array(start)
+    met = meetings(np.array(u), start, start + [len(s) - 1 for s in spans], np.concatenate(spans), 8, 0.8, group=np.array(group))
+    assert sorted(zip(*met)) == sorted(alone) and len(alone) > 50
+
+
+def test_common_part_is_not_tried_pair_by_pair(monkeypatch):
+    """Cells that share a part too short for a passage, with words that stand again elsewhere, are ruled out together."""
+    rng, tried = np.random.default_rng(15), []
+    monkeypatch.setattr(passages, "verified", lambda *args: tried.append(1) or verified(*args))
+    part, count, length = rng.integers(0, 1 << 24, 36), 60, 46
+    spans = [np.concatenate([np.repeat(rng.integers(0, 1 << 24, 8), 3), rng.integers(0, 1 << 24, 12), part]) for _ in range(count)]
+    start = np.zeros(count, np.int64)
+    later, _ = meetings(np.arange(count), start, start + len(spans[0]) - 1, np.concatenate(spans), length, 0.8)
+    alike = any(verified(spans[0].astype(np.uint64), s.astype(np.uint64), length, 0.8) for s in spans[1:])
+    assert len(later) == (count - 1 if alike else 0) and not alike
+    assert len(tried) == 0
+
+
 def test_verified_splits_at_gaps():
     own = np.arange(100, dtype=np.uint64)
     other = np.concatenate([np.arange(30), np.arange(500, 560), np.arange(60, 100)]).astype(np.uint64)
