@@ -85,6 +85,23 @@ def test_links_of_small_windows_take_little_memory():
     assert peak < 1 << 21
 
 
+def test_links_of_large_groups_take_little_memory():
+    rng = np.random.default_rng(16)
+    base, sets = rng.integers(0, 1 << 60, 40).astype(np.uint64), []
+    for _ in range(2000):
+        # Near copies; few of them are near enough to link.
+        copy = base.copy()
+        copy[rng.permutation(40)[:4]] = rng.integers(0, 1 << 60, 4).astype(np.uint64)
+        sets.append(np.unique(copy))
+    tracemalloc.start()
+    root, links = links_of(sets, np.zeros(2000, int), np.ones(2000, int), 85, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    some = rng.integers(0, 2000, (2000, 2))
+    assert all(root[i] == root[j] for i, j in some if 100 * len(shared := np.intersect1d(sets[i], sets[j])) >= 85 * (80 - len(shared)))
+    assert links.sum() % 2 == 0 and peak < 80 << 20
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 200), (7, 7), (None, 3)]
     found = components(spark.createDataFrame(edges, "a long, b long"))
