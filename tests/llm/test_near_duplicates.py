@@ -4,16 +4,19 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import DOCS, ODD, jaccard_components, shingle_set, without_repeats
+from scorewright.llm import jaccard_join as jaccard
 from scorewright.llm import passage_dedup as passages
 from scorewright.llm import suffix_dedup as suffix
 from scorewright.llm.components import components
 from scorewright.llm.jaccard_join import jaccard_join, links_of
 from scorewright.llm.passage_dedup import compact_windows, interval_join, joined_ties, meetings, passage_dedup, start_windows, verified
-from scorewright.llm.texts import mix
+from scorewright.llm.texts import NOT_SPACE, chunks, mix, shingles
+from scorewright.llm.texts import words as word_runs
 from scorewright.llm.suffix_dedup import minimizer_segments, suffix_dedup
 
 
@@ -57,6 +60,43 @@ def test_jaccard_join_empty_and_clashing(spark):
     assert [tuple(r) for r in jaccard_join(clash).orderBy("doc_id").collect()] == [(1, 2, 1, 1), (2, 2, 1, 1)]
 
 
+def test_shingles_of_frequent_words_make_no_regions(spark, monkeypatch):
+    rng = random.Random(5)
+    frequent = [f"w{i}" for i in range(4)]
+    texts = [[rng.choice(frequent) if rng.random() < 0.8 else f"r{rng.randrange(10**9)}" for _ in range(100)] for _ in range(300)]
+    texts += [[*text[:50], "other", *text[51:]] for text in texts[:20]]
+    rows = [(i, " ".join(text)) for i, text in enumerate(texts)]
+    monkeypatch.setattr(jaccard, "COMMON", 20)
+    regions = []
+
+    def seen(edges):
+        found = components(edges)
+        regions.append(found.groupBy("component").count().agg(F.max("count")).first()[0])
+        return found
+
+    monkeypatch.setattr(jaccard, "components", seen)
+    found = jaccard_join(spark.createDataFrame(rows, DOCS)).collect()
+    expected, links = jaccard_components(rows, 4, 85, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in found} == {i: (*expected[i], links[i]) for i, _ in rows}
+    assert regions[0] <= 40
+
+
+def test_order_of_shingles_goes_by_their_words():
+    text = "a a a a b a a a"
+    chunk = next(chunks(pa.array(["", text, "a", None, text])))
+    found = word_runs(chunk, NOT_SPACE)
+    hashes = found.hashes()
+    values, offsets = shingles(hashes, found.offsets, 3)
+    frequent = np.unique(hashes[:1])
+    place = jaccard.places(values, offsets, hashes, found.offsets, 3, np.zeros(0, np.uint64), frequent, np.array([7]))
+    assert place.tolist() == [21, 21, 14, 14, 14, 21, 7, 21, 21, 14, 14, 14, 21]
+    late = jaccard.places(values, offsets, hashes, found.offsets, 3, values[2:3], frequent, np.array([7]))
+    assert (late[[2, 9]] == np.iinfo(np.int64).max).all() and (np.delete(late, [2, 9]) == np.delete(place, [2, 9])).all()
+    ordered, bounds = jaccard.ordered_by_row(values, offsets, place)
+    assert np.diff(bounds).tolist() == [0, 4, 1, 0, 4]
+    assert set(ordered[:3].tolist()) == set(values[2:5].tolist()) and ordered[3] == values[0]
+
+
 def test_links_of_a_region_by_pairs():
     rng = random.Random(1)
     base = [rng.getrandbits(60) for _ in range(60)]
