@@ -234,7 +234,7 @@ def _arriving(spark, folder):
     """Items, and a folder of response files."""
     items, responses = choice_tables(spark, folder)
     path = shared_folder(spark, "arriving")
-    responses.write.option("maxRecordsPerFile", ROWS_PER_FILE).json(path)
+    responses.write.option("maxRecordsPerFile", ROWS_PER_FILE).json(path, compression="gzip")
     return items, stream_responses(spark, path, files_per_batch=batch_files(items, ROWS_PER_FILE, least=4))
 
 
@@ -242,7 +242,7 @@ def incremental_rows(spark, folder):
     items, arriving = _arriving(spark, folder)
     path, checkpoint = shared_folder(spark, "scored"), shared_folder(spark, "checkpoint")
     for _ in range(2):  # The second run finds nothing new and must add nothing.
-        score_stream(items, arriving, path, checkpoint, [BBH]).awaitTermination()
+        score_stream(items, arriving, path, checkpoint, [BBH], compression="gzip").awaitTermination()
     return _result_columns(spark.read.schema(RESULTS).json(path))
 
 

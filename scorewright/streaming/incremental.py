@@ -63,6 +63,7 @@ def score_stream(
     format: str = "json",
     salt: int = 1,
     once_within: str | None = None,
+    compression: str | None = None,
 ) -> StreamingQuery:
     """Append result rows for all responses there are now, then stop.
 
@@ -74,6 +75,8 @@ def score_stream(
 
     :param once_within: take one response for each model and item, see :func:`once_each`;
         a file that is delivered twice then adds nothing
+    :param compression: of the files written, such as ``gzip``, which takes away most of what plain JSON lines repeat;
+        the format's own by default
     """
     repeated_items(items)
     if once_within is not None:
@@ -82,6 +85,8 @@ def score_stream(
     writer = results.writeStream.format(format).outputMode("append").option("checkpointLocation", checkpoint)
     if format == "json":
         writer = writer.option("ignoreNullFields", False)
+    if compression is not None:
+        writer = writer.option("compression", compression)
     return writer.trigger(availableNow=True).start(path)
 
 

@@ -232,6 +232,13 @@ def test_number_of_micro_batches_does_not_grow_with_responses(spark, many_lines,
     assert batches(many_lines) == [1]
 
 
+def test_files_of_an_incremental_run_are_compressed(spark, many_lines):
+    assert all_queries()["incremental_rows"].run(spark, many_lines).count() == 1600
+    for purpose in ("arriving", "scored"):
+        files = list(Path(many_lines).glob(f"{purpose}-*/part-*"))
+        assert files and all(f.read_bytes()[:2] == bytes([0x1F, 0x8B]) for f in files)
+
+
 def test_number_of_micro_batches_of_repeated_deliveries(spark, many_lines):
     assert all_queries()["repeated_deliveries"].run(spark, many_lines).count() == 1600
     # The two deliveries, and one without rows that lets old keys go.
