@@ -25,10 +25,13 @@ from scorewright.llm.session import batch, partitions, signed
 from scorewright.llm.texts import chunks, mix, prefix_hashes, span_hashes
 
 LENGTH = 200
-# Segments of one minimizer up to which they are sorted in one task.
-TOGETHER = 512
+# Segments of one minimizer up to which they are sorted in one task, about as many as are sorted at a time. Beyond that
+# every window is a row, some 85 for a segment, and the more texts there are the more minimizers stand in many segments.
+TOGETHER = 8192
 # Bytes of segments whose windows are sorted at a time.
 SORTED = 1 << 21
+# Segments that a task remembers: two to that power, by the first bits of their hashes; newer ones take the place of others.
+REMEMBERED = 21
 
 _U32 = np.uint64(32)
 
@@ -66,12 +69,34 @@ def minimizer_segments(data: np.ndarray, offsets: np.ndarray, length: int, gram:
 _SEGMENTS = "m long, u long, start long, windows int, seen int"
 
 
+class Memory:
+    """Hashes that a task has met, once or more often; what is forgotten counts as new.
+
+    It takes the same time and room however much a task reads.
+    """
+
+    def __init__(self, bits: int = REMEMBERED):
+        self.shift = np.uint64(64 - bits)
+        self.hash, self.times = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int8)
+
+    def met(self, each: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of distinct ascending hashes, standing here so many times, were met once before, and which more often."""
+        slot = each >> self.shift
+        known = np.where(self.hash[slot] == each, self.times[slot], 0)
+        # Of hashes with one place the last stays.
+        last = np.ones(len(slot), bool)
+        last[:-1] = slot[1:] != slot[:-1]
+        self.hash[slot[last]] = each[last]
+        self.times[slot[last]] = np.where((known > 0) | (times > 1), 2, 1)[last]
+        return known == 1, known == 2
+
+
 def _segments(length: int, gram: int):
-    """Segments of all texts; a task looks at equal texts once, and tells of equal segments twice."""
+    """Segments of all texts; a task looks at equal texts once, and tells of equal segments twice while it remembers them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
-        once, twice = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        memory = Memory()
         for rows in batches:
             ids, content = np.asarray(rows.column("u")), np.asarray(rows.column("k"))
             fresh = []
@@ -89,14 +114,11 @@ def _segments(length: int, gram: int):
                 m = span_hashes(prefix, place, place + gram)
                 whole = span_hashes(prefix, start, start + count - 1 + length)
                 each, first, number, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-                again, settled = np.isin(each, once, assume_unique=True), np.isin(each, twice, assume_unique=True)
+                again, settled = memory.met(each, times)
                 seen = np.where(times[number] == 1, 0, 2)
                 seen[first[times > 1]] = 1
                 seen[first[again]] = 1
                 seen[settled[number]] = 2
-                more = (again | (times > 1)) & ~settled
-                once = np.union1d(once[~np.isin(once, each[again])], each[~again & ~settled & (times == 1)])
-                twice = np.union1d(twice, each[more])
                 row = np.searchsorted(chunk.offsets, start, "right") - 1
                 # An empty text begins where the next one does; the last of them has the bytes.
                 fresh = np.ones(len(seen), bool)

@@ -436,3 +436,39 @@ def test_verified_by_brute_force():
         assert all(any(a < y and x <= b for a, b, *_ in found) for x, y in good)
         hits += len(good) > 0
     assert hits > 50
+
+
+def test_memory_of_segments():
+    memory = suffix.Memory(bits=4)
+    low, high = np.uint64(5), np.uint64(1 << 63)
+    assert [x.tolist() for x in memory.met(np.array([low, high]), np.array([1, 2]))] == [[False, False], [False, False]]
+    assert [x.tolist() for x in memory.met(np.array([low, high]), np.array([1, 1]))] == [[True, False], [False, True]]
+    # Another hash of the same first bits takes the place; the old one is new again.
+    assert [x.tolist() for x in memory.met(np.array([low, low + np.uint64(1)]), np.array([1, 1]))] == [[False, False], [True, False]]
+    assert [x.tolist() for x in memory.met(np.array([low]), np.array([1]))] == [[False], [False]]
+
+
+def test_forgotten_segments_are_told_anew(monkeypatch):
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    texts = [letters[rng.integers(0, 27, 2_000)].tobytes().decode() for _ in range(30)]
+    texts = [text + str(i) for i in range(4) for text in texts]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(120), pa.int64()), pa.array(range(120), pa.int64()), pa.array(texts)], ["u", "k", "text"])
+    monkeypatch.setattr(suffix, "chunks", lambda column: chunks(column, 1 << 12))
+    found = {}
+    for bits in (suffix.REMEMBERED, 4):
+        monkeypatch.setattr(suffix.Memory.__init__, "__defaults__", (bits,))
+        told = {}
+        for row in pa.Table.from_batches(suffix._segments(200, 32)([rows])).to_pylist():
+            if row["seen"] < 2:
+                told.setdefault(row["m"], []).append(row["seen"])
+        found[bits] = told
+    # One remembered segment is told twice, the second time as known; a forgotten one is told again and again.
+    assert set(found[4]) == set(found[suffix.REMEMBERED])
+    assert sum(map(len, found[4].values())) > sum(map(len, found[suffix.REMEMBERED].values()))
+    assert all(len(seen) > 1 for m, seen in found[4].items() if len(found[suffix.REMEMBERED][m]) > 1)
+
+
+def test_segments_of_one_minimizer_stay_together_as_long_as_they_are_sorted_at_once():
+    # A window is a row of its own only in groups beyond what a task sorts at a time.
+    assert suffix.TOGETHER * (200 + 85) >= suffix.SORTED
