@@ -5,9 +5,12 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helpers import jaccard_components, without_repeats
+from scorewright.llm import jaccard_join as jaccard
+from scorewright.llm.components import components
 from scorewright.llm.queries import QUERIES
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -114,3 +117,23 @@ def test_queries_and_borders():
             assert not re.search(r"\bllm\b", path.read_text(encoding="utf-8")), path
     native = (ROOT / "scorewright/llm/mixing.py").read_text(encoding="utf-8")
     assert not re.search(r"mapIn|udf|pandas|arrow|\.rdd", native, re.I)
+
+
+def test_shingles_of_frequent_words_make_no_regions_of_the_join(spark, monkeypatch):
+    rng = random.Random(6)
+    frequent = [f"w{i}" for i in range(4)]
+    texts = [[rng.choice(frequent) if rng.random() < 0.85 else f"r{rng.randrange(10**9)}" for _ in range(100)] for _ in range(300)]
+    texts += [[*text[:50], "other", *text[51:]] for text in texts[:20]]
+    docs = spark.createDataFrame([(i, " ".join(text)) for i, text in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "COMMON", 20)
+    regions = []
+
+    def seen(edges):
+        found = components(edges)
+        regions.append(found.groupBy("component").count().agg(F.max("count")).first()[0])
+        return found
+
+    monkeypatch.setattr(jaccard, "components", seen)
+    kept = corpus_pipeline.ngram_jaccard_join(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == set(range(300))
+    assert regions[0] <= 40
